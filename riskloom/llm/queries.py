@@ -63,6 +63,31 @@ SELECT c.page_id, coalesce(c.host, '') AS host, a.n IS NOT NULL AS blocked, coal
 FROM cap c LEFT JOIN agg a USING (page_id)
 """
 
+# ---------------------------------------------------------------- op3, op4
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer's file is; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096, with_ids=False).drop("ids")
+
+
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.common import shared_dir
+    from riskloom.llm.token_file import read_tokens, write_tokens
+
+    path = f"{shared_dir(spark)}/codes"
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return read_tokens(spark, path, with_ids=False).drop("ids")
+
+
 # ---------------------------------------------------------------- op6
 
 
@@ -123,7 +148,7 @@ FROM o
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture}
+    return {"op1_url_filter": op1_url_filter, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
