@@ -63,6 +63,15 @@ SELECT c.page_id, coalesce(c.host, '') AS host, a.n IS NOT NULL AS blocked, coal
 FROM cap c LEFT JOIN agg a USING (page_id)
 """
 
+# ---------------------------------------------------------------- op2
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("id") % 50 == 0)
+
+
 # ---------------------------------------------------------------- op3, op4
 
 
@@ -146,9 +155,26 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+# ---------------------------------------------------------------- op8
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.language_id import learn, predict
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return predict(docs, learn(docs))
+
+# ---------------------------------------------------------------- op10
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.license_scan import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture}
+    return {"op1_url_filter": op1_url_filter, "op2_ann": op2_ann, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture, "op8_language_id": op8_language_id, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
