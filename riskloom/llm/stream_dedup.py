@@ -29,7 +29,12 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import is_file, shared_dir, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; each store's files grow with its state instead of being allocated ahead (4 MB for each partition), and a commit uploads changes only.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def digest(text: str = "text"):
@@ -50,14 +55,15 @@ def scan_state(stream: DataFrame, folder: str) -> DataFrame:
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log}/run={batch_id}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         q = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(append).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "text_sha256 string, keep_id long, locator string, group_size long, batch int"
     if q.lastProgress is None or q.lastProgress["batchId"] < 0:
         return spark.createDataFrame([], schema).drop("batch")
