@@ -225,11 +225,11 @@ def id_bits(ids: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
 
 
-def id_bitmap(ids: DataFrame, col: str, bits: int = BITS) -> bytes:
+def id_bitmap(ids: DataFrame, col: str, bits: int = BITS, extract=lambda batch: batch.column(0).to_numpy(zero_copy_only=False)) -> bytes:
     """2**bits bits that mark the ids' hashes; 2**(bits-3) bytes whatever the input.
 
     Used to leave rows out of a join that they cannot match, before the shuffle. An
-    id that is not marked is certainly absent; when the map fills up, fewer rows
+    id that is not marked is certainly absent (``extract`` takes the ids from a batch); when the map fills up, fewer rows
     are left out and the result is the same.
     """
     parts = 16
@@ -238,7 +238,7 @@ def id_bitmap(ids: DataFrame, col: str, bits: int = BITS) -> bytes:
     def mark(batches):
         found = np.zeros(1 << bits, bool)
         for b in batches:
-            found[id_bits(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
+            found[id_bits(extract(b), bits)] = True
         packed = np.packbits(found, bitorder="little")
         keep = [p for p in range(parts) if packed[p * size : (p + 1) * size].any()]
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([packed[p * size : (p + 1) * size].tobytes() for p in keep], pa.binary())], ["part", "bits"])

@@ -164,6 +164,29 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, learn(docs))
 
+# ---------------------------------------------------------------- op9
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.substring_dedup import deduplicate
+
+    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept")
+
+
+OP9_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+pos AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
+win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS g FROM pos),
+gone AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM gone),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS t, count(*) AS n
+         FROM each e ANTI JOIN covered c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""
+
 # ---------------------------------------------------------------- op10
 
 
@@ -174,8 +197,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op2_ann": op2_ann, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture, "op8_language_id": op8_language_id, "op10_license_scan": op10_license_scan}
+    return {"op1_url_filter": op1_url_filter, "op2_ann": op2_ann, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture, "op8_language_id": op8_language_id, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op6_stream_dedup": OP6_SQL, "op7_mixture": OP7_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_stream_dedup": OP6_SQL, "op7_mixture": OP7_SQL, "op9_substring_dedup": OP9_SQL}
