@@ -97,6 +97,15 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, with_ids=False).drop("ids")
 
 
+# ---------------------------------------------------------------- op5
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.ngram_join import join
+
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+
+
 # ---------------------------------------------------------------- op6
 
 
@@ -197,7 +206,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op2_ann": op2_ann, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture, "op8_language_id": op8_language_id, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
+    return {"op1_url_filter": op1_url_filter, "op2_ann": op2_ann, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op5_ngram_join": op5_ngram_join, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture, "op8_language_id": op8_language_id, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
