@@ -24,7 +24,7 @@ are one document: they get the same verdict. Extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import is_file, shared_dir, written
@@ -37,16 +37,19 @@ STATE_CONF = {
 }
 
 
-def digest(text: str = "text"):
-    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+def digest_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def digest(text: str = "text") -> Column:
+    return digest_of(F.col(text))
 
 
 def scan_state(stream: DataFrame, folder: str) -> DataFrame:
-    """Consume all that the streaming ``stream`` (doc_id, text, locator) has and return the state: text_sha256, keep_id, locator, group_size."""
+    """Consume all that the streaming ``stream`` (doc_id, text_sha256, locator) has and return the state: text_sha256, keep_id, locator, group_size."""
     spark = stream.sparkSession
     state = (
-        stream.select("doc_id", digest().alias("text_sha256"), "locator")
-        .groupBy("text_sha256")
+        stream.groupBy("text_sha256")
         .agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.count(F.lit(1)).alias("group_size"))
         .select("text_sha256", F.col("top.doc_id").alias("keep_id"), F.col("top.locator").alias("locator"), "group_size")
     )
@@ -73,34 +76,35 @@ def scan_state(stream: DataFrame, folder: str) -> DataFrame:
     return out.select("text_sha256", "keep_id", "locator", "group_size")
 
 
-def stream_of(docs: DataFrame, folder: str) -> DataFrame:
-    """The documents as a stream: a feed of doc_id and text written to the shared folder, as any DataFrame may come in.
-
-    Where documents already lie in a folder of their own, ``stream_files`` reads that folder without the copy.
-    """
-    docs.select("doc_id", "text").write.parquet(f"{folder}/feed")
-    return stream_files(docs.sparkSession, f"{folder}/feed")
-
-
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet files at ``path``, a folder or one file, as a stream of doc_id, text and locator."""
+    """The Parquet files at ``path``, a folder or one file, as a stream of doc_id, text_sha256 and locator."""
     reader = spark.readStream.schema("doc_id long, text string")
     if is_file(spark, path):  # the source takes folders: the file's folder, with only its name let through
         path, _, name = path.rpartition("/")
         reader = reader.option("pathGlobFilter", name)
-    return reader.parquet(path).select("doc_id", "text", F.col("_metadata.file_path").alias("locator"))
+    return reader.parquet(path).select("doc_id", digest().alias("text_sha256"), F.col("_metadata.file_path").alias("locator"))
+
+
+def stream_of(docs: DataFrame, folder: str) -> DataFrame:
+    """Any DataFrame as such a stream: its ids and digests are written to the shared folder as a feed."""
+    feed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest_of(docs["text"]).alias("text_sha256"), F.input_file_name().alias("locator"))
+    feed = written(feed, f"{folder}/feed")
+    return docs.sparkSession.readStream.schema(feed.schema).parquet(f"{folder}/feed")
 
 
 def verdicts(docs: DataFrame, state: DataFrame, folder: str, carry: list[str] = ()) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, locator, and the carried columns."""
-    d = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("_bytes"), *[docs[c].alias(f"_c_{c}") for c in carry]).withColumn("text_sha256", digest("_bytes"))
+    extra = [c for c in carry if c not in ("doc_id", "text")]
+    d = docs.select(docs["doc_id"], docs["text"].alias("_text"), *[docs[c].alias(f"_c_{c}") for c in extra]).withColumn("text_sha256", digest("_text"))
     hit = (F.col("group_size") > 1) & F.col("keep_id").isNotNull()
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # only hits keep their bytes; what follows reads them once more, not all texts
-    d = written(d.join(state, "text_sha256").withColumns({"_hit": hit, "_bytes": F.when(hit, F.col("_bytes"))}), f"{folder}/joined")
-    kept = d.where(F.col("_hit") & stays).groupBy("text_sha256").agg(F.first("_bytes").alias("_kept_bytes"))
+    d = d.join(state, "text_sha256").withColumn("_hit", hit)
+    if "text" not in carry:  # only hits keep their bytes; what follows reads them once more, not all texts
+        d = d.withColumn("_text", F.when(F.col("_hit"), F.col("_text")))
+    d = written(d, f"{folder}/joined")
+    kept = d.where(F.col("_hit") & stays).groupBy("text_sha256").agg(F.first("_text").alias("_kept"))
     kept = written(kept, f"{folder}/kept")
-    hits = d.where("_hit").join(kept, "text_sha256").withColumn("_same", F.col("_bytes") == F.col("_kept_bytes")).drop("_kept_bytes")
+    hits = d.where("_hit").join(kept, "text_sha256").withColumn("_same", F.coalesce("_text", F.lit("")) == F.coalesce("_kept", F.lit(""))).drop("_kept")
     out = d.where("not _hit").withColumn("_same", F.lit(True)).unionByName(hits)
     same = F.col("_same")
     return out.select(
@@ -110,7 +114,8 @@ def verdicts(docs: DataFrame, state: DataFrame, folder: str, carry: list[str] =
         F.when(same, stays).otherwise(F.lit(True)).alias("kept"),
         "text_sha256",
         "locator",
-        *[F.col(f"_c_{c}").alias(c) for c in carry],
+        *([F.col("_text").alias("text")] if "text" in carry else []),
+        *[F.col(f"_c_{c}").alias(c) for c in extra],
     )
 
 
@@ -119,3 +124,14 @@ def deduplicate(docs: DataFrame, carry: list[str] = (), path: str | None = None)
     folder = shared_dir(docs.sparkSession)
     stream = stream_files(docs.sparkSession, path) if path else stream_of(docs, folder)
     return verdicts(docs, scan_state(stream, folder), folder, carry)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns; of rows that repeat doc_id and text, one."""
+    cols = docs.columns
+    out = deduplicate(docs, cols)
+    folder = shared_dir(docs.sparkSession)
+    out = written(out.where("kept").select("text_sha256", *cols), f"{folder}/stays")
+    if out.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text_sha256"])
+    return out.select(*cols)
