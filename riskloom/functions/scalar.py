@@ -63,7 +63,8 @@ def parse_ts(x: Column) -> Column:
 
 def days_between(a: Column, b: Column) -> Column:
     """Days from a to b, not below 0; null where either is."""
-    return F.greatest(d(0), F.timestamp_diff("MICROSECOND", a, b) / 86400e6)
+    days = F.timestamp_diff("MICROSECOND", a, b) / 86400e6
+    return F.when(days >= 0, days).when(days < 0, d(0))  # greatest() would turn null into 0
 
 
 # ---------------------------------------------------------------- numbers

@@ -35,7 +35,7 @@ def cpe_canonical(spark, sf):
 
 
 @query(
-    f"WITH {P.VULN} SELECT vuln_id, {q6_sql(f'''greatest(0, date_diff('microsecond', published_ts, TIMESTAMP '{P.REF}') / 86400e6)''')} AS disclosed, {q6_sql('''greatest(0, date_diff('microsecond', published_ts, patch_ts) / 86400e6)''')} AS lag FROM vuln"
+    f"WITH {P.VULN} SELECT vuln_id, {q6_sql(f'''greatest(0, date_diff('microsecond', published_ts, TIMESTAMP '{P.REF}') / 86400e6)''')} AS disclosed, {q6_sql('''CASE WHEN patch_ts IS NOT NULL THEN greatest(0, date_diff('microsecond', published_ts, patch_ts) / 86400e6) END''')} AS lag FROM vuln"
 )
 def days_between(spark, sf):
     return P.vulns(spark, sf).select("vuln_id", q6(S.days_between(F.col("published_ts"), P.ref())).alias("disclosed"), q6(S.days_between(F.col("published_ts"), F.col("patch_ts"))).alias("lag"))
@@ -81,7 +81,7 @@ def tier_banding(spark, sf):
     return P.vulns(spark, sf).select("vuln_id", S.tier_of_cvss(F.col("cvss")).alias("tier"), S.risk_band(F.col("cvss") / 10).alias("band"))
 
 
-@query("SELECT o_orderkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(CAST(o_orderkey AS VARCHAR)), ''), x -> CAST(instr('0123456789abcdef', x) - 1 AS BIGINT))), (a, x) -> (a * 16 + x) % 10000) AS bucket, CASE WHEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(CAST(o_orderkey AS VARCHAR)), ''), x -> CAST(instr('0123456789abcdef', x) - 1 AS BIGINT))), (a, x) -> (a * 16 + x) % 10000) / 10000.0 < 0.3 THEN 'A' ELSE 'B' END AS variant FROM orders")
+@query("SELECT o_orderkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(CAST(o_orderkey AS VARCHAR)), ''), lambda x: CAST(instr('0123456789abcdef', x) - 1 AS BIGINT))), lambda a, x: (a * 16 + x) % 10000) AS bucket, CASE WHEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(CAST(o_orderkey AS VARCHAR)), ''), lambda x: CAST(instr('0123456789abcdef', x) - 1 AS BIGINT))), lambda a, x: (a * 16 + x) % 10000) / 10000.0 < 0.3 THEN 'A' ELSE 'B' END AS variant FROM orders")
 def ab_bucket(spark, sf):
     from riskloom.operators.store import variants
 
@@ -98,7 +98,7 @@ def joined_text(spark, sf):
     return P.assets(spark, sf).select("asset_id", S.joined_text([F.lit(" part "), F.col("hostname"), F.lit(""), F.col("zone")], F.col("asset_id")).alias("text"), S.pair_key(F.col("asset_id"), F.col("bu")).alias("key"))
 
 
-@query("SELECT p_partkey, unnest(list_filter(list_transform(string_split(p_name || ' ; CWE-' || p_size || ';;' || p_type, ';'), x -> trim(x)), x -> x <> '')) AS item FROM part")
+@query("SELECT p_partkey, unnest(list_filter(list_transform(string_split(p_name || ' ; CWE-' || p_size || ';;' || p_type, ';'), lambda x: trim(x)), lambda x: x <> '')) AS item FROM part")
 def split_items(spark, sf):
     joined = F.concat("p_name", F.lit(" ; CWE-"), "p_size", F.lit(";;"), "p_type")
     return P.table(spark, sf, "part").select("p_partkey", F.explode(S.split_list(joined, ";")).alias("item"))
