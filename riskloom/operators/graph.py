@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
+from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import cpe_canonical, d
 
 
@@ -117,14 +118,19 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def path_depth(edges: DataFrame, starts: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
     """Per (vuln_id, asset_id), least hops from any start of the vulnerability (vuln_id, node) to the asset; -1 if none within ``max_hops``."""
-    e = edges.select("src", "dst").distinct()
-    frontier = starts.select("vuln_id", "node").distinct().withColumn("hops", F.lit(0))
+    e = cut(edges.select("src", "dst").distinct())
+    # walked once for each distinct start, however many vulnerabilities share it
+    frontier = starts.select(F.col("node").alias("root"), "node").distinct().withColumn("hops", F.lit(0))
     seen = frontier
     for hop in range(1, max_hops + 1):
-        step = frontier.withColumnRenamed("node", "src").join(e, "src").select("vuln_id", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("vuln_id", "node"), ["vuln_id", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        step = frontier.withColumnRenamed("node", "src").join(e, "src").select("root", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-    return pairs.select("vuln_id", "asset_id").join(seen.withColumnRenamed("node", "asset_id"), ["vuln_id", "asset_id"], "left").select("vuln_id", "asset_id", F.coalesce(F.col("hops"), F.lit(-1)).cast("double").alias("attack_path_depth"))
+    roots = starts.select("vuln_id", F.col("node").alias("root")).distinct()
+    depth = pairs.select("vuln_id", "asset_id").join(roots, "vuln_id").join(seen.withColumnRenamed("node", "asset_id"), ["root", "asset_id"]).groupBy("vuln_id", "asset_id").agg(F.min("hops").alias("hops"))
+    return pairs.select("vuln_id", "asset_id").join(depth, ["vuln_id", "asset_id"], "left").select("vuln_id", "asset_id", F.coalesce(F.col("hops"), F.lit(-1)).cast("double").alias("attack_path_depth"))
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame, radius: int = 3) -> DataFrame:
@@ -138,7 +144,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, radius: int = 3) -> DataFram
     member = nodes.select(F.col("node").alias("ego"), F.col("node").alias("m"))
     frontier = member
     for _ in range(radius):
-        frontier = frontier.withColumnRenamed("m", "src").join(u, "src").select("ego", F.col("dst").alias("m")).distinct().join(member, ["ego", "m"], "left_anti")
+        frontier = cut(frontier.withColumnRenamed("m", "src").join(u, "src").select("ego", F.col("dst").alias("m")).distinct().join(member, ["ego", "m"], "left_anti"))
         member = member.unionByName(frontier)
     ego = member.withColumnRenamed("m", "src").join(u, "src").join(member.withColumnRenamed("m", "dst"), ["ego", "dst"]).select("ego", "src", "dst")
 

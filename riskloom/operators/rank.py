@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
+from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import d
 
 EXACT_WINDOW_ROWS = 200_000  # up to here one sort in one task is the faster way
@@ -20,7 +21,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str, rows: int | None
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # read twice, and a second sampling of the ranges could deal otherwise
+    dealt = cut(dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     counts = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return dealt.join(F.broadcast(counts.select("_part", "_before")), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("int")).drop("_part", "_in", "_before")
 
@@ -43,11 +45,11 @@ def pareto_layers(items: DataFrame, risk: str, cost: str, max_layers: int = 1000
     if constant.a == constant.b:  # then a layer is a distinct risk
         return items.withColumn("front", F.dense_rank().over(Window.orderBy(F.desc(risk))))
     while layer <= max_layers:
-        marked = pareto_front(rest, risk, cost).checkpoint() if rest.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else pareto_front(rest, risk, cost).persist()
+        marked = cut(pareto_front(rest, risk, cost))
         front = marked.where("not dominated").drop("dominated").withColumn("front", F.lit(layer))
         out = front if out is None else out.unionByName(front)
         rest = marked.where("dominated").drop("dominated")
-        if rest.limit(1).count() == 0:
+        if rest.isEmpty():
             return out
         layer += 1
     return out.unionByName(rest.withColumn("front", F.lit(layer)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
+from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import clamp, d, tier_number
 from riskloom.operators.markov import forecast
 
@@ -34,12 +35,12 @@ def hops_upstream(connects: DataFrame, max_hops: int = C.MAX_HOPS) -> DataFrame:
 
     A frontier a hop is joined to the edges; what was reached before is taken off by an anti-join.
     """
-    e = connects.select("src", "dst").where("src <> dst").distinct()
+    e = cut(connects.select("src", "dst").where("src <> dst").distinct())
     frontier = e.select(F.col("dst").alias("asset_id"), F.col("src").alias("upstream"), F.lit(1).alias("hop"))
     seen = frontier
     for hop in range(2, max_hops + 1):
         step = frontier.select("asset_id", F.col("upstream").alias("dst")).join(e, "dst").select("asset_id", F.col("src").alias("upstream")).where("asset_id <> upstream").distinct()
-        frontier = step.join(seen.select("asset_id", "upstream"), ["asset_id", "upstream"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = cut(step.join(seen.select("asset_id", "upstream"), ["asset_id", "upstream"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -71,8 +72,8 @@ def hierarchy_closure(tree: DataFrame, levels: int = 16) -> DataFrame:
     up = tree.where("parent is not null").select(F.col("unit").alias("ancestor"), F.col("parent").alias("_up"))
     for _ in range(levels):
         closure = closure.unionByName(frontier)
-        frontier = frontier.join(up, "ancestor").select(F.col("_up").alias("ancestor"), "unit")
-        if frontier.limit(1).count() == 0:
+        frontier = cut(frontier.join(up, "ancestor").select(F.col("_up").alias("ancestor"), "unit"))
+        if frontier.isEmpty():
             break
     return closure
 
@@ -91,12 +92,14 @@ def hierarchy_rollup(units: DataFrame, tree: DataFrame, levels: int = 16) -> Dat
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 8) -> DataFrame:
     """(entry, node, hops, path): one shortest directed path from each entry; of several, the one of least node ids."""
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     frontier = sources.select(F.col("node").alias("entry"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"))
     seen = frontier
     for hop in range(1, max_hops + 1):
         step = frontier.withColumnRenamed("node", "src").join(e, "src").groupBy("entry", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        frontier = step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(hop).alias("hops"), F.concat("path", F.array("node")).alias("path"))
+        frontier = cut(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(hop).alias("hops"), F.concat("path", F.array("node")).alias("path")))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
