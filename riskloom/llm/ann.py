@@ -34,8 +34,8 @@ from riskloom.llm.common import shared_dir, written
 SAMPLE = 16384
 SUB = 2
 T = 0.2
-QUERY_BLOCK = 512
-CODE_BLOCK = 8192
+QUERY_BLOCK = 64
+CODE_BLOCK = 131072
 
 
 def valid(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -166,7 +166,7 @@ def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     # each query block goes to each of a few groups of code blocks
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asks = asks.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = codes.select(F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.pmod(F.crc32("ids"), F.lit(groups)).cast("int").alias("g")).join(asks, "g").drop("g")
+    pairs = codes.select(F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.pmod(F.crc32("ids"), F.lit(groups)).cast("int").alias("g")).join(asks, "g").drop("g").repartition(groups, "q_ids", "c_ids")
 
     def scan(batches):
         for batch in batches:
