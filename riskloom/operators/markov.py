@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,7 +252,6 @@ def general_chain(df: DataFrame, matrix: str, dist: str, what: str, delta: float
     or ``conditional`` (steps from each transient state given absorption there).
     """
     import numpy as np
-    import pandas as pd
 
     def exp(q: np.ndarray) -> np.ndarray:
         squarings = max(0, int(np.ceil(np.log2(max(np.abs(q).sum(), 1e-12)))) + 4)

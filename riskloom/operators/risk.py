@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from riskloom.functions import constants as C
 from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import clamp, d, tier_number
-from riskloom.operators.markov import forecast
 
 
 def criticality_score(tier: Column) -> Column:
@@ -143,8 +142,13 @@ def risk_trend(history: DataFrame, key: str, order: list[str], value: str) -> Da
     )
 
 
-def what_if(df: DataFrame, action: str, factor: float = 0.5, horizons: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
-    """Risk before and after ``patch`` (all mass to 5), ``mitigate`` (2 and 3 to 4) or ``isolate`` (2 and 3 times factor, the rest to 4), and the forecast from there on the given matrix."""
+def what_if(df: DataFrame, action: str, factor: float = 0.5, horizons: tuple[int, ...] = (7, 30, 90), matrix: tuple = C.BASE_TPM) -> DataFrame:
+    """Risk before and after ``patch`` (all mass to 5), ``mitigate`` (2 and 3 to 4) or ``isolate`` (2 and 3 times factor, the rest to 4), and the forecast from there.
+
+    The matrix is the same for all rows, so a horizon's risk is one dot product of the distribution with P^h times the state risks, worked out once on the driver.
+    """
+    import numpy as np
+
     from riskloom.operators.markov import state_risk
 
     df = df.withColumn("risk_before", state_risk())
@@ -163,6 +167,12 @@ def what_if(df: DataFrame, action: str, factor: float = 0.5, horizons: tuple[int
         total = total + x
     df = df.withColumns({f"_n{i}": F.when(total > 0, x / total).otherwise(x) for i, x in enumerate(new)})
     df = df.withColumns({f"s{i}": F.col(f"_n{i}") for i in range(6)}).drop(*[f"_n{i}" for i in range(6)])
-    return forecast(df.withColumn("risk_after", state_risk()), horizons)
+    p = np.array(matrix, float)
+    p = p / p.sum(1, keepdims=True)
+    later = {}
+    for h in horizons:
+        weights = np.linalg.matrix_power(p, h) @ np.array(C.STATE_RISK)
+        later[f"risk_{h}"] = sum((F.col(f"s{i}") * float(w) for i, w in enumerate(weights)), d(0))
+    return df.withColumn("risk_after", state_risk()).withColumns(later)
 
 

@@ -1,0 +1,69 @@
+"""Queries of the text features and the models (E*, L*). Training queries use few trees; sizes are parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.functions.scalar import d, q6
+from riskloom.operators import ml, text
+from riskloom.plans import projection as P
+from riskloom.plans.projection import q6_sql
+from riskloom.plans.registry import query
+
+_TOK = r"regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]{2,}')"
+
+
+def _texts(spark, sf):
+    return P.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, unnest({_TOK}) AS term FROM part), tf AS (SELECT p_partkey, term, count(*) AS tf FROM t GROUP BY ALL),
+ v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000), w AS (SELECT p_partkey, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term))
+ SELECT p_partkey, term, {q6_sql('w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey))')} AS weight FROM w"""
+)
+def tfidf(spark, sf):
+    return text.tfidf(_texts(spark, sf), "p_partkey", "text").select("p_partkey", "term", q6(F.col("weight")).alias("weight"))
+
+
+@query()
+def svd_embed(spark, sf):
+    return text.svd_embedding(text.tfidf(_texts(spark, sf), "p_partkey", "text"), "p_partkey", 8)
+
+
+NAMES = ["cvss", "cvss_exploitability", "cvss_impact", "patch_lag_days", "missing_feature"]
+
+
+def _training(spark, sf):
+    v = P.vulns(spark, sf)
+    return v.select("vuln_id", *[c for c in NAMES if c in v.columns], F.col("is_in_kev").cast("double").alias("y"), F.least(d(10), F.col("cvss") * 1.1).alias("impact"), F.when(F.col("cvss") >= 9, 3.0).when(F.col("cvss") >= 7, 2.0).when(F.col("cvss") >= 4, 1.0).otherwise(0.0).alias("tier"))
+
+
+@query()
+def elp_gbt(spark, sf):
+    t = _training(spark, sf)
+    return ml.predict(t, ml.train_elp(t, NAMES, "y", maxIter=5, maxDepth=3), NAMES, "elp")
+
+
+@query()
+def isa_gbt(spark, sf):
+    t = _training(spark, sf)
+    return ml.predict(t, ml.train_isa(t, NAMES, "impact", maxIter=5, maxDepth=3), NAMES, "isa")
+
+
+@query()
+def acc_rf(spark, sf):
+    t = _training(spark, sf)
+    return ml.predict(t, ml.train_acc(t, NAMES, "tier", numTrees=5, maxDepth=4), NAMES, "acc").select("vuln_id", F.posexplode("acc").alias("tier", "probability"))
+
+
+_CONF = lambda raw: f"greatest(0.05::DOUBLE, least(1, {raw} * 0.8::DOUBLE * greatest(0.05::DOUBLE, exp(-ln(2::DOUBLE) / 90 * (vuln_id % 200)))))"
+
+
+@query(
+    f"""WITH {P.VULN}, s AS (SELECT vuln_id, greatest(0, least(1, 0.5::DOUBLE * (cvss / 10) + CASE WHEN has_public_exploit THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN is_in_kev THEN 0.30::DOUBLE ELSE 0 END)) AS elp, cvss AS isa FROM vuln)
+ SELECT vuln_id, {q6_sql(_CONF('elp'))} AS exploit_probability, isa AS impact_adjustment, {q6_sql(_CONF('1'))} AS confidence FROM s"""
+)
+def inference_bundle(spark, sf):
+    out = ml.bundle(ml.rule_scores(P.vulns(spark, sf)), d(0.8), (F.col("vuln_id") % 200).cast("double"))
+    return out.select("vuln_id", q6(F.col("exploit_probability")).alias("exploit_probability"), "impact_adjustment", q6(F.col("confidence")).alias("confidence"))

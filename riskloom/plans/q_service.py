@@ -1,0 +1,73 @@
+"""Queries of the read side and of the streaming forms run to their end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.functions.scalar import q6
+from riskloom.operators import service as S
+from riskloom.plans import projection as P
+from riskloom.plans.registry import query
+
+_TOP = "top AS (SELECT vuln_id, max(risk) AS risk FROM risk GROUP BY vuln_id)"
+
+
+@query(f"{P.WITH_PAIR}, {P.VULN}, {_TOP} SELECT v.vuln_id, v.cvss, t.risk FROM vuln v LEFT JOIN top t USING (vuln_id) ORDER BY coalesce(risk, 0) DESC, vuln_id LIMIT 50 OFFSET 10")
+def list_vulns(spark, sf):
+    """A page of a list: fifty vulnerabilities from the eleventh on."""
+    return S.listed(P.vulns(spark, sf).select("vuln_id", "cvss"), P.risks(spark, sf), "vuln_id", limit=50, offset=10)
+
+
+@query(f"{P.WITH_PAIR} SELECT a.asset_id, a.hostname, t.risk FROM asset a LEFT JOIN (SELECT asset_id, max(risk) AS risk FROM risk GROUP BY asset_id) t USING (asset_id) ORDER BY coalesce(t.risk, 0) DESC, a.asset_id LIMIT 100")
+def list_assets(spark, sf):
+    """A page of a list: the first hundred assets."""
+    return S.listed(P.assets(spark, sf).select("asset_id", "hostname"), P.risks(spark, sf), "asset_id", limit=100)
+
+
+@query(f"{P.WITH_PAIR} SELECT vuln_id, asset_id, risk FROM risk WHERE risk >= 0.6")
+def risk_pairs_min(spark, sf):
+    return S.risk_pairs(P.risks(spark, sf).select("vuln_id", "asset_id", "risk"), 0.6)
+
+
+@query(f"WITH {P.VULN}, l AS (SELECT l_partkey AS vuln_id, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS assets, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey) SELECT v.vuln_id, v.description, coalesce(assets, '') AS assets, coalesce(n, 0) AS linked_count FROM vuln v LEFT JOIN l USING (vuln_id)")
+def vuln_detail(spark, sf):
+    edges = P.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("vuln_id"), F.col("l_suppkey").alias("asset_id"))
+    out = S.detail(P.vulns(spark, sf).select("vuln_id", "description"), edges, "vuln_id", "asset_id")
+    return out.select("vuln_id", "description", F.coalesce(F.array_join(F.transform("linked", lambda x: x.cast("string")), ","), F.lit("")).alias("assets"), F.col("linked_count").cast("long").alias("linked_count"))
+
+
+@query(f"{P.WITH_PAIR} SELECT CASE WHEN risk >= 0.8 THEN 'critical' WHEN risk >= 0.6 THEN 'high' WHEN risk >= 0.3 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM risk GROUP BY 1")
+def risk_bands(spark, sf):
+    return S.banded(P.risks(spark, sf))
+
+
+@query()
+def prioritization_list(spark, sf):
+    """A top-k report: the first hundred of the final ranking."""
+    from riskloom.plans.q_rank import prioritization_pipeline
+
+    return S.prioritised(prioritization_pipeline(spark, sf), 100)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, floor((sum(value) + 1e-9) * 1e4) / 1e4 AS total FROM events GROUP BY 1, 2")
+def alerts_windowed(spark, sf):
+    from riskloom.streaming.alerts import hourly_alerts
+
+    out = hourly_alerts(spark, f"{sf}/events.parquet")
+    return out.select("window_start", "event_type", "n", (F.floor((F.col("total") + 1e-9) * 1e4) / 1e4).alias("total"))
+
+
+@query()
+def daily_batch(spark, sf):
+    from riskloom.plans.batch import daily_batch as run
+
+    r = run(P.risks(spark, sf).select("vuln_id", "asset_id", "exploit", "impact", "crit", "criticality"), P.connects(spark, sf), P.assets(spark, sf))
+    return r.select("vuln_id", "asset_id", *[q6(F.col(c)).alias(c) for c in ("composite_risk", "propagated_risk", "risk_7", "risk_30", "risk_90", "absorption_time")], "final_rank")
+
+
+@query()
+def feedback_convergence(spark, sf):
+    from riskloom.plans.batch import feedback_loop
+
+    _, log = feedback_loop(P.risks(spark, sf).select("vuln_id", "asset_id", "exploit", "impact", "crit"), P.connects(spark, sf))
+    return spark.createDataFrame(log, "iteration int, delta double, converged boolean")
