@@ -44,8 +44,13 @@ def _normalised(df: DataFrame, cells: dict[tuple[int, int], Column]) -> DataFram
 
 
 def base_matrix(df: DataFrame) -> DataFrame:
-    """M1: the base matrix on every row."""
-    return _normalised(df, {(i, j): d(C.BASE_TPM[i][j]) for i, j in CELLS})
+    """M1: the base matrix, rows normalised, on every row.
+
+    It comes from a one-row table and not as literals: the optimizer would fold literals through the powers of the matrix, at a cost that doubles each time.
+    """
+    row = tuple(C.BASE_TPM[i][j] / sum(C.BASE_TPM[i]) for i, j in CELLS)
+    one = df.sparkSession.createDataFrame([row], ", ".join(f"{p(i, j)} double" for i, j in CELLS))
+    return df.crossJoin(F.broadcast(one))
 
 
 def modulated(df: DataFrame, exploit: str, impact: str, criticality: str) -> DataFrame:
