@@ -14,7 +14,8 @@ common passages do not gather unrelated documents; the order does not touch whic
 
 Equal sets are one class from the start, known by a 128-bit digest. Signatures are dealt out by hash as packed blobs.
 Where few classes share one, all pairs are candidates; where more do, each with the least
-("star"), so a group of thousands gives as many candidates as members. Candidates are verified exactly on the sets,
+("star"), so a group of thousands gives as many candidates as members. Candidates whose sizes or whose counts of elements in
+``CELLS`` hash cells differ by more than similar sets can (a lower bound on the difference) are dropped; the others are verified exactly on the sets,
 best partner first; then those that are not yet connected. If in a large group some member is left unconnected to the
 star's centre, that group's members are compared across components as well, so no link is lost.
 Components come from alternating large-star and small-star steps, each written to the shared folder.
@@ -33,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, U64, bucket_of, by_bucket, column_bytes, from_six, id_bitmap, in_bitmap, lane, mix, narrow, partitions_for, plan_bytes, run_lengths, shared_dir, six_bytes, slices, word_spans, written
+from riskloom.llm.common import LOWER, U64, bucket_of, by_bucket, column_bytes, from_six, id_bitmap, in_bitmap, lane, mix, narrow, partitions_for, plan_bytes, release, remove, run_lengths, shared_dir, six_bytes, slices, small_batches, word_spans, written
 
 K = 5
 SMALL = 200
 ALL_PAIRS = 12  # classes that share a signature, up to which all their pairs are candidates
-FLUSH = 3_000_000
+FLUSH = 1_200_000
+CELLS = 128
+BLOCK = 2048
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = K):
@@ -67,6 +70,11 @@ def digest(s: np.ndarray) -> bytes:
     return np.array([a.sum(dtype=U64) + U64(len(s)), b.sum(dtype=U64)], "<u8").tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements lie in each hash cell, 255 at most: two sets differ in at least the sum of the cells' differences."""
+    return np.minimum(np.bincount((s >> U64(40) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 class Bands:
     def __init__(self):
         self.lo = [1]
@@ -122,7 +130,7 @@ def signatures(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def profile(texts: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, n, node) of every document, and rows (slice, counts) of the hashed shingle counts of each task."""
+    """(doc_id, n, node, cells) of every document, and rows (slice, counts) of the hashed shingle counts of each task."""
     size = 1 << bits
     parts = 16
 
@@ -134,12 +142,12 @@ def profile(texts: DataFrame, bits: int) -> DataFrame:
                 sets = list(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
                 total += np.bincount((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), minlength=size)
                 m = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         step = size // parts
-        yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([total[p * step : (p + 1) * step].astype("<u4").tobytes() for p in range(parts)])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([total[p * step : (p + 1) * step].astype("<u4").tobytes() for p in range(parts)])], names)
 
-    names = ["doc_id", "n", "node", "slice", "counts"]
-    return texts.mapInArrow(run, "doc_id long, n long, node binary, slice int, counts binary")
+    names = ["doc_id", "n", "node", "cells", "slice", "counts"]
+    return texts.mapInArrow(run, "doc_id long, n long, node binary, cells binary, slice int, counts binary")
 
 
 def frequent(profiles: DataFrame, bits: int) -> np.ndarray:
@@ -165,8 +173,8 @@ def frequent(profiles: DataFrame, bits: int) -> np.ndarray:
 # ---------------------------------------------------------------- candidates
 
 
-def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int) -> DataFrame:
-    """Rows (a, b, shared, members): a pair of classes with the signatures shared in one partition, or a star's centre a with all members."""
+def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """Rows (a, b, shared, star, members): a pair of classes with the signatures shared in one partition (star: from a star), or a star's centre a with all members."""
 
     def deal(batches):
         sigs, nodes, seen, size = [], [], {}, 0
@@ -213,7 +221,7 @@ def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int) -> Da
         if not low:
             return
         h = np.concatenate(low)
-        names, node = np.unique(_ordered(np.concatenate(node)), return_inverse=True)
+        names, node = _numbered(_ordered(np.concatenate(node)))
         order = np.lexsort((node, h))
         h, node = h[order], node[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]  # a class comes from several tasks
@@ -221,28 +229,32 @@ def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int) -> Da
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[at, len(h)])
         left, right, stars = [], [], {}
-        for g in range(2, ALL_PAIRS + 1):  # all groups of one size at once
+        for g in range(2, all_pairs + 1):  # all groups of one size at once
             rows = node[at[count == g][:, None] + np.arange(g)]
             i, j = np.triu_indices(g, 1)
             left.append(rows[:, i].ravel())
             right.append(rows[:, j].ravel())
-        for a, c in zip(at[count > ALL_PAIRS].tolist(), count[count > ALL_PAIRS].tolist()):
+        for a, c in zip(at[count > all_pairs].tolist(), count[count > all_pairs].tolist()):
             m = node[a : a + c]
             left.append(np.full(c - 1, m[0]))
             right.append(m[1:])
             stars[m.tobytes()] = m
+        if not left:
+            return
         a, b = np.concatenate(left), np.concatenate(right)
-        pair, shared = np.unique(a.astype(np.int64) * len(names) + b, return_counts=True)
+        pair, back, shared = np.unique(a.astype(np.int64) * len(names) + b, return_inverse=True, return_counts=True)
+        star = np.zeros(len(pair), bool)
+        star[back[sum(len(x) for x in left[: all_pairs - 1]) :]] = True
         a, b = names[pair // len(names)], names[pair % len(names)]
         for x in range(0, len(pair), 8192):
             y = slice(x, x + 8192)
-            yield pa.RecordBatch.from_arrays([pa.array(_bytes(a[y]), pa.binary()), pa.array(_bytes(b[y]), pa.binary()), pa.array(shared[y], pa.int64()), pa.nulls(len(pair[y]), pa.binary())], cols)
+            yield pa.RecordBatch.from_arrays([pa.array(_bytes(a[y]), pa.binary()), pa.array(_bytes(b[y]), pa.binary()), pa.array(shared[y], pa.int64()), pa.array(star[y]), pa.nulls(len(pair[y]), pa.binary())], cols)
         for m in stars.values():
-            yield pa.RecordBatch.from_arrays([pa.array(_bytes(names[m[:1]]), pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(m)], pa.int64()), pa.array([b"".join(_bytes(names[m]))], pa.binary())], cols)
+            yield pa.RecordBatch.from_arrays([pa.array(_bytes(names[m[:1]]), pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(m)], pa.int64()), pa.array([True]), pa.array([b"".join(_bytes(names[m]))], pa.binary())], cols)
 
-    cols = ["a", "b", "shared", "members"]
+    cols = ["a", "b", "shared", "star", "members"]
     dealt = texts.select("text").mapInArrow(deal, "part int, nodes binary, runs binary, low binary").repartitionById(n, "part")
-    return dealt.mapInArrow(find, "a binary, b binary, shared long, members binary")
+    return dealt.mapInArrow(find, "a binary, b binary, shared long, star boolean, members binary")
 
 
 def _ordered(v: np.ndarray) -> np.ndarray:
@@ -250,6 +262,14 @@ def _ordered(v: np.ndarray) -> np.ndarray:
     return np.frombuffer(v.tobytes(), [("x", ">u8"), ("y", ">u8")]).astype([("x", "<u8"), ("y", "<u8")])
 
 
+def _numbered(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct names, number of each); by the first half alone where that tells all apart, as it nearly always does."""
+    _, first, back = np.unique(v["x"], return_index=True, return_inverse=True)
+    if (v["y"][first][back] == v["y"]).all():
+        return v[first], back
+    return np.unique(v, return_inverse=True)
+
+
 def _bytes(v: np.ndarray) -> list[bytes]:
     raw = v.astype([("x", ">u8"), ("y", ">u8")]).tobytes()
     return [raw[i : i + 16] for i in range(0, len(raw), 16)]
@@ -280,6 +300,22 @@ def wanted_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
     return texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(run, "node binary, elements binary")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, shared, ok): ok is false where sizes or cell counts rule a pair out; such pairs stay only if they come from a star."""
+    c = classes.select("node", "n", "cells")
+    both = pairs.join(c.withColumnsRenamed({"node": "a", "n": "m", "cells": "x"}), "a").join(c.withColumnsRenamed({"node": "b", "cells": "y"}), "b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (6, 7))
+            m, n = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            ok = (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (np.abs(x - y).sum(1) <= (m + n) // 7)
+            keep = pa.array(np.flatnonzero(ok | batch.column(3).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(keep) for i in range(3)], pa.array(ok).take(keep)], ["a", "b", "shared", "ok"])
+
+    return both.select("a", "b", "shared", "star", "m", "n", "x", "y").mapInArrow(run, "a binary, b binary, shared long, ok boolean")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, similar): exactly, on the whole sets."""
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "y"}), "b")
@@ -320,6 +356,37 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def across(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): members (star, node, label) of one star but of two components that sizes and cell counts do not rule out.
+
+    A star's members are compared in blocks of about ``BLOCK``, each pair of blocks a group of its own.
+    """
+    m = members.join(classes.select("node", "n", "cells"), "node")
+    m = m.join(members.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "star")
+    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("star", "i", "j", "block", "node", "label", "n", "cells")
+
+    def run(key, table):
+        node, label = np.array(table["node"].to_pylist(), object), np.unique(table["label"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        n, block = table["n"].to_numpy(), table["block"].to_numpy()
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        mine = block == block.min()
+        one = len(set(block.tolist())) == 1
+        if one and key[1].as_py() != key[2].as_py():
+            mine[:] = False  # only one of the two blocks has members
+        other = np.flatnonzero(mine if one else ~mine)
+        a, b = [], []
+        for x in np.flatnonzero(mine):
+            y = other[other > x] if one else other
+            y = y[(label[y] != label[x]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))]
+            y = y[np.abs(cells[y] - cells[x]).sum(1) <= (n[x] + n[y]) // 7]
+            a += [min(node[x], node[z]) for z in y]
+            b += [max(node[x], node[z]) for z in y]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return m.groupBy("star", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component."""
     for c in ("a", "b"):
@@ -327,27 +394,46 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("_a <> _b")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """doc_id, n_shingles, component_id, node (the class of equal sets) for every document."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, all_pairs)
+
+
+def _join(docs: DataFrame, all_pairs: int) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_dir(spark)
     texts = narrow(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")
     n = partitions_for(texts, 8 << 20)
     bits = min(20, max(14, int(plan_bytes(texts) or 1 << 29).bit_length() - 11))
     profiles = written(profile(texts, bits), f"{folder}/profiles")
-    each = profiles.where("slice is null").select("doc_id", "n", "node")
-    classes = written(each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
-    found = written(candidates(texts, frequent(profiles, bits), bits, n), f"{folder}/candidates")
-    pairs = written(found.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")), f"{folder}/pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = written(nodes.join(classes, "node").select("node", F.coalesce("rep", F.lit(-(1 << 63))).alias("rep")), f"{folder}/reps")
-    sets = written(wanted_sets(texts, reps), f"{folder}/sets")
+    each = profiles.where("slice is null").select("doc_id", "n", "node", "cells")
+    classes = written(each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), f"{folder}/classes")
+    found = written(candidates(texts, frequent(profiles, bits), bits, n, all_pairs), f"{folder}/candidates")
+    release(spark)
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("star").alias("star"))
+    pairs = written(plausible(pairs, classes), f"{folder}/pairs")
+    release(spark)
+    ruled_out = pairs.where("not ok").select("a", "b", F.lit(False).alias("similar"))
+    pairs = pairs.where("ok").select("a", "b", "shared")
+
+    def sets_for(pairs: DataFrame, name: str) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        reps = written(nodes.join(classes, "node").select("node", F.coalesce("rep", F.lit(-(1 << 63))).alias("rep")), f"{folder}/reps-{name}")
+        return written(wanted_sets(texts, reps), f"{folder}/sets-{name}")
+
+    sets = sets_for(pairs, "1")
+    release(spark)
 
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select("x.a", "b")
     tested = written(verify(best, sets).distinct(), f"{folder}/verified-1")
+    release(spark)
     labels = written(components(tested.where("similar"), f"{folder}/c1"), f"{folder}/labels-1")
+    release(spark)
     more = _labelled(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), labels).select("a", "b")
     second = written(verify(more, sets).distinct(), f"{folder}/verified-2")
+    remove(spark, f"{folder}/sets-1")
+    release(spark)
     if second.where("similar").limit(1).count():
         tested = tested.unionByName(second)
         labels = written(components(tested.where("similar"), f"{folder}/c2"), f"{folder}/labels-2")
@@ -355,18 +441,19 @@ def join(docs: DataFrame) -> DataFrame:
         tested = tested.unionByName(second)
     # stars with a member outside the centre's component: their members are compared across components
     stars = found.where("members is not null").select("a", "members")
+    tested = tested.unionByName(ruled_out)
     apart = _labelled(tested.where("not similar").select("a", "b"), labels).select("a").distinct()
     open_stars = stars.join(apart, "a", "left_semi").select(F.sha2("members", 256).alias("star"), "members").dropDuplicates(["star"])
     if open_stars.limit(1).count():
-        member = F.explode(F.transform(F.sequence(F.lit(0), F.length("members") / 16 - 1), lambda i: F.substring(F.col("members"), (i * 16 + 1).cast("int"), F.lit(16))))
+        member = F.explode(F.transform(F.sequence(F.lit(0), (F.length("members") / 16).cast("int") - 1), lambda i: F.substring(F.col("members"), i * 16 + 1, F.lit(16))))
         m = open_stars.select("star", member.alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         m = written(m, f"{folder}/members")
-        other = m.withColumnsRenamed({"node": "b", "label": "_b"})
-        third = m.withColumnsRenamed({"node": "a", "label": "_a"}).join(other, "star").where("a < b and _a <> _b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        third = written(verify(third, sets).distinct(), f"{folder}/verified-3")
+        third = written(across(m, classes).distinct().join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs-3")
+        third = written(verify(third, sets_for(third, "3")).distinct(), f"{folder}/verified-3")
         if third.where("similar").limit(1).count():
             labels = written(components(tested.unionByName(third).where("similar"), f"{folder}/c3"), f"{folder}/labels-3")
 
+    release(spark)
     of_class = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = written(of_class.join(ids, "label").select("node", "component_id"), f"{folder}/of_class")
