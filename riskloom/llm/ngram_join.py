@@ -71,8 +71,24 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many elements lie in each hash cell, 255 at most: two sets differ in at least the sum of the cells' differences."""
-    return np.minimum(np.bincount((s >> U64(40) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """How many elements lie in each of ``CELLS`` hash cells, 255 at most, and whether their number is odd in each of 8 * ``CELLS`` finer ones.
+
+    Two sets differ in at least the sum of the cells' differences, and in at least the number of finer cells of unlike parity.
+    """
+    counts = np.minimum(np.bincount((s >> U64(40) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+    odd = np.bincount((s >> U64(20) & U64(8 * CELLS - 1)).astype(np.int64), minlength=8 * CELLS) & 1
+    return counts.tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+def sketches(col: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, parities) of a column of sketches, a row each."""
+    both = np.frombuffer(b"".join(col), np.uint8).reshape(-1, 2 * CELLS)
+    return both[:, :CELLS].astype(np.int16), both[:, CELLS:]
+
+
+def least_difference(x, y) -> np.ndarray:
+    """A lower bound on the number of elements in which the sets differ."""
+    return np.maximum(np.abs(x[0] - y[0]).sum(1), np.bitwise_count(x[1] ^ y[1]).sum(1, dtype=np.int64))
 
 
 class Bands:
@@ -307,9 +323,9 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (6, 7))
+            x, y = (sketches(batch.column(i).to_pylist()) for i in (6, 7))
             m, n = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            ok = (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (np.abs(x - y).sum(1) <= (m + n) // 7)
+            ok = (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (least_difference(x, y) <= (m + n) // 7)
             keep = pa.array(np.flatnonzero(ok | batch.column(3).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(keep) for i in range(3)], pa.array(ok).take(keep)], ["a", "b", "shared", "ok"])
 
@@ -369,7 +385,7 @@ def across(members: DataFrame, classes: DataFrame) -> DataFrame:
     def run(key, table):
         node, label = np.array(table["node"].to_pylist(), object), np.unique(table["label"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
         n, block = table["n"].to_numpy(), table["block"].to_numpy()
-        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        counts, parity = sketches(table["cells"].to_pylist())
         mine = block == block.min()
         one = len(set(block.tolist())) == 1
         if one and key[1].as_py() != key[2].as_py():
@@ -379,7 +395,7 @@ def across(members: DataFrame, classes: DataFrame) -> DataFrame:
         for x in np.flatnonzero(mine):
             y = other[other > x] if one else other
             y = y[(label[y] != label[x]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))]
-            y = y[np.abs(cells[y] - cells[x]).sum(1) <= (n[x] + n[y]) // 7]
+            y = y[least_difference((counts[y], parity[y]), (counts[x], parity[x])) <= (n[x] + n[y]) // 7]
             a += [min(node[x], node[z]) for z in y]
             b += [max(node[x], node[z]) for z in y]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
