@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
+from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import split_list
 
 NODE = "node_id string, node_type string, attrs map<string,string>"
@@ -186,13 +187,13 @@ def import_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Data
     parts = [(i, *READERS[r](spark, p)) for i, p in enumerate(sorted(paths)) if (r := route(p))]
     if not parts:
         return spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE)
-    nodes = union(*[n.withColumn("_seq", F.lit(i)) for i, n, _ in parts])
-    edges = union(*[e for _, _, e in parts]).distinct()
+    nodes = cut(union(*[n.withColumn("_seq", F.lit(i)) for i, n, _ in parts]))  # every file is parsed once
+    edges = cut(union(*[e for _, _, e in parts]).distinct())
     each = nodes.select("node_id", "node_type", "_seq", F.explode_outer("attrs").alias("k", "v"))
     known = nodes.where(~F.coalesce(F.map_contains_key("attrs", F.lit("_only_if_known")), F.lit(False))).select("node_id").distinct()
     each = each.join(known, "node_id", "left_semi")
     attrs = each.where("k is not null and k <> '_only_if_known'").groupBy("node_id", "k").agg(F.max_by("v", "_seq").alias("v")).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attrs"))
-    merged = each.groupBy("node_id").agg(F.max_by("node_type", "_seq").alias("node_type")).join(attrs, "node_id", "left")
+    merged = cut(each.groupBy("node_id").agg(F.max_by("node_type", "_seq").alias("node_type")).join(attrs, "node_id", "left"))
     return merged, resolve_links(edges, merged)
 
 
