@@ -8,6 +8,8 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+HOPS_A_CUT = 16  # a walk without a hop limit cuts the union of its hops this often, so its plan stays small
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder (spark.checkpoint.dir, shared by the executors) and read from there from now on.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
-from riskloom.functions.lineage import cut
+from riskloom.functions.lineage import HOPS_A_CUT, cut
 from riskloom.functions.scalar import cpe_canonical, d
 
 
@@ -116,18 +118,23 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(per, "n", "left").select(F.col("n").alias("node"), F.when(k > 1, F.coalesce("t", F.lit(0)) * 2.0 / (k * (k - 1))).otherwise(d(0)).alias("clustering"))
 
 
-def path_depth(edges: DataFrame, starts: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
-    """Per (vuln_id, asset_id), least hops from any start of the vulnerability (vuln_id, node) to the asset; -1 if none within ``max_hops``."""
+def path_depth(edges: DataFrame, starts: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Per (vuln_id, asset_id), least hops from any start of the vulnerability (vuln_id, node) to the asset; -1 if there is no path.
+
+    The walk ends when a hop reaches nothing new, or after ``max_hops`` if given (then -1 also stands for longer paths).
+    """
     e = cut(edges.select("src", "dst").distinct())
     # walked once for each distinct start, however many vulnerabilities share it
     frontier = starts.select(F.col("node").alias("root"), "node").distinct().withColumn("hops", F.lit(0))
     seen = frontier
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         step = frontier.withColumnRenamed("node", "src").join(e, "src").select("root", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % HOPS_A_CUT == 0:
+            seen = cut(seen)
     roots = starts.select("vuln_id", F.col("node").alias("root")).distinct()
     depth = pairs.select("vuln_id", "asset_id").join(roots, "vuln_id").join(seen.withColumnRenamed("node", "asset_id"), ["root", "asset_id"]).groupBy("vuln_id", "asset_id").agg(F.min("hops").alias("hops"))
     return pairs.select("vuln_id", "asset_id").join(depth, ["vuln_id", "asset_id"], "left").select("vuln_id", "asset_id", F.coalesce(F.col("hops"), F.lit(-1)).cast("double").alias("attack_path_depth"))

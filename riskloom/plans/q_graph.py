@@ -123,7 +123,7 @@ def clustering(spark, sf):
 def path_depth(spark, sf):
     starts = P.table(spark, sf, "part").select(F.col("p_partkey").alias("vuln_id"), (F.col("p_partkey") * 3 % 100).alias("node"))
     pairs = P.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("vuln_id"), F.col("l_suppkey").alias("asset_id")).distinct()
-    return G.path_depth(P.connects(spark, sf), starts, pairs, 6)
+    return G.path_depth(P.connects(spark, sf), starts, pairs)
 
 
 @query()
