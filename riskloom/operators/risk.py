@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
-from riskloom.functions.lineage import cut
+from riskloom.functions.lineage import HOPS_A_CUT, cut
 from riskloom.functions.scalar import clamp, d, tier_number
 
 
@@ -89,21 +91,26 @@ def hierarchy_rollup(units: DataFrame, tree: DataFrame, levels: int = 16) -> Dat
     )
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 8) -> DataFrame:
-    """(entry, node, hops, path): one shortest directed path from each entry; of several, the one of least node ids."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(entry, node, hops, path): one shortest directed path from each entry; of several, the one of least node ids.
+
+    The walk ends when a hop reaches nothing new, or after ``max_hops`` if given.
+    """
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     frontier = sources.select(F.col("node").alias("entry"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"))
     seen = frontier
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         step = frontier.withColumnRenamed("node", "src").join(e, "src").groupBy("entry", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
         frontier = cut(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(hop).alias("hops"), F.concat("path", F.array("node")).alias("path")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % HOPS_A_CUT == 0:
+            seen = cut(seen)
     return seen
 
 
-def critical_paths(assets: DataFrame, connects: DataFrame, asset_risk: DataFrame, top_n: int = 10, max_hops: int = 8) -> DataFrame:
+def critical_paths(assets: DataFrame, connects: DataFrame, asset_risk: DataFrame, top_n: int = 10, max_hops: int | None = None) -> DataFrame:
     """The riskiest shortest paths from externally facing assets to critical or high ones."""
     entries = assets.where(F.lower("zone").isin(*C.ENTRY_ZONES)).select(F.col("asset_id").alias("node"))
     targets = assets.where(F.lower("criticality").isin("critical", "high")).select(F.col("asset_id").alias("node"))

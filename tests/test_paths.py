@@ -2,7 +2,7 @@
 
 from collections import deque
 
-from riskloom.operators import graph
+from riskloom.operators import graph, risk
 
 
 def bfs(edges, root):
@@ -26,3 +26,30 @@ def test_path_depth_has_no_hop_limit(spark):
     assert want["v", 19] == 16  # far beyond six hops, and past one cut of the union
     df = graph.path_depth(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(starts, "vuln_id string, node int"), spark.createDataFrame(pairs, "vuln_id string, asset_id int"))
     assert {(r.vuln_id, r.asset_id): r.attack_path_depth for r in df.collect()} == want
+
+
+def test_critical_paths_has_no_hop_limit(spark):
+    edges = [(i, i + 1) for i in range(1, 20)] + [(1, 3), (1, 2), (4, 7), (4, 6), (6, 8), (12, 1)]
+    value = {i: float(i % 4 + 1) for i in range(1, 21)}
+    zone = {1: "dmz", 5: "External"}
+    tier = {10: "high", 15: "Critical", 20: "critical", 3: "low"}
+
+    def shortest(entry):
+        """Each node's least path among its shortest."""
+        out, level = {entry: [entry]}, {entry: [entry]}
+        while level:
+            step = {}
+            for a, p in level.items():
+                for x, b in edges:
+                    if x == a and b not in out:
+                        step[b] = min(step.get(b, [*p, b]), [*p, b])
+            out |= step
+            level = step
+        return out
+
+    want = [(e, t, len(p) - 1, sum(value[n] for n in p)) for e in zone for t, p in shortest(e).items() if t in (10, 15, 20) and t != e]
+    want.sort(key=lambda x: (-x[3], x[0], x[1]))
+    assert want[0][2] > 8 and len(want) == 6
+    assets = spark.createDataFrame([(i, zone.get(i, "internal"), tier.get(i, "medium")) for i in value], "asset_id int, zone string, criticality string")
+    df = risk.critical_paths(assets, spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(list(value.items()), "asset_id int, direct_risk double"))
+    assert [(r.entry, r.target, r.hops, r.path_risk) for r in df.collect()] == want
