@@ -39,7 +39,10 @@ def pareto_front(items: DataFrame, risk: str, cost: str) -> DataFrame:
 
 
 def pareto_layers(items: DataFrame, risk: str, cost: str, max_layers: int = 1000) -> DataFrame:
-    """Column ``front`` from 1, layer by layer: each layer's front is peeled off the rest until nothing is left."""
+    """Column ``front`` from 1, layer by layer: each layer's front is peeled off the rest until nothing is left.
+
+    What is left after ``max_layers`` rounds gets its layers from ``pareto_chain``, numbered on from there.
+    """
     rest, out, layer = items, None, 1
     constant = items.agg(F.min(cost).alias("a"), F.max(cost).alias("b")).first()
     if constant.a == constant.b:  # then a layer is a distinct risk
@@ -52,7 +55,8 @@ def pareto_layers(items: DataFrame, risk: str, cost: str, max_layers: int = 1000
         if rest.isEmpty():
             return out
         layer += 1
-    return out.unionByName(rest.withColumn("front", F.lit(layer)))
+    deeper = pareto_chain(rest, risk, cost).withColumn("front", F.col("front") + (layer - 1))
+    return deeper if out is None else out.unionByName(deeper)
 
 
 def pareto_chain(items: DataFrame, risk: str, cost: str) -> DataFrame:

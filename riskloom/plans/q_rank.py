@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import q6
 from riskloom.operators import backtest as B
 from riskloom.operators import rank as K
@@ -42,8 +43,9 @@ def pareto_front1(spark, sf):
  SELECT r, c, max(layer) AS front FROM chain GROUP BY r, c"""
 )
 def pareto_layers(spark, sf):
-    points = _items(spark, sf).select(F.floor(F.col("composite_risk") * 25).cast("double").alias("r"), F.floor(F.col("remediation_cost") * 25).cast("double").alias("c")).distinct()
-    return K.pareto_chain(points, "r", "c")
+    """Every item's front at full precision; all distinct (risk, cost) points meet in one task. The SQL above layers the cells of a grid instead."""
+    items = cut(_items(spark, sf).select("pair_key", "composite_risk", "remediation_cost"))
+    return K.pareto_chain(items, "composite_risk", "remediation_cost").select("pair_key", "front")
 
 
 @query(f"{ITEMS} SELECT pair_key, {q6_sql('composite_risk / greatest(remediation_cost, 0.01)')} AS benefit_ratio, row_number() OVER (ORDER BY {q6_sql('composite_risk / greatest(remediation_cost, 0.01)')} DESC, pair_key) AS cost_benefit_rank FROM items")
