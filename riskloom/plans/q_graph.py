@@ -128,7 +128,7 @@ def path_depth(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    return G.betweenness(P.connects(spark, sf), P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), 2)
+    return G.betweenness(P.connects(spark, sf), P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")))
 
 
 # ---------------------------------------------------------------- stores

@@ -1,4 +1,4 @@
-"""Queries of the text features and the models (E*, L*). Training queries use few trees; sizes are parameters."""
+"""Queries of the text features and the models (E*, L*). Sizes are the operators' defaults."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def tfidf(spark, sf):
 
 @query()
 def svd_embed(spark, sf):
-    return text.svd_embedding(text.tfidf(_texts(spark, sf), "p_partkey", "text"), "p_partkey", 8)
+    return text.svd_embedding(text.tfidf(_texts(spark, sf), "p_partkey", "text"), "p_partkey")
 
 
 NAMES = ["cvss", "cvss_exploitability", "cvss_impact", "patch_lag_days", "missing_feature"]
@@ -42,19 +42,19 @@ def _training(spark, sf):
 @query()
 def elp_gbt(spark, sf):
     t = _training(spark, sf)
-    return ml.predict(t, ml.train_elp(t, NAMES, "y", maxIter=5, maxDepth=3), NAMES, "elp")
+    return ml.predict(t, ml.train_elp(t, NAMES, "y"), NAMES, "elp")
 
 
 @query()
 def isa_gbt(spark, sf):
     t = _training(spark, sf)
-    return ml.predict(t, ml.train_isa(t, NAMES, "impact", maxIter=5, maxDepth=3), NAMES, "isa")
+    return ml.predict(t, ml.train_isa(t, NAMES, "impact"), NAMES, "isa")
 
 
 @query()
 def acc_rf(spark, sf):
     t = _training(spark, sf)
-    return ml.predict(t, ml.train_acc(t, NAMES, "tier", numTrees=5, maxDepth=4), NAMES, "acc").select("vuln_id", F.posexplode("acc").alias("tier", "probability"))
+    return ml.predict(t, ml.train_acc(t, NAMES, "tier"), NAMES, "acc").select("vuln_id", F.posexplode("acc").alias("tier", "probability"))
 
 
 _CONF = lambda raw: f"greatest(0.05::DOUBLE, least(1, {raw} * 0.8::DOUBLE * greatest(0.05::DOUBLE, exp(-ln(2::DOUBLE) / 90 * (vuln_id % 200)))))"
