@@ -40,8 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, _, draws = mixing.mixed(docs)
-    copies = draws.where("2 * words >= size").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    copies = draws.where("2 * words >= size").groupBy(*mixing.ROW).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    rows = mixing.numbered(docs.withColumn("size", mixing.words(docs["text"])), [F.xxhash64(*docs.columns)])
+    return mixing.join_rows(rows, copies).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ Only DataFrame functions; everything is a function of seed, doc_id, source and s
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own,
 last in order; rows that repeat a doc_id are each drawn; with no words at all every target is
-0. Null doc_ids hash as the empty string. Extra columns are not read.
+0. Null doc_ids stand last on the line. ROW tells rows apart where doc_id does not. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,10 +33,29 @@ from riskloom.llm.common import shared_dir, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Together the key of a row: nth counts the rows that agree on the others.
+ROW = ("doc_id", "source", "size", "nth")
+
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, line_key): size in words."""
-    return docs.select(docs["doc_id"], docs["source"], F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, nth): size in words."""
+    return numbered(docs.select("doc_id", "source", words(docs["text"]).alias("size")), [F.lit(0)])
+
+
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows``, which have doc_id, source and size, with nth from 1 in ``order``."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*ROW[:-1]).orderBy(*order)))
+
+
+def join_rows(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """A join on ROW in which nulls are equal; ``other``'s key columns go."""
+    o = other.withColumnsRenamed({c: f"_o_{c}" for c in ROW})
+    same = [rows[c].eqNullSafe(o[f"_o_{c}"]) for c in ROW]
+    return rows.join(o, same, how).drop(*[f"_o_{c}" for c in ROW])
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -55,15 +74,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), facto
 
 def line(sizes: DataFrame, targets: DataFrame, seed: str, digits: int) -> DataFrame:
     """Each document with its source's target and where it begins on the source's permuted line of words."""
-    d = sizes.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    d = sizes.withColumn("_h", F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), F.lit("g")))
     d = d.withColumn("_range", F.substring("_h", 1, digits))
     ranges = d.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     ranges = ranges.withColumn("_base", F.sum("_words").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
     ranges = ranges.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce("_base", F.lit(0)).alias("_base"), "source_ix", "source_size", "target")
-    inside = Window.partitionBy("source", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_range").orderBy("_h", "doc_id", "size", "nth").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    return d.select("doc_id", "source", "size", "source_ix", "source_size", "target", (F.col("_base") + F.col("_inside")).alias("starts"))
+    return d.select(*ROW, "source_ix", "source_size", "target", (F.col("_base") + F.col("_inside")).alias("starts"))
 
 
 def draws(on_line: DataFrame) -> DataFrame:
@@ -73,7 +92,7 @@ def draws(on_line: DataFrame) -> DataFrame:
     d = on_line.withColumn("_whole", whole).withColumn("_rest", rest)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("starts"))).cast("long")
     pieces = F.transform(F.sequence(F.lit(0), F.col("_whole")), lambda i: F.struct(i.cast("long").alias("copy"), F.when(i < F.col("_whole"), F.col("size")).otherwise(part).alias("words"), (i * F.col("source_size") + F.col("starts")).alias("place")))
-    return d.select("doc_id", "source", "size", "source_ix", "source_size", "target", F.explode(F.filter(pieces, lambda p: (p["words"] > 0) | (p["copy"] < 0))).alias("p")).select("doc_id", "source", "size", "source_ix", "source_size", "target", "p.*")
+    return d.select(*ROW, "source_ix", "source_size", "target", F.explode(F.filter(pieces, lambda p: (p["words"] > 0) | (p["copy"] < 0))).alias("p")).select(*ROW, "source_ix", "source_size", "target", "p.*")
 
 
 def _normal(*key: Column) -> Column:

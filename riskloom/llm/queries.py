@@ -127,14 +127,14 @@ FROM d
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm.mixing import mixed
+    from riskloom.llm.mixing import ROW, join_rows, mixed
 
     sizes, targets, draws = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = draws.groupBy("doc_id").agg(F.sum("words").alias("taken"))
+    taken = draws.groupBy(*ROW).agg(F.sum("words").alias("taken"))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     return (
-        sizes.join(F.broadcast(t) if t.limit(1001).count() <= 1000 else t, F.col("source").eqNullSafe(F.col("_s")))
-        .join(taken, "doc_id", "left")
+        join_rows(sizes, taken, "left")
+        .join(F.broadcast(t) if t.limit(1001).count() <= 1000 else t, F.col("source").eqNullSafe(F.col("_s")))
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
