@@ -83,7 +83,7 @@ class Scanner:
         return out
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits): the best match of each stretch in which a notice's piece stands."""
+        """(label, start, end, edits): in each stretch in which a notice's piece stands, the best match and, before and after it, the best of what is left."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.seeds.iter(text):
             for i, at in where:
@@ -99,10 +99,14 @@ class Scanner:
         for i, spans in windows.items():
             _, label, _, rx = self.notices[i]
             for a, b in spans:
-                at = a
-                while m := rx.search(text, at, b):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = m.end()
+                parts, found = [(a, b)], []
+                while parts:
+                    a, b = parts.pop()
+                    # the best match of a part may have others on either side
+                    if m := rx.search(text, a, b):
+                        found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        parts += [(a, m.start()), (m.end(), b)]
+                out += sorted(found)
         return out
 
 
