@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 FLUSH_BYTES = 48 << 20  # of packed records that a writing task holds
 U64 = np.uint64
 
@@ -32,13 +33,14 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one is set, but only for a local master: on a cluster it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = tempfile.mkdtemp(prefix="riskloom-")
             spark.sparkContext.setCheckpointDir(base)
@@ -162,44 +164,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+LONG = 256  # bytes from which a word's name is a keyed BLAKE2b digest
+TAIL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], U64)
+
+
 class Lane:
-    """Polynomial fingerprints modulo 2**64 by prefix sums: any run of bytes or of symbols in constant time."""
+    """Seeded 64-bit names of words (runs of bytes) and of runs of k symbols.
+
+    A word is absorbed eight bytes at a time, with the whole state mixed after each step: no algebraic relation between
+    places survives, as it does in polynomial fingerprints modulo 2**64. Words of ``LONG`` bytes or more take a keyed BLAKE2b digest.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        self.base = [U64(int(x) * 8 + 5) for x in rng.integers(1 << 40, 1 << 59, 2)]
-        self.power: list[np.ndarray] = [np.ones(1, U64)] * 2
-        self.inverse: list[np.ndarray] = [np.ones(1, U64)] * 2
-
-    def _powers(self, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.power[which]) < n:
-            m = 1 << max(16, int(n - 1).bit_length())
-            for store, b in ((self.power, self.base[which]), (self.inverse, U64(pow(int(self.base[which]), -1, 1 << 64)))):
-                p = np.full(m, b, U64)
-                p[0] = 1
-                store[which] = np.multiply.accumulate(p)
-        return self.power[which], self.inverse[which]
+        self.start, self.odd, self.sym = (U64(int(x) * 2 + 1) for x in rng.integers(1 << 40, 1 << 62, 3))
+        self.key = rng.bytes(16)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        power, inverse = self._powers(0, len(data) + 1)
-        total = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.table[data] * power[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
-
-    def runs(self, symbols: np.ndarray, at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
-        """Fingerprints of symbols[at : at + k]."""
-        power, inverse = self._powers(1, len(symbols) + 1)
-        total = np.zeros(len(symbols) + 1, U64)
-        np.cumsum(symbols * power[: len(symbols)], out=total[1:])
-        return mix((total[at + k] - total[at]) * inverse[at] + np.asarray(k).astype(U64))
+        size = ends - starts
+        buf = np.empty(len(data) + 8, np.uint8)
+        buf[: len(data)], buf[len(data) :] = data, 0
+        eight = np.ndarray((len(data) + 1,), "<u8", buf, strides=(1,))  # the 8 bytes at every place
+        h = mix(size.astype(U64) * self.odd + self.start)
+        h = mix(h ^ (eight[starts] & TAIL[np.minimum(size, 8)]))
+        live = np.flatnonzero((size > 8) & (size < LONG))
+        at = 8
+        while len(live):
+            h[live] = mix((h[live] + self.odd) ^ (eight[starts[live] + at] & TAIL[np.minimum(size[live] - at, 8)]))
+            at += 8
+            live = live[size[live] > at]
+        for i in np.flatnonzero(size >= LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
+        return h
+
+    def runs(self, symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Names of symbols[at : at + k]."""
+        h = np.full(len(at), self.start + U64(k), U64)
+        for i in range(k):
+            h += symbols[at + i]
+            h *= self.sym
+            h ^= h >> U64(32)
+        return mix(h)
 
 
 _LANES: dict[int, Lane] = {}
 
 
 def lane(seed: int) -> Lane:
-    """One for each worker process, with its tables."""
     if seed not in _LANES:
         _LANES[seed] = Lane(seed)
     return _LANES[seed]
