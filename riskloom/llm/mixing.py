@@ -5,21 +5,23 @@
    In closed form: sorted by cap over weight, the capped sources are a prefix.
 2. ``draws``: a source's documents lie on a line in a fixed random order (MD5 of seed and
    doc_id). Its target is so many whole passes over the line and the start of one
-   more; the document on the last border is taken in part. Prefix sums
-   are two-pass: totals of (source, hash range) first, then sums inside each range, so that
-   no task holds a whole source.
-3. ``shard_blocks``: the words drawn from a source form blocks of ``block_words``. The root of
-   the tree has each source's exact number of blocks; a node deals its counts to two halves of
-   its shards, source after source by a hypergeometric draw given what is left (normal
-   quantile, held to the distribution's support, so all sums are exact). A leaf is a
-   shard's quota for each source; quotas become disjoint ranges of the source's permuted blocks.
-4. ``mixed``: every draw with its shard and a key by which the shard is shuffled locally.
-
-Only DataFrame functions; everything is a function of seed, doc_id, source and sizes, so reruns agree.
+   more, cut into blocks of ``block_words`` words. Prefix sums are two-pass: totals of (source, hash range)
+   first, then sums inside each range, so that no task holds a whole source.
+3. ``shard_blocks``: the root of the tree has each source's exact number of blocks; a node deals its counts to two halves of
+   its shards, source after source by a hypergeometric draw given what is left: the inverse of the distribution function at a
+   hashed uniform number, summed over all values within ten standard deviations and ten more (what lies beyond is below 1e-20).
+   A leaf is a shard's quota for each source; quotas become disjoint ranges of the source's permuted blocks.
+4. ``mixed``: what the mix takes is what lies in the leaves' blocks: a document's words are dealt to blocks, blocks to shards, and
+   each piece has its shard and the key by which the shard is shuffled. ``mixed_documents`` deals whole documents to
+   shards and shuffles each shard by that key.
+
+Only DataFrame functions; everything is a function of seed, doc_id, source and sizes, so reruns agree. A node of the tree holds an array of
+one number a source: sources may number thousands, not millions.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own,
-last in order; rows that repeat a doc_id are each drawn; with no words at all every target is
-0. Null doc_ids stand last on the line. ROW tells rows apart where doc_id does not. Extra columns are not read.
+last in order; rows that repeat a doc_id are each drawn, those that agree in all columns of ROW in any order; with no words at all every target is
+0; an empty table takes nothing. Null doc_ids stand last on the line. ROW tells rows apart where doc_id does not. A very long document
+spans many blocks, and so may several shards. Extra columns are not read; ``mixed_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import shared_dir, written
+from riskloom.llm.common import narrow, partitions_for, shared_dir, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,32 +88,64 @@ def line(sizes: DataFrame, targets: DataFrame, seed: str, digits: int) -> DataFr
 
 
 def draws(on_line: DataFrame) -> DataFrame:
-    """One row for each piece that the mix takes: copy (0, 1), words, and its place on the source's drawn line."""
+    """One row for each copy of which the mix takes a piece: copy (0, 1), words, and its place on the source's drawn line."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + 0.5).cast("long")
     d = on_line.withColumn("_whole", whole).withColumn("_rest", rest)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("starts"))).cast("long")
     pieces = F.transform(F.sequence(F.lit(0), F.col("_whole")), lambda i: F.struct(i.cast("long").alias("copy"), F.when(i < F.col("_whole"), F.col("size")).otherwise(part).alias("words"), (i * F.col("source_size") + F.col("starts")).alias("place")))
-    return d.select(*ROW, "source_ix", "source_size", "target", F.explode(F.filter(pieces, lambda p: (p["words"] > 0) | (p["copy"] < 0))).alias("p")).select(*ROW, "source_ix", "source_size", "target", "p.*")
+    return d.select(*ROW, "source_ix", "source_size", "target", F.explode(F.filter(pieces, lambda p: p["words"] > 0)).alias("p")).select(*ROW, "source_ix", "source_size", "target", "p.*")
 
 
-def _normal(*key: Column) -> Column:
-    u = lambda i: (F.xxhash64(*key, F.lit(i)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
-    return F.sqrt(-2.0 * F.ln(u(1))) * F.cos(u(2) * (2 * math.pi))
+def in_blocks(pieces: DataFrame, block_words: int) -> DataFrame:
+    """Pieces cut at the borders of blocks: block, place and words of each part."""
+    b = F.lit(block_words).cast("long")
+    end = F.col("place") + F.col("words")
+    cut = pieces.withColumn("_end", end).withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / b), F.floor((end - 1) / b))))
+    cut = cut.withColumn("_from", F.greatest(F.col("place"), F.col("block") * b))
+    return cut.withColumns({"words": F.least(F.col("_end"), (F.col("block") + 1) * b) - F.col("_from"), "place": F.col("_from")}).drop("_end", "_from")
+
+
+def _uniform(*key: Column) -> Column:
+    return (F.xxhash64(*key).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
+
+
+def hypergeometric(left: Column, k: Column, n: Column, u: Column) -> Column:
+    """How many of n things drawn out of ``left``, of which k are of a kind, are of it: the smallest x at which the distribution function reaches u."""
+    of = lambda x: x.cast("double")
+    mean = of(n) * of(k) / F.greatest(of(left), F.lit(1.0))
+    sd = F.sqrt(mean * (1 - of(k) / F.greatest(of(left), F.lit(1.0))) * of(left - n) / F.greatest(of(left) - 1, F.lit(1.0)))
+    least, most = F.greatest(F.lit(0).cast("long"), n - (left - k)), F.least(n, k)
+    lo = F.greatest(least, F.floor(mean - 10 * sd - 10)).cast("long")
+    hi = F.least(most, F.ceil(mean + 10 * sd + 10)).cast("long")
+    # weights relative to that of lo, each from the one before
+    ratio = lambda x: of(k - x + 1) * of(n - x + 1) / (of(x) * of(left - k - n + x))
+    weight = lambda acc, x: F.when(x == acc["lo"], F.lit(1.0)).otherwise(acc["w"] * ratio(x))
+
+    def grow(acc: Column, x: Column) -> Column:
+        w = weight(acc, x)
+        return F.struct(acc["lo"].alias("lo"), w.alias("w"), (acc["sum"] + w).alias("sum"))
+
+    def seek(acc: Column, x: Column) -> Column:
+        w = weight(acc, x)
+        return F.struct(acc["lo"].alias("lo"), w.alias("w"), (acc["sum"] + w).alias("sum"), acc["goal"].alias("goal"), F.when((acc["at"] < 0) & (acc["sum"] + w >= acc["goal"]), x).otherwise(acc["at"]).alias("at"))
+
+    span = F.sequence(lo, F.greatest(lo, hi))
+    zero = F.lit(0.0)
+    total = F.aggregate(span, F.struct(lo.alias("lo"), zero.alias("w"), zero.alias("sum")), grow)["sum"]
+    found = F.aggregate(span, F.struct(lo.alias("lo"), zero.alias("w"), zero.alias("sum"), (total * u).alias("goal"), F.lit(-1).cast("long").alias("at")), seek)["at"]
+    return F.when(found < 0, hi).otherwise(found)
 
 
 def shard_blocks(targets: DataFrame, shards: int, block_words: int, seed: int = 7) -> DataFrame:
     """(source_ix, block, shard): which shard each permuted block of each source belongs to."""
-    blocks = F.ceil(F.col("target") / F.lit(float(block_words))).cast("long")
+    blocks = F.ceil(F.floor(F.col("target") + 0.5) / F.lit(float(block_words))).cast("long")
     nodes = targets.agg(F.transform(F.array_sort(F.collect_list(F.struct("source_ix", blocks.alias("n")))), lambda x: x["n"]).alias("counts")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts")
 
     def deal(acc: Column, i: Column, counts: Column, lo: Column, hi: Column) -> Column:
         k = F.element_at(counts, i)
         left, n = acc["left"], acc["n"]  # blocks not yet dealt, of which n go to the lower half
-        mean = n * k / F.greatest(left, F.lit(1))
-        var = mean * (1 - k / F.greatest(left, F.lit(1))) * (left - n) / F.greatest(left - 1, F.lit(1))
-        x = F.round(mean + F.sqrt(F.greatest(var, F.lit(0.0))) * _normal(F.lit(seed), lo, hi, i)).cast("long")
-        x = F.greatest(F.lit(0), n - (left - k), F.least(n, k, x)).cast("long")
+        x = hypergeometric(left, k, n, _uniform(F.lit(seed), lo, hi, i))
         return F.struct((left - k).alias("left"), (n - x).alias("n"), F.concat(acc["took"], F.array(x)).alias("took"))
 
     for _ in range(max(1, math.ceil(math.log2(max(shards, 2))))):
@@ -129,13 +163,30 @@ def shard_blocks(targets: DataFrame, shards: int, block_words: int, seed: int =
     return quota.select("source_ix", "shard", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("block"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0, shards: int = 32, block_words: int = 65536, seed: str = "mix") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sizes, targets, draws): draws has the shard and the local shuffle key of every piece taken."""
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0, shards: int | None = None, block_words: int = 65536, seed: str = "mix") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes, targets, draws): draws has a row for each part of a document in a leaf's block, with words, block, place, shard and shuffle key.
+
+    ``shards``: one for every 256 MB of input where not given, and no fewer than the session's shuffle partitions.
+    """
     folder = shared_dir(docs.sparkSession)
+    shards = shards or partitions_for(narrow(docs, "doc_id", "source", "text"), 256 << 20)
     sizes = written(sizes_of(docs), f"{folder}/sizes")
     targets = written(source_targets(sizes, weights, factor, most), f"{folder}/targets")
     largest = targets.agg(F.max("n_docs")).first()[0] or 1
     digits = min(6, max(2, math.ceil(math.log(max(1, largest / 2000), 16))))
-    taken = draws(line(sizes, targets, seed, digits)).withColumn("block", F.floor(F.col("place") / block_words).cast("long"))
-    taken = taken.join(shard_blocks(targets, shards, block_words), ["source_ix", "block"], "left")
+    leaves = written(shard_blocks(targets, shards, block_words), f"{folder}/leaves")
+    taken = in_blocks(draws(line(sizes, targets, seed, digits)), block_words).join(leaves, ["source_ix", "block"])
     return sizes, targets, taken.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """Whole documents of the mix, all their columns: a copy is in if at least half of its words are taken; it goes to the shard of its
+    first block. Shards are partitions, shuffled by the key."""
+    _, _, parts = mixed(docs, **how)
+    copies = parts.groupBy(*ROW, "copy", "shuffle_key").agg(F.sum("words").alias("words"), F.min_by("shard", "place").alias("_shard")).where("2 * words >= size")
+    copies = copies.select(*[F.col(c).alias(f"_o_{c}") for c in ROW], "_shard", F.col("shuffle_key").alias("_shuffle"))
+    # the row's own columns travel as one struct, so that no name of theirs can clash
+    rows = docs.select(docs["doc_id"], docs["source"], words(docs["text"]).alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = numbered(rows, [F.xxhash64("_row")])
+    out = rows.join(copies, [rows[c].eqNullSafe(copies[f"_o_{c}"]) for c in ROW])
+    return out.repartition("_shard").sortWithinPartitions("_shard", "_shuffle").select("_row.*")
