@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.common import column_bytes, narrow, slices
 
@@ -166,13 +167,14 @@ class Scorer:
         return dots / np.sqrt(DIM * np.maximum(squares, 1e-12))[:, None], np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, int)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (the cosine, 0 where negative), and the carried columns."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str] = (), prefix: str = "") -> DataFrame:
+    """doc_id, held_out, lang_pred, score (the cosine, 0 where negative), and the carried columns with ``prefix`` before their names."""
     names, prototypes = model
     labels = np.array(names or ["und"], object)
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *[docs[c].alias(c) for c in carry if c not in ("doc_id", "text")])
-    extra = [c for c in carry if c not in ("doc_id", "text")]
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + (", text string" if "text" in carry else "") + "".join(f", {c} {plain.schema[c].dataType.simpleString()}" for c in extra)
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *[docs[c].alias(f"_c_{c}") for c in carry])
+    told_schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    out_schema = T.StructType([*T._parse_datatype_string(told_schema).fields, *[T.StructField(f"{prefix}{c}", docs.schema[c].dataType) for c in carry]])
+    out_names = out_schema.fieldNames()
 
     def run(batches):
         scorer = Scorer(prototypes)
@@ -190,8 +192,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
                     pa.array(np.where(told, labels[best], "und"), pa.string()),
                     pa.array(np.where(told, np.clip(cos[np.arange(b - a), best], 0, 1), 0.0)),
                 ]
-                more = (["text"] if "text" in carry else []) + extra
-                cols += [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in more]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score", *more])
+                cols += [batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(cols, out_names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, out_schema)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import is_file, shared_dir, written
+from riskloom.llm.common import is_file, remove, shared_dir, written
 
 #: State on disk; each store's files grow with its state instead of being allocated ahead (4 MB for each partition), and a commit uploads changes only.
 STATE_CONF = {
@@ -93,17 +93,16 @@ def stream_of(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, state: DataFrame, folder: str, carry: list[str] = ()) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, locator, and the carried columns."""
-    extra = [c for c in carry if c not in ("doc_id", "text")]
-    d = docs.select(docs["doc_id"], docs["text"].alias("_text"), *[docs[c].alias(f"_c_{c}") for c in extra]).withColumn("text_sha256", digest("_text"))
-    hit = (F.col("group_size") > 1) & F.col("keep_id").isNotNull()
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, locator, and the carried columns as ``_in_`` and their name.
+
+    One shuffle of the texts, by digest; after it only hits (groups of more than one) keep their bytes.
+    """
+    carried = [docs[c].alias(f"_in_{c}") for c in carry]
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("_text"), *carried).withColumn("text_sha256", digest("_text"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    d = d.join(state, "text_sha256").withColumn("_hit", hit)
-    if "text" not in carry:  # only hits keep their bytes; what follows reads them once more, not all texts
-        d = d.withColumn("_text", F.when(F.col("_hit"), F.col("_text")))
-    d = written(d, f"{folder}/joined")
-    kept = d.where(F.col("_hit") & stays).groupBy("text_sha256").agg(F.first("_text").alias("_kept"))
-    kept = written(kept, f"{folder}/kept")
+    d = d.join(state, "text_sha256").withColumn("_hit", (F.col("group_size") > 1) & F.col("keep_id").isNotNull())
+    d = written(d.withColumn("_text", F.when(F.col("_hit"), F.col("_text"))), f"{folder}/joined")
+    kept = written(d.where(F.col("_hit") & stays).groupBy("text_sha256").agg(F.first("_text").alias("_kept")), f"{folder}/kept")
     hits = d.where("_hit").join(kept, "text_sha256").withColumn("_same", F.coalesce("_text", F.lit("")) == F.coalesce("_kept", F.lit(""))).drop("_kept")
     out = d.where("not _hit").withColumn("_same", F.lit(True)).unionByName(hits)
     same = F.col("_same")
@@ -114,8 +113,7 @@ def verdicts(docs: DataFrame, state: DataFrame, folder: str, carry: list[str] =
         F.when(same, stays).otherwise(F.lit(True)).alias("kept"),
         "text_sha256",
         "locator",
-        *([F.col("_text").alias("text")] if "text" in carry else []),
-        *[F.col(f"_c_{c}").alias(c) for c in extra],
+        *[f"_in_{c}" for c in carry],
     )
 
 
@@ -129,9 +127,11 @@ def deduplicate(docs: DataFrame, carry: list[str] = (), path: str | None = None)
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat doc_id and text, one."""
     cols = docs.columns
-    out = deduplicate(docs, cols)
-    folder = shared_dir(docs.sparkSession)
-    out = written(out.where("kept").select("text_sha256", *cols), f"{folder}/stays")
-    if out.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text_sha256"])
-    return out.select(*cols)
+    spark = docs.sparkSession
+    work, folder = shared_dir(spark), shared_dir(spark)
+    out = verdicts(docs, scan_state(stream_of(docs, work), work), work, cols)
+    out = written(out.where("kept").select("text_sha256", *[f"_in_{c}" for c in cols]), f"{folder}/stays")
+    remove(spark, work)
+    if out.groupBy("_in_doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_in_doc_id", "text_sha256"])
+    return out.select(*[F.col(f"_in_{c}").alias(c) for c in cols])
