@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions import constants as C
+from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import blend, clamp, d
 
 N = range(6)
@@ -143,15 +144,36 @@ def drop_powers(df: DataFrame) -> DataFrame:
 
 
 def forecast(df: DataFrame, horizons: Iterable[int] = C.HORIZONS) -> DataFrame:
-    """``risk_h`` at each horizon: the state risks' weighted sum, each horizon evolved from the one before."""
+    """``risk_h`` at each horizon, the state risks' weighted sum of the distribution after h steps.
+
+    Only that sum is asked for, so the state risks go backwards, P v, and no distribution forwards: one product of every row's matrix with its
+    vector a step, by numpy over an Arrow batch. As columns, 90 steps outgrow what whole-stage code can hold.
+    """
+    import numpy as np
+    import pyarrow as pa
+
     horizons = sorted(horizons)
-    df = with_powers(df.withColumns({f"_keep{i}": F.col(f"s{i}") for i in N}), max(b - a for a, b in zip([0, *horizons], horizons)))
-    at = 0
-    for h in horizons:
-        df = evolved(df, h - at).withColumn(f"risk_{h}", state_risk())
-        at = h
-    df = drop_powers(df)
-    return df.withColumns({f"s{i}": F.col(f"_keep{i}") for i in N}).drop(*[f"_keep{i}" for i in N])
+    names = [c for c in df.columns if not any(c == f"risk_{h}" for h in horizons)]
+    df = df.select(*names)
+    at = {c: names.index(p(*c)) for c in CELLS}
+    dist = [names.index(x) for x in PI]
+
+    def run(batches):
+        for batch in batches:
+            n = len(batch)
+            read = lambda i: batch.column(i).cast(pa.float64()).fill_null(0.0).to_numpy()
+            cells = {c: read(i) for c, i in at.items()}
+            v = [np.full(n, float(x)) for x in C.STATE_RISK]
+            s = [read(i) for i in dist]
+            out = []
+            for step in range(1, horizons[-1] + 1):
+                v = [sum((cells[i, j] * v[j] for j in N if (i, j) in cells), np.zeros(n)) for i in N]
+                if step in horizons:
+                    out.append(pa.array(sum((x * y for x, y in zip(s, v)), np.zeros(n))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*names, *[f"risk_{h}" for h in horizons]])
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"risk_{h}", T.DoubleType()) for h in horizons]])
+    return df.mapInArrow(run, schema)
 
 
 def state_risk() -> Column:
@@ -197,30 +219,74 @@ def dominant() -> Column:
     return out
 
 
-def similar_candidates(vulns: DataFrame, band: float = 2.0) -> DataFrame:
-    """Ordered pairs (vuln_id, other) that share a weakness or whose scores differ by less than ``band``.
+def similar(v: str = "", o: str = "_") -> Column:
+    """Half the weaknesses' Jaccard share, 0.3 by score distance, 0.2 for the same vendor; columns of one side are prefixed ``v``, the other's ``o``."""
+    x, y = F.col(f"{v}cwe_ids"), F.col(f"{o}cwe_ids")
+    union = F.size(F.array_union(x, y))
+    jaccard = F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(d(0))
+    vendor = F.when((F.lower(f"{v}vendor") == F.lower(f"{o}vendor")) & (F.col(f"{v}vendor") != ""), 0.2).otherwise(0.0)
+    return jaccard * 0.5 + F.greatest(d(0), d(1) - F.abs(F.col(f"{v}cvss") - F.col(f"{o}cvss")) / 10) * 0.3 + vendor
+
+
+def _rounded(x: Column) -> Column:
+    """Similarities are compared at nine digits, so the order of sums does not decide."""
+    return F.floor(x * 1e9 + 0.5)
 
-    A union of two equi-joins: on the exploded weakness, and on score buckets of width ``band`` with the two beside each.
+
+def _nearest_by_score(v: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(vuln_id, other): for each row the others among the k + 1 of its group (``keys``) nearest by score, ties to the smaller id.
+
+    A group is first cut to k + 1 ids a score (partial top-k runs before the shuffle); what lies k scores away cannot be among the nearest.
+    """
+    first = v.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "cvss").orderBy("vuln_id"))).where(F.col("_n") <= k + 1)
+    values = first.groupBy(*keys, "cvss").agg(F.sort_array(F.collect_list("vuln_id")).alias("_ids"))
+    beside = Window.partitionBy(*keys).orderBy("cvss").rowsBetween(-k, k)
+    near = values.withColumn("_near", F.collect_list(F.struct(F.col("cvss").alias("c"), F.col("_ids").alias("ids"))).over(beside))
+    near = near.select(*keys, "cvss", F.explode("_near").alias("x")).select(*keys, "cvss", F.col("x.c").alias("_c"), F.explode("x.ids").alias("other"))
+    order = [_rounded(F.abs(F.col("cvss") - F.col("_c"))), F.col("other")]
+    best = near.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "cvss").orderBy(*order))).where(F.col("_n") <= k + 1)
+    lists = best.groupBy(*keys, "cvss").agg(F.collect_list("other").alias("_others"))
+    return v.join(lists, [*keys, "cvss"]).select("vuln_id", F.explode("_others").alias("other")).where("vuln_id <> other")
+
+
+def most_similar(vulns: DataFrame, k: int = 5, band: float = 2.0) -> DataFrame:
+    """(vuln_id, other, similarity): the k most similar of the vulnerabilities that share a weakness or whose scores differ by less than ``band``.
+
+    Exact, without comparing all pairs. The nearest by score in the own set of weaknesses, of the own vendor, in both and in all hold
+    every partner that could be among the k with equal sets or with no weakness in common. What they
+    reach is a bound: another set is looked into only where its Jaccard share, with score and vendor at their best, could beat it.
     """
-    v = vulns.select("vuln_id", "cvss", "cwe_ids")
-    by_cwe = v.select("vuln_id", F.explode("cwe_ids").alias("cwe"))
-    shared = by_cwe.join(by_cwe.withColumnRenamed("vuln_id", "other"), "cwe").select("vuln_id", "other")
-    bucket = F.floor(F.col("cvss") / band).cast("int")
-    left = v.select("vuln_id", "cvss", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    right = v.select(F.col("vuln_id").alias("other"), F.col("cvss").alias("_cvss"), bucket.alias("b"))
-    near = left.join(right, "b").where(F.abs(F.col("cvss") - F.col("_cvss")) < band).select("vuln_id", "other")
-    return shared.unionByName(near).where("vuln_id <> other").distinct()
-
-
-def similarity(vulns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Half the weaknesses' Jaccard share, 0.3 by score distance, 0.2 for the same vendor."""
-    v = vulns.select("vuln_id", "cvss", "cwe_ids", "vendor")
-    o = v.select(*[F.col(x).alias(f"_{x}") for x in v.columns]).withColumnRenamed("_vuln_id", "other")
-    union = F.size(F.array_union("cwe_ids", "_cwe_ids"))
-    jaccard = F.when(union > 0, F.size(F.array_intersect("cwe_ids", "_cwe_ids")) / union).otherwise(d(0))
-    vendor = F.when((F.lower("vendor") == F.lower("_vendor")) & (F.col("vendor") != ""), 0.2).otherwise(0.0)
-    score = jaccard * 0.5 + F.greatest(d(0), d(1) - F.abs(F.col("cvss") - F.col("_cvss")) / 10) * 0.3 + vendor
-    return pairs.join(v, "vuln_id").join(o, "other").select("vuln_id", "other", score.alias("similarity"))
+    v = cut(vulns.select("vuln_id", "cvss", F.array_sort(F.array_distinct("cwe_ids")).alias("cwe_ids"), "vendor", F.lower("vendor").alias("_v")))
+    o = v.select(F.col("vuln_id").alias("other"), *[F.col(x).alias(f"_{x}") for x in ("cvss", "cwe_ids", "vendor")])
+    groups = (["cwe_ids"], ["cwe_ids", "_v"], ["_v"], ["_all"])
+    all_v = v.withColumn("_all", F.lit(1))
+    pairs = None
+    for g in groups:
+        got = _nearest_by_score(all_v, g, k)
+        pairs = got if pairs is None else pairs.unionByName(got)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(v, "vuln_id").join(o, "other").where(F.arrays_overlap("cwe_ids", "_cwe_ids") | (F.abs(F.col("cvss") - F.col("_cvss")) < band))
+        return both.select("vuln_id", "other", similar().alias("similarity"))
+
+    best = Window.partitionBy("vuln_id").orderBy(F.desc(_rounded(F.col("similarity"))), "other")
+    top = cut(scored(pairs.distinct()).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k))
+    bound = top.where(F.col("_n") == k).select("vuln_id", F.col("similarity").alias("_bound"))
+    # pairs of different sets with a weakness in common, once for each pair of sets
+    sets = v.select("cwe_ids").distinct().select("cwe_ids", F.explode("cwe_ids").alias("cwe"))
+    other_sets = sets.join(sets.withColumnRenamed("cwe_ids", "_cwe_ids"), "cwe").where("cwe_ids <> _cwe_ids").select("cwe_ids", "_cwe_ids").distinct()
+    share = F.size(F.array_intersect("cwe_ids", "_cwe_ids")) / F.size(F.array_union("cwe_ids", "_cwe_ids"))
+    other_sets = other_sets.withColumn("_share", share)
+    asks = v.join(bound, "vuln_id", "left").groupBy("cwe_ids").agg(F.collect_list(F.struct("vuln_id", "cvss", "_v", F.coalesce("_bound", d(0)).alias("bound"))).alias("_asks"), F.min(F.coalesce("_bound", d(0))).alias("_least"))
+    asks = other_sets.join(asks, "cwe_ids").where(F.col("_share") * 0.5 + 0.5 >= F.col("_least") - 1e-9)
+    asks = asks.select("_cwe_ids", "_share", F.explode("_asks").alias("a")).where(F.col("_share") * 0.5 + 0.5 >= F.col("a.bound") - 1e-9).select("_cwe_ids", "_share", "a.*")
+    # in each such set, k + 1 ids for every score and vendor are enough
+    members = v.withColumn("_n", F.row_number().over(Window.partitionBy("cwe_ids", "cvss", "_v").orderBy("vuln_id"))).where(F.col("_n") <= k + 1)
+    members = members.select(F.col("cwe_ids").alias("_cwe_ids"), F.col("vuln_id").alias("other"), F.col("cvss").alias("_cvss"), F.col("_v").alias("_o_v"))
+    reach = F.col("_share") * 0.5 + F.greatest(d(0), d(1) - F.abs(F.col("cvss") - F.col("_cvss")) / 10) * 0.3 + F.when(F.col("_v").eqNullSafe(F.col("_o_v")), 0.2).otherwise(0.0)
+    more = asks.join(members, "_cwe_ids").where(reach >= F.col("bound") - 1e-9).select("vuln_id", "other")
+    both = top.drop("_n").unionByName(scored(more.join(top, ["vuln_id", "other"], "left_anti")))
+    return both.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
 def warm_start(vulns: DataFrame, states: DataFrame, k: int = 5) -> DataFrame:
@@ -229,10 +295,8 @@ def warm_start(vulns: DataFrame, states: DataFrame, k: int = 5) -> DataFrame:
     The k are taken before looking whether they have a state; a vulnerability's state is that of its smallest asset_id. Without any, all
     mass is on state 0.
     """
-    sims = similarity(vulns, similar_candidates(vulns))
-    top = sims.withColumn("_n", F.row_number().over(Window.partitionBy("vuln_id").orderBy(F.desc(F.floor(F.col("similarity") * 1e9 + 0.5)), "other"))).where(F.col("_n") <= k)
     any_state = states.groupBy(F.col("vuln_id").alias("other")).agg(F.min_by(F.struct(*PI), "asset_id").alias("x")).select("other", "x.*")
-    mean = top.join(any_state, "other").groupBy("vuln_id").agg(F.sum("similarity").alias("_w"), *[F.sum(F.col("similarity") * F.col(s)).alias(s) for s in PI])
+    mean = most_similar(vulns, k).join(any_state, "other").groupBy("vuln_id").agg(F.sum("similarity").alias("_w"), *[F.sum(F.col("similarity") * F.col(s)).alias(s) for s in PI])
     out = vulns.select("vuln_id").join(mean, "vuln_id", "left")
     has = F.col("_w") > 0
     return out.select("vuln_id", *[F.when(has, F.col(f"s{i}") / F.col("_w")).otherwise(d(i == 0)).alias(f"s{i}") for i in N])
@@ -250,17 +314,19 @@ def time_in_state(history: DataFrame, key: str, order: list[str], state: str) ->
 
 
 def general_chain(df: DataFrame, matrix: str, dist: str, what: str, delta: float = 1.0) -> DataFrame:
-    """M5, M7, M8, M9 for any 6 x 6 matrix column (array of rows), by numpy in Arrow batches.
+    """M5, M7, M8, M9 for any 6 x 6 matrix column (array of rows): a column ``what``, by numpy on all matrices of an Arrow batch at once.
 
     what: ``continuous`` (distribution after ``delta`` by exp((P - I) delta)), ``steady`` (left eigenvector of the eigenvalue nearest 1),
     ``absorption`` (expected steps from each transient state; infinite if singular), ``probability`` (absorption probabilities into the last state)
-    or ``conditional`` (steps from each transient state given absorption there).
+    or ``conditional`` (steps from each transient state given absorption there). Null where matrix or distribution is null.
     """
     import numpy as np
+    import pyarrow as pa
 
     def exp(q: np.ndarray) -> np.ndarray:
-        squarings = max(0, int(np.ceil(np.log2(max(np.abs(q).sum(), 1e-12)))) + 4)
-        x, out, term = q / 2**squarings, np.eye(len(q)), np.eye(len(q))
+        squarings = max(0, int(np.ceil(np.log2(max(np.abs(q).sum((1, 2)).max(initial=0), 1e-12)))) + 4)
+        x = q / 2**squarings
+        out = term = np.broadcast_to(np.eye(6), q.shape)
         for n in range(1, 16):
             term = term @ x / n
             out = out + term
@@ -268,30 +334,41 @@ def general_chain(df: DataFrame, matrix: str, dist: str, what: str, delta: float
             out = out @ out
         return out
 
-    def one(m: np.ndarray, pi: np.ndarray) -> list[float]:
+    def solve(m: np.ndarray, pi: np.ndarray) -> np.ndarray:
         if what == "continuous":
-            x = np.clip(pi @ exp((m - np.eye(6)) * delta), 0, 1)
-            return (x / x.sum() if x.sum() > 0 else x).tolist()
+            x = np.clip(np.einsum("ni,nij->nj", pi, exp((m - np.eye(6)) * delta)), 0, 1)
+            total = x.sum(1, keepdims=True)
+            return np.where(total > 0, x / np.where(total > 0, total, 1), x)
         if what == "steady":
-            values, vectors = np.linalg.eig(m.T)
-            x = np.abs(np.real(vectors[:, np.argmin(np.abs(values - 1))]))
-            return (x / x.sum()).tolist()
-        try:
-            fundamental = np.linalg.inv(np.eye(5) - m[:5, :5])
-        except np.linalg.LinAlgError:
-            return [float("inf")] * 5
+            values, vectors = np.linalg.eig(np.swapaxes(m, 1, 2))
+            x = np.abs(np.real(vectors[np.arange(len(m)), :, np.abs(values - 1).argmin(1)]))
+            return x / x.sum(1, keepdims=True)
+        a = np.eye(5) - m[:, :5, :5]
+        singular = np.abs(np.linalg.det(a)) < 1e-300
+        a[singular] = np.eye(5)
+        fundamental = np.linalg.inv(a)
+        prob = np.einsum("nij,nj->ni", fundamental, m[:, :5, 5])
         if what == "absorption":
-            return fundamental.sum(1).tolist()
-        prob = fundamental @ m[:5, 5]
-        if what == "probability":
-            return prob.tolist()
-        return ((fundamental @ prob) / np.where(prob > 0, prob, 1)).tolist()
+            out = fundamental.sum(2)
+        elif what == "probability":
+            out = prob
+        else:
+            out = np.einsum("nij,nj->ni", fundamental, prob) / np.where(prob > 0, prob, 1)
+        out[singular] = np.inf
+        return out
+
+    at, by, names = df.columns.index(matrix), df.columns.index(dist), df.columns
 
-    @F.pandas_udf("array<double>")
-    def run(ms: pd.Series, pis: pd.Series) -> pd.Series:
-        return pd.Series([one(np.array([list(r) for r in m], float), np.array(x, float)) for m, x in zip(ms, pis)])
+    def run(batches):
+        for batch in batches:
+            m, pi = batch.column(at), batch.column(by)
+            known = pa.array(m.is_valid().to_numpy(zero_copy_only=False) & pi.is_valid().to_numpy(zero_copy_only=False))
+            ms = m.filter(known).flatten().flatten().cast(pa.float64()).to_numpy().reshape(-1, 6, 6)
+            rows = iter(solve(ms, pi.filter(known).flatten().cast(pa.float64()).to_numpy().reshape(-1, 6)).tolist() if len(ms) else [])
+            out = pa.array([next(rows) if k else None for k in known.to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*names, what])
 
-    return df.withColumn(what, run(F.col(matrix), F.col(dist)))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(what, T.ArrayType(T.DoubleType()))]))
 
 
 def as_matrix(prefix: str = "p") -> Column:

@@ -94,14 +94,17 @@ def forecast_horizons(spark, sf):
     return df.select("vuln_id", "asset_id", long.alias("x")).select("vuln_id", "asset_id", "x.*")
 
 
-#: Expected absorption by 2,000 steps of the chain: the sum of transient mass, for a few pairs a row; an independent way to the closed form.
-@query(
-    f"""{WITH_TPM}, solved AS (SELECT *, 1 / (1 - p33) AS a3, p34 / (1 - p33) AS b3 FROM tpm),
+#: Expected steps to absorption from each transient state, t0 .. t4, by elimination.
+STEPS = f"""{WITH_TPM}, solved AS (SELECT *, 1 / (1 - p33) AS a3, p34 / (1 - p33) AS b3 FROM tpm),
  s2_ AS (SELECT *, (1 + p23 * a3) / (1 - p22) AS a2, (p23 * b3 + p24) / (1 - p22) AS b2 FROM solved),
  s1_ AS (SELECT *, (1 + p12 * a2 + p13 * a3) / (1 - p11) AS a1, (p12 * b2 + p13 * b3 + p14) / (1 - p11) AS b1 FROM s2_),
  s4_ AS (SELECT *, (1 + p41 * a1 + p42 * a2 + p43 * a3) / (1 - p44 - p41 * b1 - p42 * b2 - p43 * b3) AS t4 FROM s1_),
  s3_ AS (SELECT *, a1 + b1 * t4 AS t1, a2 + b2 * t4 AS t2, a3 + b3 * t4 AS t3 FROM s4_),
- s0_ AS (SELECT *, (1 + p01 * t1 + p02 * t2 + p03 * t3 + p04 * t4) / (1 - p00) AS t0 FROM s3_)
+ s0_ AS (SELECT *, (1 + p01 * t1 + p02 * t2 + p03 * t3 + p04 * t4) / (1 - p00) AS t0 FROM s3_)"""
+
+
+@query(
+    f"""{STEPS}
  SELECT vuln_id, asset_id, {P.q6_sql("(s0 * t0 + s1 * t1 + s2 * t2 + s3 * t3 + s4 * t4) / (s0 + s1 + s2 + s3 + s4)")} AS absorption_time FROM s0_"""
 )
 def absorption_time(spark, sf):
@@ -115,33 +118,38 @@ def entropy_dominant(spark, sf):
     return df.select("vuln_id", "asset_id", q6(M.entropy_of()).alias("entropy"), M.dominant().alias("dominant"))
 
 
-def _small(spark, sf):
-    """Pairs of the first assets, with the matrix as an array."""
+def _arrays(spark, sf):
+    """All pairs, with the matrix as an array."""
     return _tpm(spark, sf).select("vuln_id", "asset_id", M.as_matrix().alias("matrix"), F.array(*M.PI).alias("dist"))
 
 
-@query()
+def _long(df, col: str, name: str):
+    return df.select("vuln_id", "asset_id", F.posexplode(col).alias("state", name)).withColumn(name, q6(F.col(name)))
+
+
+# one state absorbs: it is reached with certainty, holds all mass in the end, and the condition of reaching it changes no expectation
+@query(f"WITH {P.PAIR} SELECT vuln_id, asset_id, unnest(range(5)) AS state, 1.0::DOUBLE AS probability FROM pair")
 def absorption_prob(spark, sf):
-    df = M.general_chain(_small(spark, sf), "matrix", "dist", "probability")
-    return df.select("vuln_id", "asset_id", F.posexplode("probability").alias("state", "probability"))
+    return _long(M.general_chain(_arrays(spark, sf), "matrix", "dist", "probability"), "probability", "probability")
 
 
-@query()
+@query(f"{STEPS} SELECT vuln_id, asset_id, i AS state, {P.q6_sql('[t0, t1, t2, t3, t4][i + 1]')} AS steps FROM s0_, range(5) r(i)")
 def conditional_absorption(spark, sf):
-    df = M.general_chain(_small(spark, sf), "matrix", "dist", "conditional")
-    return df.select("vuln_id", "asset_id", F.posexplode("conditional").alias("state", "steps"))
+    return _long(M.general_chain(_arrays(spark, sf), "matrix", "dist", "conditional"), "conditional", "steps")
 
 
-@query()
+#: exp((P - I) * 2.5) as a Poisson mixture of the chain's steps, to 40 of them (the rest is below 1e-30).
+@query(
+    f"""{WITH_TPM.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_walk(40)}, mixed AS (SELECT vuln_id, asset_id, {", ".join(f"sum(s{i} * exp(-2.5::DOUBLE) * pow(2.5::DOUBLE, k) / gamma(k + 1)) AS s{i}" for i in range(6))} FROM walk GROUP BY vuln_id, asset_id)
+ SELECT vuln_id, asset_id, i AS state, {P.q6_sql('[s0, s1, s2, s3, s4, s5][i + 1]')} AS share FROM mixed, range(6) r(i)"""
+)
 def evolve_continuous(spark, sf):
-    df = M.general_chain(_small(spark, sf), "matrix", "dist", "continuous", 2.5)
-    return df.select("vuln_id", "asset_id", F.posexplode("continuous").alias("state", "share"))
+    return _long(M.general_chain(_arrays(spark, sf), "matrix", "dist", "continuous", 2.5), "continuous", "share")
 
 
-@query()
+@query(f"WITH {P.PAIR} SELECT vuln_id, asset_id, i AS state, CASE WHEN i = 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS share FROM pair, range(6) r(i)")
 def steady_state(spark, sf):
-    df = M.general_chain(_small(spark, sf), "matrix", "dist", "steady")
-    return df.select("vuln_id", "asset_id", F.posexplode("steady").alias("state", "share"))
+    return _long(M.general_chain(_arrays(spark, sf), "matrix", "dist", "steady"), "steady", "share")
 
 
 _SIM = """0.5::DOUBLE * (len(list_intersect(v.cwe_ids, o.cwe_ids)) / len(list_distinct(list_concat(v.cwe_ids, o.cwe_ids)))::DOUBLE) + 0.3::DOUBLE * greatest(0, 1 - abs(v.cvss - o.cvss) / 10) + CASE WHEN lower(v.vendor) = lower(o.vendor) AND v.vendor <> '' THEN 0.2::DOUBLE ELSE 0 END"""
