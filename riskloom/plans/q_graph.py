@@ -115,9 +115,10 @@ def clustering(spark, sf):
     return G.clustering(P.connects(spark, sf)).select("node", q6(F.col("clustering")).alias("clustering"))
 
 
+#: No walk needs more hops than there are assets.
 @query(
     f"""WITH RECURSIVE {P.CONNECT}, st AS (SELECT vuln_id, min(vuln_id * 3 % 100) AS node FROM (SELECT DISTINCT p_partkey AS vuln_id FROM part) GROUP BY vuln_id),
- w AS (SELECT DISTINCT node AS root, node, 0 AS h FROM st UNION SELECT w.root, c.dst, h + 1 FROM w JOIN connect c ON c.src = w.node WHERE h < 6), m AS (SELECT root, node, min(h) AS h FROM w GROUP BY ALL)
+ w AS (SELECT DISTINCT node AS root, node, 0 AS h FROM st UNION SELECT w.root, c.dst, h + 1 FROM w JOIN connect c ON c.src = w.node WHERE h < (SELECT count(*) FROM supplier)), m AS (SELECT root, node, min(h) AS h FROM w GROUP BY ALL)
  SELECT p.vuln_id, p.asset_id, coalesce(h, -1)::DOUBLE AS attack_path_depth FROM (SELECT DISTINCT l_partkey AS vuln_id, l_suppkey AS asset_id FROM lineitem) p LEFT JOIN st ON st.vuln_id = p.vuln_id LEFT JOIN m ON m.root = st.node AND m.node = p.asset_id"""
 )
 def path_depth(spark, sf):
