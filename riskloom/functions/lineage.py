@@ -14,11 +14,13 @@ HOPS_A_CUT = 16  # a walk without a hop limit cuts the union of its hops this of
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder (spark.checkpoint.dir, shared by the executors) and read from there from now on.
 
-    A folder of its own is set only where the session names none, as in tests.
+    Where the session names none, as in tests, a temporary one is set for a local master; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="riskloom-")
             atexit.register(shutil.rmtree, base, True)
