@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import language_id, mixing, ngram_join, packing, stream_dedup
-from riskloom.llm.common import shared_dir, written
+from riskloom.llm.common import shared_dir, small_batches, written
 from riskloom.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
-    told = language_id.predict(docs, language_id.learn(docs), carry=cols)
-    told = told.where("lang_pred <> 'und'")
-    return told.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in cols])
+    with small_batches(spark):
+        model = language_id.learn(docs)
+    told = language_id.predict(docs, model, carry=cols, prefix="_in_").where("lang_pred <> 'und'")
+    return told.select(*[F.coalesce("_in_lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_in_{c}").alias(c) for c in cols])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +34,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.join(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.kept_documents(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _, _, draws = mixing.mixed(docs)
-    copies = draws.where("2 * words >= size").groupBy(*mixing.ROW).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    rows = mixing.numbered(docs.withColumn("size", mixing.words(docs["text"])), [F.xxhash64(*docs.columns)])
-    return mixing.join_rows(rows, copies).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
