@@ -6,16 +6,18 @@ joined by single spaces. Two searches run over it:
 * base phrases: places where a phrase's words stand consecutively, overlapping ones included;
 * notices, with up to k edits (insertions, deletions, substitutions of characters). The pattern is cut into k + 1
   pieces; by the pigeonhole principle a match with at most k edits holds one of them unchanged. One
-  Aho-Corasick automaton finds all pieces of all notices in one pass; around each hit, the window in
-  which a match may lie goes to the regex library's bounded-error matching, which reports span and
-  number of edits. Windows of one notice that overlap are searched as one.
+  Aho-Corasick automaton finds all pieces of all notices in one pass; the window around each hit, in
+  which a match may lie, goes by itself to the regex library's bounded-error matching, which reports span and
+  number of edits. Windows are as long as the notice and its edits allow, so work grows with the text and its hits alone.
+  Of spans of one notice that overlap, the one with the fewest edits is its place.
 
 Matches begin and end at word borders. Base phrases are notices too, with few edits, so "apache licence"
 is found; the method's own labels end in "-notice" or "~" (an inexact base phrase).
 score is the best match's 1 - edits / length, 1 with a base place, 0 without any.
 
-Defined results: null and empty texts have no words and no labels; whole texts are searched; repeated rows
-each get a row; extra columns are not read.
+Defined results: null and empty texts have no words and no labels; whole texts are searched, very long ones in
+linear time; of spans that overlap and tie in edits the first stays; repeated rows each get a row; an empty table gives none;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +33,37 @@ from riskloom.llm.common import column_bytes, narrow, slices
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Opening lines of public licenses' notices, and the edits allowed.
+#: Phrases from public licenses' notices, and the edits allowed. ``scan`` takes other tables.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": ("mit-notice", 9),
+    "the software is provided as is without warranty of any kind express or implied": ("as-is-notice", 7),
     "redistribution and use in source and binary forms with or without modification are permitted": ("bsd-notice", 9),
+    "neither the name of the copyright holder nor the names of its contributors may be used": ("bsd3-notice", 8),
     "you may not use this file except in compliance with the license": ("apache-notice", 6),
+    "licensed under the apache license version 2 0": ("apache2-notice", 4),
     "you can redistribute it and or modify it under the terms of the gnu": ("gpl-notice", 6),
+    "gnu lesser general public license": ("lgpl-notice", 3),
+    "gnu affero general public license": ("agpl-notice", 3),
+    "gnu free documentation license": ("gfdl-notice", 3),
     "this source code form is subject to the terms of the mozilla public license": ("mpl-notice", 7),
-    "licensed under a creative commons attribution": ("cc-notice", 4),
+    "mozilla public license": ("mpl~", 2),
+    "eclipse public license": ("epl-notice", 2),
+    "common development and distribution license": ("cddl-notice", 4),
+    "european union public licence": ("eupl-notice", 2),
+    "boost software license": ("boost-notice", 2),
+    "python software foundation license": ("psf-notice", 3),
+    "this software is provided as is without any express or implied warranty": ("zlib-notice", 6),
     "permission to use copy modify and or distribute this software for any purpose": ("isc-notice", 7),
     "this is free and unencumbered software released into the public domain": ("unlicense-notice", 7),
+    "do what the fuck you want to public license": ("wtfpl-notice", 4),
+    "sil open font license": ("ofl-notice", 2),
+    "microsoft public license": ("mspl-notice", 2),
+    "the artistic license": ("artistic-notice", 1),
+    "licensed under a creative commons attribution": ("cc-notice", 4),
+    "creative commons attribution sharealike": ("cc-by-sa-notice", 3),
+    "creative commons attribution noncommercial": ("cc-by-nc-notice", 4),
+    "creative commons zero": ("cc0-notice", 2),
+    "spdx license identifier": ("spdx-notice", 2),
     "all rights reserved": ("reserved-notice", 1),
     "gnu general public license": ("gpl~", 3),
     "apache license": ("apache~", 1),
@@ -73,40 +96,36 @@ class Scanner:
         self.seeds.make_automaton()
 
     def base_places(self, text: bytes) -> list[tuple[int, str]]:
-        """(word, label) of every place; text is normalised, with a space at either end."""
+        """(place, label) of every place; text is normalised, with a space at either end."""
         out = []
         for p, label in self.base:
             at = text.find(p)
             while at >= 0:
-                out.append((text.count(b" ", 0, at), label))
+                out.append((at, label))
                 at = text.find(p, at + 1)
         return out
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits): in each stretch in which a notice's piece stands, the best match and, before and after it, the best of what is left."""
-        windows: dict[int, list[list[int]]] = {}
+        """(label, start, end, edits) of every notice's matches, each window searched for itself."""
+        windows: dict[int, set[int]] = {}
         for end, (size, where) in self.seeds.iter(text):
             for i, at in where:
-                p, _, k, _ = self.notices[i]
-                a = end + 1 - size - at
-                a, b = max(0, a - k - 1), min(len(text), a + len(p) + k + 1)
-                mine = windows.setdefault(i, [])
-                if mine and a <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], b)
-                else:
-                    mine.append([a, b])
+                windows.setdefault(i, set()).add(end + 1 - size - at)
         out = []
-        for i, spans in windows.items():
-            _, label, _, rx = self.notices[i]
-            for a, b in spans:
-                parts, found = [(a, b)], []
-                while parts:
-                    a, b = parts.pop()
-                    # the best match of a part may have others on either side
-                    if m := rx.search(text, a, b):
-                        found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        parts += [(a, m.start()), (m.end(), b)]
-                out += sorted(found)
+        for i, begins in windows.items():
+            p, label, k, rx = self.notices[i]
+            spans = set()
+            for a in begins:
+                if m := rx.search(text, max(0, a - k - 1), min(len(text), a + len(p) + k + 1)):
+                    spans.add((m.start(), m.end(), sum(m.fuzzy_counts)))
+            kept: list[tuple[str, int, int, int]] = []
+            for a, b, edits in sorted(spans):
+                if kept and a < kept[-1][2]:
+                    if edits < kept[-1][3]:
+                        kept[-1] = (label, a, b, edits)
+                else:
+                    kept.append((label, a, b, edits))
+            out += kept
         return out
 
 
@@ -131,13 +150,16 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[
                     norm = b" " + b" ".join(words) + b" "
                     places = s.base_places(norm)
                     text = norm.decode("utf-8", "replace")
-                    found = s.fuzzy(text)
                     # an exact base phrase is no match of the method's own
-                    found = [f for f in found if f[3] or not f[0].endswith("~")]
+                    found = [f for f in s.fuzzy(text) if f[3] or not f[0].endswith("~")]
                     labels = {x for _, x in places}
                     best = 1.0 if places else max((1 - e / max(q - p, 1) for _, p, q, e in found), default=0.0)
-                    spans = [{"label": x, "word": text.count(" ", 0, p) - 1, "words": text.count(" ", p, q) + 1, "edits": e} for x, p, q, e in found]
-                    at = [w for w, _ in places]
+                    at = np.searchsorted(np.flatnonzero(np.frombuffer(norm, np.uint8) == 32), [p for p, _ in places]).tolist() if places else []
+                    spans = []
+                    if found:
+                        gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+                        first, last = np.searchsorted(gaps, [p for _, p, _, _ in found]).tolist(), np.searchsorted(gaps, [q for _, _, q, _ in found]).tolist()
+                        spans = [{"label": x, "word": f - 1, "words": g - f + 1, "edits": e} for (x, _, _, e), f, g in zip(found, first, last)]
                     rows.append((len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {f[0] for f in found})), max(0.0, best), spans))
                 cols = list(zip(*rows))
                 types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("words", pa.int64()), ("edits", pa.int64())]))]
