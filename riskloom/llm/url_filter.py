@@ -14,10 +14,13 @@ anything is joined, and the way back to the captures is an equi-join whose skewe
 side AQE may split. Catalyst broadcasts the list only where its size is below
 spark.sql.autoBroadcastJoinThreshold; larger lists are shuffled by key.
 
+A pattern's host is compared without case, a prefix's path with it.
+
 Defined results: a null or host-less URL, or a null time, matches nothing (not
 blocked, no hits, ``categories`` empty); events with a null in pattern, kind,
 action or date are ignored; repeated captures each get their row; an empty list
-blocks nothing; extra columns of the captures are not read.
+blocks nothing, no captures give no rows; repeated events count once; a very long URL has a key for each of its path's
+slashes; extra columns of the captures are not read.
 """
 
 from __future__ import annotations
@@ -47,8 +50,11 @@ def url_keys(url: Column) -> Column:
 
 def validity(events: DataFrame) -> DataFrame:
     """(key, category, valid_from, valid_to) from (kind, pattern, category, action, effective); open intervals end in null."""
+    # hosts have no case, paths do
+    host = F.substring_index("pattern", "/", 1)
+    host_lowered = F.concat(F.lower(host), F.substr(F.col("pattern"), F.length(host) + 1))
     e = events.where("kind is not null and pattern is not null and action is not null and effective is not null").select(
-        F.concat("kind", F.lit(":"), F.lower("pattern")).alias("key"), F.coalesce("category", F.lit("")).alias("category"), "effective", F.when(F.col("action") == "add", 1).otherwise(0).alias("on")
+        F.concat("kind", F.lit(":"), host_lowered).alias("key"), F.coalesce("category", F.lit("")).alias("category"), "effective", F.when(F.col("action") == "add", 1).otherwise(0).alias("on")
     )
     e = e.groupBy("key", "category", "effective").agg(F.min("on").alias("on"))
     w = Window.partitionBy("key", "category").orderBy("effective")
