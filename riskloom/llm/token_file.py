@@ -6,11 +6,11 @@ for each level u64 codes, its chunks as u8, and but for the last level its conti
 i goes on one level higher; 8 in a byte, low bit first) and its rank directory (u32: bits set before every block of
 512). Token i is read from level 0 at i; while its bit is set, its place in the next level is the
 rank of that bit, from one directory entry and at most 64 bytes of bits. ``Shard.token`` and
-``Shard.document`` read that way without decoding a block; ``Shard.all`` decodes all levels at once.
+``Shard.document`` read that way without decoding anything else; so does ``read_tokens``.
 
 Writing: documents are encoded once, dealt to ranges of doc_id whose borders are quantiles of all doc_ids,
 sorted inside each range, and written as shards of about ``shard_tokens`` ids (one document at least).
-Shards are the rows of a Parquet table, so Spark's committer makes the write safe against lost
+Shards are the rows of a Parquet table, stored as they are, without compression or dictionary, so Spark's committer makes the write safe against lost
 executors and any store that Spark reaches will do. Range totals, one number a partition, give the
 global offsets.
 
@@ -77,34 +77,46 @@ class Shard:
             ranks, at = np.frombuffer(raw, "<u4", size // (BLOCK // 8), at), at + size // (BLOCK // 8) * 4
             self.levels.append((chunk, packed, ranks))
 
+    def rank(self, level: int, i: int) -> int:
+        """Set bits before place i of a level: one directory entry and at most 64 bytes of bits."""
+        _, packed, ranks = self.levels[level]
+        if i // BLOCK >= len(ranks):  # just past the end, on a block's border
+            return int(ranks[-1]) + int(BITS_IN[packed[(i // BLOCK - 1) * (BLOCK // 8) :]].sum()) if len(ranks) else 0
+        block = i // BLOCK * (BLOCK // 8)
+        part = bin(int(packed[i >> 3]) & ((1 << (i & 7)) - 1)).count("1") if i & 7 else 0
+        return int(ranks[i // BLOCK]) + int(BITS_IN[packed[block : i >> 3]].sum()) + part
+
     def token(self, i: int) -> int:
         out = shift = 0
-        for chunk, packed, ranks in self.levels:
+        for level, (chunk, packed, _) in enumerate(self.levels):
             out |= int(chunk[i]) << shift
             if packed is None or not packed[i >> 3] >> (i & 7) & 1:
                 return out
-            block = i // BLOCK * (BLOCK // 8)
-            inside = int(BITS_IN[packed[block : i >> 3]].sum()) + bin(int(packed[i >> 3]) & ((1 << (i & 7)) - 1)).count("1")
-            i, shift = int(ranks[i // BLOCK]) + inside, shift + self.bits
+            i, shift = self.rank(level, i), shift + self.bits
         return out
 
-    def document(self, k: int) -> list[int]:
-        return [self.token(i) for i in range(int(self.starts[k]), int(self.starts[k + 1]))]
-
-    def all(self) -> np.ndarray:
-        out = np.zeros(self.n, np.uint32)
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """Tokens lo to hi - 1: of each level only the codes that they have there, found by the rank of lo."""
+        out = np.zeros(hi - lo, np.uint32)
         at, shift = None, 0
-        for chunk, packed, _ in self.levels:
+        for level, (chunk, packed, _) in enumerate(self.levels):
+            codes = chunk[lo:hi].astype(np.uint32) << np.uint32(shift)
             if at is None:
-                out |= chunk
+                out |= codes
             else:
-                out[at] |= chunk.astype(np.uint32) << np.uint32(shift)
-            if packed is None:
-                break
-            more = np.flatnonzero(np.unpackbits(packed, count=len(chunk), bitorder="little"))
-            at, shift = (more if at is None else at[more]), shift + self.bits
+                out[at] |= codes
+            if packed is None or lo == hi:
+                return out
+            bits = np.unpackbits(packed[lo >> 3 : (hi + 7) >> 3], bitorder="little")[lo & 7 : (lo & 7) + hi - lo]
+            more = np.flatnonzero(bits)
+            at = more if at is None else at[more]
+            lo = self.rank(level, lo)
+            hi, shift = lo + len(more), shift + self.bits
         return out
 
+    def document(self, k: int) -> np.ndarray:
+        return self.span(int(self.starts[k]), int(self.starts[k + 1]))
+
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = 1 << 20) -> None:
     """Write shards in ascending order of doc_id: rows (part, shard, local_start, n_tokens, payload) at ``path``."""
@@ -147,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             yield flush()
 
     dealt = docs.mapInArrow(tokens, "part int, doc_id long, ids binary").repartitionById(n, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
-    dealt.mapInArrow(shards, "part int, shard int, local_start long, n_tokens long, payload binary").write.parquet(path)
+    dealt.mapInArrow(shards, "part int, shard int, local_start long, n_tokens long, payload binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -159,9 +171,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
         for batch in batches:
             for part, local, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4)):
                 s = Shard(raw.as_py())
-                ids = s.all().astype("<u4")
                 at = s.starts
-                blobs = [ids[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                blobs = [s.document(k).astype("<u4").tobytes() for k in range(len(s.doc_ids))]
                 start = int(base[np.searchsorted(parts, part)]) + local + at[:-1]
                 doc = pa.array(s.doc_ids, mask=s.doc_ids == -(1 << 63))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(np.diff(at)), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array(blobs if with_ids else [None] * len(blobs), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
