@@ -7,19 +7,23 @@ eta * |parallel residual|^2 + |orthogonal residual|^2, with eta = (d - 1) T^2 /
 subspace solve small linear systems, assignment goes over the subspaces in turn with the other
 subspaces' residual held. Every vector is then encoded the same way.
 
-Search: queries and codes meet in blocks, each query block with each code block; a block pair adds up table
-entries, two subspaces (one byte) at a time, and keeps each query's ``keep`` best by estimated score. Blocks'
-lists are merged by query, the survivors are scored exactly, in double precision, on the original
-vectors, and the nearest are returned, ties to the smaller id.
+Search: codes stay where they are, packed in blocks; queries come to them in batches of at most ``BATCH_BYTES``, one
+job a batch. A task adds up table entries, two subspaces (one byte) at a time, and keeps each query's ``keep`` best by estimated score
+that reach the query's floor: an estimate so low that, going by the coded sample, at least four times ``keep`` vectors of all reach it.
+Where estimates tie at the cut, all that tie stay. The lists are merged by query, the best ``keep`` (with ties) are scored exactly,
+in double precision, on the original vectors, and the nearest are returned, ties to the smaller id. ``keep=None`` is the exact way:
+every vector is scored.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids: any of them that could be among a query's k
 nearest is there, and thousands of copies neither fill the lists nor one task.
 
-Defined results: vectors that are null, all zero, of another length than the most common, or hold
-null or non-finite components take no part, as queries or candidates. Rows that repeat an id are one row, the first by
-content. With fewer candidates than k, all are returned; an empty table gives no rows. Extra columns are not read.
+Defined results: vectors that are null, all zero, or hold null or non-finite components take no part, as queries or candidates;
+vectors of different lengths are never compared: each length is searched for itself. Rows that repeat an id are rows of their own: each is a candidate (one
+of the query's own id and vector is left out), and a repeated query row repeats its answer. A null id is a candidate, last in ties, but no query.
+With fewer candidates than k, all are returned; an empty table gives no rows. Lengths of vectors are scaled by powers of two before anything is
+squared, so no finite component overflows. Extra columns are not read, whatever their names.
 
-The sample (``SAMPLE`` distinct vectors, those of smallest hash) only fits the codebook; every vector is indexed.
+The sample (``SAMPLE`` distinct vectors, those of smallest hash) fits the codebook and the floors; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -29,22 +33,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import shared_dir, written
+from riskloom.llm.common import partitions_for, remove, shared_dir, written
 
 SAMPLE = 16384
 SUB = 2
 T = 0.2
-QUERY_BLOCK = 64
-CODE_BLOCK = 131072
+CODE_BLOCK = 16384
+BATCH_BYTES = 8 << 20
 
 
 def valid(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): one row for each id, components as doubles."""
-    t = table.select(table[id_col].cast("long").alias("id"), table[vec_col].cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    """(id, v, n): components as doubles, scaled by a power of two to a largest one of 1 to 2; n rows agree in both."""
+    t = table.select(table[id_col].cast("long").alias("id"), table[vec_col].cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
     t = t.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    t = t.groupBy("id").agg(F.min("v").alias("v"))
-    dims = t.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return t.where(F.size("v") == dims.n) if dims else t
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    # in two steps, as one power of two may lie beyond the range of a double
+    half = F.floor(F.log2(F.col("_top")) / 2)
+    t = t.withColumn("_top", top).select("id", F.transform("v", lambda x: x / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), F.floor(F.log2(F.col("_top"))) - half)).alias("v"))
+    return t.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _blocks(u: np.ndarray) -> np.ndarray:
@@ -113,94 +119,152 @@ def tables(unit: np.ndarray, book: np.ndarray) -> np.ndarray:
     return (lut[:, ::2, :, None] + lut[:, 1::2, None, :]).reshape(len(lut), -1, 256)
 
 
-def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 5, keep: int = 320, sample: int = SAMPLE) -> DataFrame:
+def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 5, keep: int | None = 320, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, id_col, score: the k nearest of every row for which ``is_query`` (an expression on ``id``) holds."""
-    spark = table.sparkSession
-    folder = shared_dir(spark)
+    folder = shared_dir(table.sparkSession)
     rows = written(valid(table, id_col, vec_col), f"{folder}/rows")
-    # distinct vectors, with the smallest ids of each; a hot vector is cut down by its parts first
-    salt = F.pmod(F.xxhash64("id"), F.lit(64))
+    lengths = [r[0] for r in rows.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
+    out = table.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    for i, d in enumerate(lengths):
+        found = _nearest(rows.where(F.size("v") == d), f"{folder}/{d}", id_col, is_query, k, keep, sample)
+        out = found if i == 0 else out.unionByName(found)
+    return out
+
+
+def _nearest(rows: DataFrame, folder: str, id_col: str, is_query: Column, k: int, keep: int | None, sample: int) -> DataFrame:
+    spark = rows.sparkSession
+    # distinct vectors, with the smallest ids of each (null last); a hot vector is cut down by its parts first
+    ids = rows.select("v", F.explode(F.array_repeat(F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("y")), F.least("n", F.lit(k + 1)).cast("int"))).alias("id"))
     least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v", salt).orderBy("id"))).where(F.col("_r") <= k + 1)
-    index = written(ranked.groupBy("v").agg(least(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), f"{folder}/index")
+    ranked = ids.withColumn("_r", F.row_number().over(Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))).where(F.col("_r") <= k + 1)
+    index = written(ranked.groupBy("v").agg(least(F.collect_list("id")).alias("ids")).withColumn("rep", F.monotonically_increasing_id()), f"{folder}/index")
+    queries = written(rows.where(is_query & F.col("id").isNotNull()).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), "n", F.monotonically_increasing_id().alias("ask")), f"{folder}/queries")
+    hits = _exact(spark, index, queries, folder, 2 * k + 2) if keep is None else _estimated(spark, index, queries, folder, keep, sample)
 
-    picked = index.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()
-    if not len(picked):
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    x = np.stack(picked["v"].to_numpy())
-    book, eta = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
-
-    def unit_of(col: pa.Array) -> np.ndarray:
-        flat = col.flatten().to_numpy().reshape(len(col), -1)
-        return flat / np.linalg.norm(flat / np.abs(flat).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(flat).max(1, keepdims=True)
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda a, b: a + b))
+    q = queries.withColumn("qn", norm("qv"))
+    scored = hits.join(index, "rep").join(q, "ask").select("ask", "query_id", "n", "ids", F.equal_null("qv", "v").alias("_same"), (dot / (F.col("qn") * norm("v"))).alias("score"))
+    own = F.struct(F.lit(False).alias("x"), F.col("query_id").alias("y"))
+    # of the query's own vector, one row of its id is itself
+    at = F.array_position("ids", own)
+    others = F.when(F.col("_same") & (at > 0), F.filter("ids", lambda x, i: i != at - 1)).otherwise(F.col("ids"))
+    scored = scored.select("ask", "query_id", "n", F.explode(others).alias("_id"), "score")
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "_id"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id.y").alias(id_col), "score")
+
+
+def _unit(col: pa.Array) -> np.ndarray:
+    flat = col.flatten().to_numpy().reshape(len(col), -1)
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+
+
+def _top(s: np.ndarray, keep: int, floor: float) -> np.ndarray:
+    """Places of the ``keep`` best and of all that tie with the last of them, from the floor on."""
+    edge = np.partition(s, len(s) - keep)[len(s) - keep] if len(s) > keep else -np.inf
+    return np.flatnonzero(s >= max(edge, floor))
+
+
+def _estimated(spark, index: DataFrame, queries: DataFrame, folder: str, keep: int, sample: int) -> DataFrame:
+    """(ask, rep): the vectors whose estimated scores are among each query's best."""
+    picked = index.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toPandas()
+    unit = np.stack(picked["v"].to_numpy())
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    book, eta = fit(unit)
+    d, seen = unit.shape[1], encode(unit, book, eta)
+
+    def coded(batches):
+        """Rows (reps, codes) of up to CODE_BLOCK vectors."""
+        for batch in batches:
+            for a in range(0, len(batch), CODE_BLOCK):
+                part = batch.slice(a, CODE_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([encode(_unit(part.column(1)), book, eta).tobytes()])], ["reps", "codes"])
+
+    parts = partitions_for(index, 16 << 20)
+    codes = written(index.select("rep", "v").repartition(parts, "rep").mapInArrow(coded, "reps binary, codes binary"), f"{folder}/codes")
+    total = index.count()
+    # by the sample, four times ``keep`` of all vectors reach the floor
+    nth = min(len(seen), max(keep if total <= len(seen) else 0, 32, -(-4 * keep * len(seen) // total)))
+
+    def estimates(t: np.ndarray, by_byte: np.ndarray) -> np.ndarray:
+        s = np.zeros(by_byte.shape[1], np.float32)
+        for m, c in enumerate(by_byte):
+            s += t[m][c]
+        return s
+
+    def floors(batches):
+        by_byte = np.ascontiguousarray(seen.T)
+        for batch in batches:
+            u = _unit(batch.column(1))
+            floor = np.zeros(len(u), np.float64)
+            for a in range(0, len(u), 32):
+                for j, t in enumerate(tables(u[a : a + 32], book)):
+                    s = estimates(t, by_byte)
+                    floor[a + j] = np.partition(s, len(s) - nth)[len(s) - nth]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(u), pa.list_(pa.float64())), pa.array(floor)], ["ask", "u", "floor"])
+
+    asks = written(queries.select("ask", "qv").repartition(parts, "ask").mapInArrow(floors, "ask long, u array<double>, floor double"), f"{folder}/asks")
+    def scan(batch, shared):
+        """For each block of codes and each 32 queries: (ask, rep, estimate) of the best."""
+        ask, floor, u = shared
+        for reps, code in zip(batch.column(0), batch.column(1)):
+            reps = np.frombuffer(reps.as_buffer(), "<i8")
+            by_byte = np.ascontiguousarray(np.frombuffer(code.as_buffer(), np.uint8).reshape(len(reps), -1).T)
+            for a in range(0, len(ask), 32):
+                out = [[], [], []]
+                for j, t in enumerate(tables(u[a : a + 32], book)):
+                    s = estimates(t, by_byte)
+                    top = _top(s, keep, floor[a + j])
+                    for o, x in zip(out, (np.full(len(top), ask[a + j]), reps[top], s[top])):
+                        o.append(x)
+                yield out
+
+    found = _batches(spark, codes, asks, d, scan, keep, folder)
+    remove(spark, f"{folder}/codes")
+    return found
+
+
+def _batches(spark, codes: DataFrame, asks: DataFrame, d: int, scan, keep: int, folder: str) -> DataFrame:
+    """(ask, rep): of what ``scan`` finds in the codes for each batch of queries, the ``keep`` best of each query, with ties."""
+    jobs = -(-asks.count() * 8 * d // BATCH_BYTES)
+    found = spark.createDataFrame([], "ask long, rep long")
+    for job in range(jobs):
+        mine = asks.where(F.pmod(F.xxhash64("ask"), F.lit(jobs)) == job).toPandas()
+        if not len(mine):
+            continue
+        shared = spark.sparkContext.broadcast((mine["ask"].to_numpy(), mine["floor"].to_numpy(), np.stack(mine["u"].to_numpy())))
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for out in scan(batch, shared.value):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["ask", "rep", "estimate"])
 
-    def packed(blocks: int, code: bool):
-        """Rows (block, ids, data): up to ``blocks`` vectors each, as codes or as unit vectors."""
+        best = Window.partitionBy("ask").orderBy(F.desc("estimate"))
+        hits = codes.mapInArrow(run, "ask long, rep long, estimate double").withColumn("_n", F.rank().over(best)).where(F.col("_n") <= keep)
+        found = found.unionByName(written(hits.select("ask", "rep"), f"{folder}/hits-{job}"))
+        shared.unpersist()
+    return found
 
-        def run(batches):
-            ids, data, n = [], [], 0
 
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([np.concatenate(data).tobytes()])], ["ids", "data"])
+def _exact(spark, index: DataFrame, queries: DataFrame, folder: str, keep: int) -> DataFrame:
+    """(ask, rep): each query's ``keep`` best of all vectors by cosine."""
 
-            for batch in batches:
-                for a in range(0, len(batch), blocks):
-                    part = batch.slice(a, blocks)
-                    u = unit_of(part.column(1))
-                    ids.append(part.column(0).to_numpy())
-                    data.append(encode(u, book, eta) if code else u.astype("<f8"))
-                    n += len(part)
-                    if n >= blocks:
-                        yield out()
-                        ids, data, n = [], [], 0
-            if n:
-                yield out()
-
-        return run
-
-    d = x.shape[1]
-    few = lambda t, each: t.coalesce(max(1, -(-t.count() // each)))
-    codes = written(few(index.select("rep", "v"), CODE_BLOCK).mapInArrow(packed(CODE_BLOCK, True), "ids binary, data binary"), f"{folder}/codes")
-    queries = rows.where(is_query)
-    asks = written(few(queries.select("id", "v"), QUERY_BLOCK).mapInArrow(packed(QUERY_BLOCK, False), "ids binary, data binary"), f"{folder}/queries")
-    # each query block goes to each of a few groups of code blocks
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asks = asks.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = codes.select(F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.pmod(F.crc32("ids"), F.lit(groups)).cast("int").alias("g")).join(asks, "g").drop("g").repartition(groups, "q_ids", "c_ids")
-
-    def scan(batches):
+    def unit(batches):
         for batch in batches:
-            for c_ids, c_data, q_ids, q_data in zip(*[batch.column(i) for i in range(4)]):
-                ids = np.frombuffer(c_ids.as_buffer(), "<i8")
-                code = np.frombuffer(c_data.as_buffer(), np.uint8).reshape(len(ids), -1)
-                qid = np.frombuffer(q_ids.as_buffer(), "<i8")
-                unit = np.frombuffer(q_data.as_buffer(), "<f8").reshape(len(qid), d)
-                by_byte = np.ascontiguousarray(code.T)
-                found_q, found_c, found_s = [], [], []
-                order = np.argsort(ids)  # equal estimates: the smaller id first
-                for a in range(0, len(qid), 32):
-                    t = tables(unit[a : a + 32], book)
-                    for j in range(len(t)):
-                        s = np.zeros(len(ids), np.float32)
-                        for m, c in enumerate(by_byte):
-                            s += t[j, m][c]
-                        s = s[order]
-                        n = min(keep, len(s))
-                        edge = np.partition(s, len(s) - n)[len(s) - n]
-                        top = np.flatnonzero(s > edge)
-                        top = np.r_[top, np.flatnonzero(s == edge)[: n - len(top)]]
-                        found_q.append(np.full(len(top), qid[a + j]))
-                        found_c.append(ids[order[top]])
-                        found_s.append(s[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_q, found_c, found_s)], ["query_id", "rep", "estimate"])
-
-    hits = pairs.mapInArrow(scan, "query_id long, rep long, estimate float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "rep")
-    hits = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= keep).select("query_id", "rep")
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda a, b: a + b))
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), norm("v").alias("qn"))
-    scored = hits.join(index, "rep").join(q, "query_id").select("query_id", "ids", (dot / (F.col("qn") * norm("v"))).alias("score"))
-    scored = scored.select("query_id", F.explode("ids").alias(id_col), "score").where(F.col(id_col) != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "score")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_unit(batch.column(1))), pa.list_(pa.float64())), pa.array(np.zeros(len(batch)))], ["ask", "u", "floor"])
+
+    asks = queries.select("ask", "qv").mapInArrow(unit, "ask long, u array<double>, floor double")
+    d = index.select(F.size("v")).first()[0]
+
+    def scan(batch, shared):
+        ask, _, u = shared
+        reps = batch.column(0).to_numpy()
+        for a in range(0, len(batch), 2048):
+            s = u @ _unit(batch.column(1).slice(a, 2048)).T
+            edge = np.partition(s, max(0, s.shape[1] - keep), axis=1)[:, max(0, s.shape[1] - keep)] - 1e-9
+            i, j = np.nonzero(s >= edge[:, None])
+            # what lies within rounding of the cut ties with it
+            yield [[ask[i]], [reps[a + j]], [np.maximum(np.round(s[i, j], 9), -2.0)]]
+
+    return _batches(spark, index.select("rep", "v"), asks, d, scan, keep, folder)
