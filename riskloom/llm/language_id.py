@@ -5,10 +5,8 @@ is bound by multiplying its three vectors, the first rotated by two places and t
 order counts. A text is the bundle (sum) of its trigrams' vectors with their counts; a language's prototype is
 the bundle of its learning texts. Prediction takes the prototype of largest cosine.
 
-The dot product of a text's bundle with a prototype is the sum over trigrams of count times
-dot(trigram vector, prototype), which a table holds for every trigram a worker has met; the bundle's
-length, the same for all languages, is that of quasi-orthogonal trigram vectors,
-sqrt(DIM * sum of squared counts). Prototypes are centred: the mean over languages of the unit
+The score is the cosine of the text's bundle, all ``DIM`` dimensions of it, with the prototype. Trigram vectors are kept in a
+table of bounded size. Prototypes are centred: the mean over languages of the unit
 prototypes is taken off, as all share the frequent patterns of word borders.
 
 Learning: each task bundles the texts of each language that it reads and returns one vector a
@@ -19,7 +17,8 @@ Letters: a-z have a class each, other letters fold by code point into further cl
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; ties go to the
 first language in code point order; rows with null lang teach nothing; with nothing learned all is
-``und``. Null doc_ids predict as others and teach nothing. Whole texts are read, in slices; extra columns are not read.
+``und``; an empty table gives no rows. Null doc_ids predict as others and teach nothing; repeated rows teach and are told
+each for itself. Whole texts are read, in slices, very long ones too; extra columns are not read unless carried.
 """
 
 from __future__ import annotations
@@ -138,33 +137,45 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 class Scorer:
-    """Dot products with the prototypes by trigram, filled in as trigrams are met."""
+    """Cosines of texts' bundles with the prototypes."""
+
+    KEEP = 16384  # trigram vectors kept: 32 MB
 
     def __init__(self, prototypes: np.ndarray):
-        self.prototypes = prototypes.astype(np.float32)
-        self.known = np.zeros(SPAN, bool)
-        self.row = np.zeros(SPAN, np.int32)
-        self.table = np.zeros((0, len(prototypes)), np.float32)
-
-    def rows(self, code: np.ndarray) -> np.ndarray:
-        fresh = np.unique(code[~self.known[code]])
-        if len(fresh):
-            dots = [space().bound(fresh[a : a + 4096]).astype(np.float32) @ self.prototypes.T for a in range(0, len(fresh), 4096)]
-            self.row[fresh] = len(self.table) + np.arange(len(fresh))
-            self.table, self.known[fresh] = np.concatenate([self.table, *dots]), True
-        return self.row[code]
+        self.prototypes = np.ascontiguousarray(prototypes.T, np.float32)
+        self.row = np.full(SPAN, -1, np.int32)
+        self.table = np.zeros((self.KEEP, DIM), np.int8)
+        self.n = 0
+
+    def rows(self, types: np.ndarray) -> np.ndarray:
+        """Places of trigrams, at most ``KEEP`` at once, in the table."""
+        fresh = types[self.row[types] < 0]
+        if self.n + len(fresh) > self.KEEP:
+            self.row[:], self.n = -1, 0
+            fresh = types
+        self.table[self.n : self.n + len(fresh)] = space().bound(fresh)
+        self.row[fresh] = np.arange(self.n, self.n + len(fresh))
+        self.n += len(fresh)
+        return self.row[types]
 
     def scores(self, code: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, trigrams) of n documents."""
-        row = self.rows(code)
-        dots = np.stack([np.bincount(doc, self.table[row, j], n) for j in range(len(self.prototypes))], 1) if len(code) else np.zeros((n, len(self.prototypes)))
-        # squared counts of each document's trigrams
-        key = doc.astype(np.int64) * max(len(self.table), 1) + row
+        out = np.zeros((n, self.prototypes.shape[1]))
+        key = doc.astype(np.int64) * SPAN + code
         key.sort()
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[first, len(key)])
-        squares = np.bincount(key[first] // max(len(self.table), 1), count.astype(float) ** 2, n) if len(key) else np.zeros(n)
-        return dots / np.sqrt(DIM * np.maximum(squares, 1e-12))[:, None], np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, int)
+        count = np.diff(np.r_[first, len(key)]).astype(np.float32)
+        types, of = key[first] % SPAN, key[first] // SPAN
+        at = np.searchsorted(of, np.arange(n + 1)).tolist()
+        for d in range(n):
+            bundle = np.zeros(DIM, np.float32)
+            for a in range(at[d], at[d + 1], 4096):
+                b = min(a + 4096, at[d + 1])
+                bundle += count[a:b] @ self.table[self.rows(types[a:b])].astype(np.float32)
+            size = float(np.linalg.norm(bundle))
+            if size > 0:
+                out[d] = bundle @ self.prototypes / size
+        return out, np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, int)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str] = (), prefix: str = "") -> DataFrame:
