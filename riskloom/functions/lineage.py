@@ -5,18 +5,19 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 HOPS_A_CUT = 16  # a walk without a hop limit cuts the union of its hops this often, so its plan stays small
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder (spark.checkpoint.dir, shared by the executors) and read from there from now on.
+def base_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, shared by the driver and all executors.
 
-    Where the session names none, as in tests, a temporary one is set for a local master; on a cluster that is an error.
+    Where it names none, as in tests, a temporary one is set for a local master; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         base = sc.getConf().get("spark.checkpoint.dir")
         if not base and sc.master.split("[")[0] != "local":
@@ -25,4 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
             base = tempfile.mkdtemp(prefix="riskloom-")
             atexit.register(shutil.rmtree, base, True)
         sc.setCheckpointDir(base)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nobody has used before."""
+    return f"{base_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there from now on."""
+    base_folder(df.sparkSession)
     return df.checkpoint()

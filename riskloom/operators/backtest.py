@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import d
+from riskloom.operators.service import running_total
 
 
 def matched(predictions: DataFrame, actual: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -28,11 +29,10 @@ def confusion(df: DataFrame, score: str, label: str, at: float = 0.5) -> DataFra
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve, ties averaged; 0.5 with one class only.
 
-    Rows are counted by distinct score first; the running sum is over distinct scores.
+    Rows are counted by distinct score first; the running sum over those goes in two steps, in range partitions.
     """
     g = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), d(0))
-    g = g.withColumn("_won", F.col("p") * (below + F.col("n") / 2))
+    g = running_total(g, "s", "n").withColumn("_won", F.col("p") * (F.col("upto") - F.col("n") / 2))
     total = F.sum("p") * F.sum("n")
     return g.agg(F.when(total > 0, F.sum("_won") / total).otherwise(d(0.5)).alias("auc"))
 

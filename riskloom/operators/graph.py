@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
@@ -182,3 +182,30 @@ def betweenness(edges: DataFrame, nodes: DataFrame, radius: int = 3) -> DataFram
     kind = edges.schema["src"].dataType.simpleString()
     scored = ego.groupBy("ego").applyInPandas(run, f"node {kind}, network_exposure_score double")
     return nodes.select("node").join(scored, "node", "left").select("node", F.coalesce("network_exposure_score", d(0)).alias("network_exposure_score"))
+
+
+def topological(pairs: DataFrame, connects: DataFrame, assets: DataFrame, starts: DataFrame, edges: DataFrame, vuln_node: Column, radius: int = 3) -> DataFrame:
+    """T5: the six topological features of each pair: asset_degree, vuln_reach, attack_path_depth, network_exposure_score, vuln_clustering and
+    connected_critical_assets. Each comes once at its own grain.
+
+    ``starts``: (vuln_id, node) of what exploits a vulnerability; ``edges``: (src, dst) of the whole graph, in which a vulnerability's node is ``vuln_node``.
+    """
+    by_asset = assets.select("asset_id").join(degrees(connects).select(F.col("node").alias("asset_id"), F.col("degree").alias("asset_degree")), "asset_id", "left")
+    by_asset = by_asset.join(critical_neighbours(assets, connects), "asset_id", "left").join(betweenness(connects, assets.select(F.col("asset_id").alias("node")), radius).withColumnRenamed("node", "asset_id"), "asset_id", "left")
+    reach = pairs.select("vuln_id", "asset_id").distinct().groupBy("vuln_id").agg(F.count(F.lit(1)).cast("double").alias("vuln_reach"))
+    near = clustering(edges).select(F.col("node").alias("_node"), F.col("clustering").alias("vuln_clustering"))
+    by_vuln = reach.withColumn("_node", vuln_node).join(near, "_node", "left").drop("_node")
+    out = path_depth(connects, starts, pairs).join(by_vuln, "vuln_id", "left").join(by_asset, "asset_id", "left")
+    names = ("asset_degree", "vuln_reach", "attack_path_depth", "network_exposure_score", "vuln_clustering", "connected_critical_assets")
+    return out.select("vuln_id", "asset_id", *[F.coalesce(F.col(c), d(0)).alias(c) for c in names])
+
+
+def node(nodes: DataFrame, node_id) -> DataFrame:
+    """A node, or no row."""
+    return nodes.where(F.col("node_id") == node_id)
+
+
+def present(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Which of the keys are nodes."""
+    known = nodes.select("node_id").distinct().withColumn("is_node", F.lit(True))
+    return keys.join(known, "node_id", "left").withColumn("is_node", F.coalesce("is_node", F.lit(False)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
-from riskloom.functions.lineage import cut
+from riskloom.functions.lineage import HOPS_A_CUT, cut
 from riskloom.functions.scalar import d
 
 EXACT_WINDOW_ROWS = 200_000  # up to here one sort in one task is the faster way
@@ -30,24 +30,24 @@ def global_rank(df: DataFrame, order: list[Column], name: str, rows: int | None
 def pareto_front(items: DataFrame, risk: str, cost: str) -> DataFrame:
     """Column ``dominated``: is another item at least as good on both and better on one (more risk, less cost)?
 
-    Items are first reduced to the least cost of each distinct risk; a running minimum over higher risks is all that is needed.
+    Items are first reduced to the least cost of each distinct risk. What lies above a risk is a running minimum in two steps: inside range
+    partitions of the risk, and over the partitions' own least costs, one number each.
     """
     by_risk = items.groupBy(risk).agg(F.min(cost).alias("_own"))
-    above = by_risk.withColumn("_above", F.min("_own").over(Window.orderBy(F.desc(risk)).rowsBetween(Window.unboundedPreceding, -1)))
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(by_risk.repartitionByRange(n, F.desc(risk)).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(F.desc(risk)).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.min("_own").alias("_least"))
+    parts = parts.select("_part", F.min("_least").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    above = dealt.withColumn("_in", F.min("_own").over(inside)).join(F.broadcast(parts), "_part").select(risk, "_own", F.least("_in", "_base").alias("_above"))
     out = items.join(above, risk)
     return out.withColumn("dominated", F.coalesce(F.col("_above") <= F.col(cost), F.lit(False)) | (F.col("_own") < F.col(cost))).drop("_own", "_above")
 
 
-def pareto_layers(items: DataFrame, risk: str, cost: str, max_layers: int = 1000) -> DataFrame:
-    """Column ``front`` from 1, layer by layer: each layer's front is peeled off the rest until nothing is left.
-
-    What is left after ``max_layers`` rounds gets its layers from ``pareto_chain``, numbered on from there.
-    """
+def pareto_layers(items: DataFrame, risk: str, cost: str) -> DataFrame:
+    """R1 by definition: column ``front`` from 1, each layer's front peeled off the rest until nothing is left: a round of jobs for every layer."""
     rest, out, layer = items, None, 1
-    constant = items.agg(F.min(cost).alias("a"), F.max(cost).alias("b")).first()
-    if constant.a == constant.b:  # then a layer is a distinct risk
-        return items.withColumn("front", F.dense_rank().over(Window.orderBy(F.desc(risk))))
-    while layer <= max_layers:
+    while True:
         marked = cut(pareto_front(rest, risk, cost))
         front = marked.where("not dominated").drop("dominated").withColumn("front", F.lit(layer))
         out = front if out is None else out.unionByName(front)
@@ -55,36 +55,59 @@ def pareto_layers(items: DataFrame, risk: str, cost: str, max_layers: int = 1000
         if rest.isEmpty():
             return out
         layer += 1
-    deeper = pareto_chain(rest, risk, cost).withColumn("front", F.col("front") + (layer - 1))
-    return deeper if out is None else out.unionByName(deeper)
+        if layer % HOPS_A_CUT == 0:
+            out = cut(out)
+
+
+CHAIN_POINTS = 1_000_000  # distinct points that one task sorts
 
 
-def pareto_chain(items: DataFrame, risk: str, cost: str) -> DataFrame:
-    """The same layers for items that fit one task's memory in distinct (risk, cost) points: a patience sort in one pass.
+def pareto_chain(items: DataFrame, risk: str, cost: str, points_each: int = CHAIN_POINTS) -> DataFrame:
+    """The same layers in one pass, by a patience sort of the distinct (risk, cost) points.
 
     Sorted by falling risk, then cost, an item's layer is one more than the longest chain that dominates it; the layers' least costs stay sorted, so
-    each point needs one binary search.
+    each point needs one binary search. The points are dealt to ranges of about ``points_each``, one after the other; a range hands
+    the layers' least costs, one number a layer, to the next. With one cost for all, a layer is a distinct risk, and ranges are numbered at once.
     """
     import bisect
 
     import pandas as pd
 
     points = items.select(risk, cost).distinct()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([risk, cost], ascending=[False, True])
-        last: list[float] = []  # least cost of each layer so far, falling sums of chains
-        fronts = []
-        for x in pdf[cost]:
-            at = bisect.bisect_right(last, x)
-            if at == len(last):
-                last.append(x)
-            else:
-                last[at] = x
-            fronts.append(at + 1)
-        return pdf.assign(front=fronts)
-
-    layers = points.groupBy().applyInPandas(run, f"{risk} double, {cost} double, front int")
+    at = points.agg(F.count(F.lit(1)).alias("n"), F.min(cost).alias("a"), F.max(cost).alias("b")).first()
+    if at.n and at.a == at.b:
+        return items.join(global_rank(points, [F.desc(risk)], "front", at.n), [risk, cost])
+    parts = max(1, -(-at.n // points_each))
+    if parts > 1:
+        points = cut(points.repartitionByRange(parts, F.desc(risk)).withColumn("_part", F.spark_partition_id()))
+
+    def chain(before: tuple[float, ...]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([risk, cost], ascending=[False, True])
+            held, fronts = list(before), []
+            for x in pdf[cost]:
+                k = bisect.bisect_right(held, x)
+                if k == len(held):
+                    held.append(x)
+                else:
+                    held[k] = x
+                fronts.append(k + 1)
+            return pdf[[risk, cost]].assign(front=fronts)
+
+        return run
+
+    last: list[float] = []  # least cost of each layer so far
+    layers = None
+    for i in range(parts):
+        mine = points.where(F.col("_part") == i).drop("_part") if parts > 1 else points
+        got = mine.groupBy().applyInPandas(chain(tuple(last)), f"{risk} double, {cost} double, front int")
+        if parts > 1:
+            got = cut(got)
+            # the last point that entered a layer has its least cost
+            order = F.struct((-F.col(risk)).alias("r"), F.col(cost).alias("c"))
+            for r in got.groupBy("front").agg(F.max_by(cost, order).alias("c")).orderBy("front").collect():
+                last[r.front - 1 : r.front] = [r.c]
+        layers = got if layers is None else layers.unionByName(got)
     return items.join(layers, [risk, cost])
 
 
@@ -135,12 +158,18 @@ def ensemble(items: DataFrame, ranks: list[str], method: str = "rank_average", w
 
 
 def pipeline(items: DataFrame, key: str = "pair_key", risk: str = "composite_risk", cost: str = "remediation_cost", weights: dict[str, float] | None = None, method: str = "rank_average") -> DataFrame:
-    """Pareto, cost-benefit, time, TOPSIS, ensemble; each rank breaks the next one's ties."""
-    n = items.count()
-    i = pareto_chain(items, risk, cost)
+    """Pareto, cost-benefit, time, TOPSIS, ensemble; each rank breaks the next one's ties.
+
+    All criteria come first, at nine digits, and are written once; the ranks are numbered from there.
+    """
+    i = urgency(cost_benefit(items, risk, cost), risk, "is_in_kev", "has_public_exploit", "exploit_velocity_days")
+    i = cut(topsis(i, topsis_criteria(weights)))
+    i = i.withColumns({f"_{c}": F.floor(F.col(c) * 1e9 + 0.5) for c in ("benefit_ratio", "urgency", "closeness")})
+    i = cut(pareto_chain(i, risk, cost))
+    n = i.count()
     i = global_rank(i, [F.col("front"), F.desc(risk), F.col(key)], "pareto_rank", n)
-    i = global_rank(cost_benefit(i, risk, cost), [F.desc("benefit_ratio"), F.col("pareto_rank")], "cost_benefit_rank", n)
-    i = global_rank(urgency(i, risk, "is_in_kev", "has_public_exploit", "exploit_velocity_days"), [F.desc("urgency"), F.col("cost_benefit_rank")], "time_rank", n)
-    i = global_rank(topsis(i, topsis_criteria(weights)), [F.desc("closeness"), F.col("time_rank")], "topsis_rank", n)
-    i = ensemble(i, ["pareto_rank", "cost_benefit_rank", "time_rank", "topsis_rank"], method, n=n)
+    i = global_rank(i, [F.desc("_benefit_ratio"), F.col("pareto_rank")], "cost_benefit_rank", n)
+    i = global_rank(i, [F.desc("_urgency"), F.col("cost_benefit_rank")], "time_rank", n)
+    i = global_rank(i, [F.desc("_closeness"), F.col("time_rank")], "topsis_rank", n)
+    i = ensemble(i, ["pareto_rank", "cost_benefit_rank", "time_rank", "topsis_rank"], method, n=n).drop("_benefit_ratio", "_urgency", "_closeness")
     return global_rank(i, [F.col("ensemble_score"), F.col("topsis_rank")], "final_rank", n)

@@ -66,22 +66,24 @@ def unit_rollup(assets: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy_closure(tree: DataFrame, levels: int = 16) -> DataFrame:
-    """(ancestor, unit) for each unit and all above it, itself included; tree has (unit, parent), parent null at the top."""
+def hierarchy_closure(tree: DataFrame) -> DataFrame:
+    """(ancestor, unit) for each unit and all above it, however far, itself included; tree has (unit, parent), parent null at the top. A circle is walked once."""
     closure = tree.select(F.col("unit").alias("ancestor"), "unit")
     frontier = tree.where("parent is not null").select(F.col("parent").alias("ancestor"), "unit")
     up = tree.where("parent is not null").select(F.col("unit").alias("ancestor"), F.col("parent").alias("_up"))
-    for _ in range(levels):
+    for level in count(1):
         closure = closure.unionByName(frontier)
-        frontier = cut(frontier.join(up, "ancestor").select(F.col("_up").alias("ancestor"), "unit"))
+        if level % HOPS_A_CUT == 0:
+            closure = cut(closure)
+        step = frontier.join(up, "ancestor").select(F.col("_up").alias("ancestor"), "unit").distinct()
+        frontier = cut(step.join(closure, ["ancestor", "unit"], "left_anti"))
         if frontier.isEmpty():
-            break
-    return closure
+            return closure
 
 
-def hierarchy_rollup(units: DataFrame, tree: DataFrame, levels: int = 16) -> DataFrame:
+def hierarchy_rollup(units: DataFrame, tree: DataFrame) -> DataFrame:
     """Every unit with all below it; the mean is total over count; units without assets have zeros."""
-    rows = hierarchy_closure(tree, levels).join(units.withColumnRenamed("bu", "unit"), "unit", "left")
+    rows = hierarchy_closure(tree).join(units.withColumnRenamed("bu", "unit"), "unit", "left")
     return rows.groupBy(F.col("ancestor").alias("bu")).agg(
         F.coalesce(F.sum("total_risk"), d(0)).alias("total_risk"),
         F.coalesce(F.sum("weighted_risk"), d(0)).alias("weighted_risk"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import ab_bucket
@@ -76,5 +76,79 @@ def version_list(registry: DataFrame, model: str) -> DataFrame:
     return registry.where(F.col("model") == model).orderBy(F.desc("trained_at"), F.desc("version"))
 
 
-def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+def register(registry: DataFrame, rows: DataFrame) -> DataFrame:
+    """K9: a registry with new versions, which start as "staged"; a version that comes again replaces the old row."""
+    both = registry.withColumn("_n", F.lit(0)).unionByName(rows.withColumn("status", F.lit("staged")).withColumn("_n", F.lit(1)), allowMissingColumns=True)
+    return latest(both, ["model", "version"], ["_n"]).drop("_n")
+
+
+def start_ab_test(tests: DataFrame, model: str, a: str, b: str, share_a: float, started_at) -> DataFrame:
+    """Tests (model, version_a, version_b, share_a, started_at, ended_at) with one more; the model's running test ends as it starts."""
+    if not 0 <= share_a <= 1:
+        raise ValueError("share_a must be between 0 and 1")
+    ended = end_ab_test(tests, model, started_at)
+    new = tests.sparkSession.range(1).select(F.lit(model).alias("model"), F.lit(a).alias("version_a"), F.lit(b).alias("version_b"), F.lit(float(share_a)).alias("share_a"), F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("ended_at"))
+    return ended.unionByName(new)
+
+
+def end_ab_test(tests: DataFrame, model: str, ended_at) -> DataFrame:
+    """The model's running test, if any, has an end."""
+    running = (F.col("model") == model) & F.col("ended_at").isNull()
+    return tests.withColumn("ended_at", F.when(running, F.lit(ended_at).cast("timestamp")).otherwise(F.col("ended_at")))
+
+
+def pruned(features: DataFrame, keep: int = 30, cycle: str = "cycle_id") -> tuple[DataFrame, DataFrame]:
+    """K7: (rows of the cycles that stay, one row with the number of cycles removed)."""
+    cycles = features.select(cycle).distinct()
+    gone = cycles.agg(F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("removed_cycles"))
+    return kept_cycles(features, keep, cycle), gone
+
+
+def prune_files(spark: SparkSession, path: str, keep: int = 30, cycle: str = "cycle_id") -> int:
+    """K7 on a table in partitions by cycle: folders of older cycles are deleted, no row is rewritten; the number of cycles removed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted((x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().startswith(f"{cycle}=")), reverse=True)
+    for name in names[keep:]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    return len(names[keep:])
+
+
+def table(spark: SparkSession, path: str, where: str | None = None, order: list[Column] = (), limit: int | None = None) -> DataFrame:
+    """A stored table, filtered, ordered and cut to a page; filter and columns reach the scan."""
+    t = spark.read.parquet(path)
+    t = t.where(where) if where else t
+    t = t.orderBy(*order) if order else t
+    return t.limit(limit) if limit is not None else t
+
+
+def as_json(df: DataFrame, key: list[str], name: str = "payload") -> DataFrame:
+    """F-json1: all other columns as one JSON column."""
+    return df.select(*key, F.to_json(F.struct(*[c for c in df.columns if c not in key])).alias(name))
+
+
+def of_json(df: DataFrame, key: list[str], schema: str, name: str = "payload") -> DataFrame:
+    """F-json1: and back."""
+    return df.select(*key, F.from_json(name, schema).alias("_x")).select(*key, "_x.*")
+
+
+#: The stored tables' columns.
+TABLES = {
+    "import_log": "batch_id string, source string, file string, import_ts timestamp, records long, sha256 string",
+    "node_versions": "node_id string, version int, changed_at timestamp, attrs map<string,string>",
+    "features": "vuln_id string, asset_id string, cycle_id string, computed_at timestamp, features map<string,double>",
+    "labels": "vuln_id string, asset_id string, label_name string, label_value double",
+    "states": "vuln_id string, asset_id string, distribution array<double>, dominant_state int, entropy double, updates_in_state long, absorption_time double, cycle_id string",
+    "models": MODEL_SCHEMA,
+    "ab_tests": "model string, version_a string, version_b string, share_a double, started_at timestamp, ended_at timestamp",
+}
+
+
+def create_tables(spark: SparkSession, path: str) -> None:
+    """Those tables that are not there yet, empty."""
+    jvm = spark.sparkContext._jvm
+    for name, schema in TABLES.items():
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            spark.createDataFrame([], schema).write.parquet(f"{path}/{name}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalar import d
+from riskloom.functions.lineage import cut
+from riskloom.functions.scalar import d, joined_text, split_list
 
 
 def tokens(text: Column) -> Column:
@@ -27,26 +28,107 @@ def tfidf(docs: DataFrame, key: str, text: str, max_terms: int = 5000, stop: tup
     return w.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
-def svd_embedding(weights: DataFrame, key: str, dim: int = 128) -> DataFrame:
-    """(key, embedding): rows projected on the top right singular vectors; shorter spectra are padded with zeros. Signs are arbitrary."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def stop_words() -> tuple[str, ...]:
+    """Spark's own list of English stop words."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(w for w in StopWordsRemover.loadDefaultStopWords("english") if "'" not in w)
+
+
+def svd_embedding(weights: DataFrame, key: str, dim: int = 128, rounds: int = 7, seed: int = 42) -> DataFrame:
+    """(key, embedding): rows projected on the top right singular vectors; shorter spectra are padded with zeros. Signs are arbitrary.
+
+    Subspace iteration on A'A from a seeded random start: each round is one pass in which a task adds up A'(A X) for its rows; these sums
+    are terms x (dim + 10) numbers, bounded by the vocabulary.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = weights.sparkSession
+    terms = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]  # the vocabulary, of bounded size
+    size = len(terms)
+    if not size:
+        return weights.select(key, F.array().cast("array<double>").alias("embedding"))
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "i int, term string"))
+    rows = cut(weights.join(numbers, "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")))
+    slices = 16
+
+    def of(batch):
+        i, w = batch.column(1), batch.column(2)
+        n = np.diff(i.offsets.to_numpy())
+        return np.repeat(np.arange(len(batch)), n), i.flatten().to_numpy(), w.flatten().to_numpy(), len(batch)
+
+    def projected(row, i, w, n, x):
+        out = np.zeros((n, x.shape[1]))
+        np.add.at(out, row, x[i] * w[:, None])
+        return out
+
+    def gram(x):
+        def partial(batches):
+            total = np.zeros_like(x)
+            for batch in batches:
+                row, i, w, n = of(batch)
+                np.add.at(total, i, projected(row, i, w, n, x)[row] * w[:, None])
+            parts = np.array_split(total, slices)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts])], ["s", "m"])
+
+        def add(batches):
+            total = {}
+            for batch in batches:
+                for s, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    m = np.frombuffer(m.as_buffer())
+                    total[s] = total[s] + m if s in total else m
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["s", "m"])
+
+        schema = "s int, m binary"
+        got = rows.mapInArrow(partial, schema).repartition(slices, "s").mapInArrow(add, schema).collect()
+        return np.concatenate([np.frombuffer(r.m).reshape(-1, x.shape[1]) for r in sorted(got)])
 
-    model = StringIndexer(inputCol="term", outputCol="_i", stringOrderType="alphabetAsc").fit(weights)
-    size = len(model.labels)
-    rows = model.transform(weights).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").cast("int").alias("i"), "weight"))).alias("x"))
-    to_vector = F.udf(lambda x: SparseVector(size, [r.i for r in x], [r.weight for r in x]), VectorUDT())
-    vectors = rows.select(key, to_vector("x").alias("v"))
-    matrix = RowMatrix(vectors.rdd.map(lambda r: Vectors.sparse(size, r.v.indices, r.v.values)))
     k = min(dim, size)
-    right = matrix.computeSVD(k, computeU=False).V.toArray()  # terms x dim: bounded by the vocabulary
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + 10))))[0]
+    for _ in range(rounds):
+        x = np.linalg.qr(gram(x))[0]
+    values, vectors = np.linalg.eigh(x.T @ gram(x))
+    right = x @ vectors[:, np.argsort(-values)[:k]]
+    right = np.pad(right, ((0, 0), (0, dim - k)))
+
+    def embed(batches):
+        for batch in batches:
+            out = projected(*of(batch), right)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], [key, "embedding"])
+
+    return rows.mapInArrow(embed, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
+def vulnerability_text(description: Column, title: Column, cwe_ids: Column, fallback: Column) -> Column:
+    """Description, title and weaknesses (separated by semicolons) in one text, or the fallback."""
+    return joined_text([description, title, F.array_join(split_list(cwe_ids, ";"), " ")], fallback)
+
+
+def tfidf_backend(docs: DataFrame, key: str, text: str, dim: int = 128) -> DataFrame:
+    """Fits itself on the texts and embeds them."""
+    return svd_embedding(tfidf(docs, key, text, stop=stop_words()), key, dim)
+
+
+def table_backend(docs: DataFrame, key: str, table: DataFrame, table_key: str, vector: str) -> DataFrame:
+    """Embeddings that another model has made, by key; none for keys that the table lacks."""
+    return docs.select(key).join(table.select(F.col(table_key).alias(key), F.col(vector).cast("array<double>").alias("embedding")), key, "left")
+
+
+BACKENDS = {"tfidf": tfidf_backend, "table": table_backend}
+
+
+def backend(name: str):
+    """The embedding function of that name."""
+    if name not in BACKENDS:
+        raise ValueError(f"unknown embedding backend {name!r}: {', '.join(BACKENDS)}")
+    return BACKENDS[name]
+
 
-    got = right.shape[1]
-    lookup = F.broadcast(weights.sparkSession.createDataFrame([(t, [float(z) for z in right[i]] + [0.0] * (dim - got)) for i, t in enumerate(model.labels)], "term string, dir array<double>"))
-    scaled = weights.join(lookup, "term").select(key, F.posexplode(F.transform("dir", lambda z: z * F.col("weight"))).alias("i", "z")).groupBy(key, "i").agg(F.sum("z").alias("z"))
-    return scaled.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda s: s["z"]).alias("embedding"))
+def expanded(df: DataFrame, vector: str, dim: int, prefix: str = "embed_") -> DataFrame:
+    """A column for each component, 0 where there is none; for export, as the array is the better form to compute with."""
+    rest = [c for c in df.columns if c != vector]
+    return df.select(*rest, *[F.coalesce(F.get(vector, F.lit(i)).cast("double"), d(0)).alias(f"{prefix}{i}") for i in range(dim)])
 
 
 def cosine(a: str, b: str) -> Column:

@@ -127,9 +127,42 @@ def path_depth(spark, sf):
     return G.path_depth(P.connects(spark, sf), starts, pairs)
 
 
-@query()
+#: Ego graphs of radius 3, in which no two nodes are more than 6 hops apart; shortest paths counted hop by hop.
+BETWEEN = """ub AS (SELECT src AS a, dst AS b FROM connect UNION SELECT dst, src FROM connect), ego0 AS (SELECT s_suppkey AS ego, s_suppkey AS m, 0 AS h FROM supplier UNION SELECT ego, b, h + 1 FROM ego0 JOIN ub ON a = m WHERE h < 3),
+ ego AS (SELECT DISTINCT ego, m FROM ego0), ee AS (SELECT x.ego, ub.a, ub.b FROM ub JOIN ego x ON x.m = ub.a JOIN ego y ON y.ego = x.ego AND y.m = ub.b),
+ walks AS (SELECT ego, m AS s, m AS v, 0 AS h FROM ego UNION SELECT w.ego, s, b, h + 1 FROM walks w JOIN ee ON ee.ego = w.ego AND ee.a = w.v WHERE h < 6), apart AS (SELECT ego, s, v, min(h) AS h FROM walks GROUP BY ALL),
+ ways AS (SELECT ego, s, v, h, 1.0::DOUBLE AS n FROM apart WHERE h = 0 UNION ALL SELECT d.ego, d.s, d.v, d.h, sum(n) FROM ways w JOIN ee ON ee.ego = w.ego AND ee.a = w.v JOIN apart d ON d.ego = w.ego AND d.s = w.s AND d.v = ee.b AND d.h = w.h + 1 GROUP BY ALL),
+ centre AS (SELECT st.ego, sum(a.n * c.n / st.n) AS x FROM ways st JOIN ways a ON a.ego = st.ego AND a.s = st.s AND a.v = st.ego JOIN ways c ON c.ego = st.ego AND c.s = st.ego AND c.v = st.v WHERE st.s <> st.ego AND st.v <> st.ego AND st.s <> st.v AND a.h + c.h = st.h GROUP BY st.ego),
+ between_ AS (SELECT e.ego AS node, CASE WHEN count(*) > 2 THEN coalesce(any_value(x), 0) / ((count(*) - 1) * (count(*) - 2)) ELSE 0 END AS network_exposure_score FROM ego e LEFT JOIN centre USING (ego) GROUP BY e.ego)"""
+
+
+@query(f"WITH RECURSIVE {P.CONNECT}, {BETWEEN} SELECT node, {q6_sql('network_exposure_score')} AS network_exposure_score FROM between_")
 def betweenness(spark, sf):
-    return G.betweenness(P.connects(spark, sf), P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")))
+    b = G.betweenness(P.connects(spark, sf), P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")))
+    return b.select("node", q6(F.col("network_exposure_score")).alias("network_exposure_score"))
+
+
+WITH_TOPOLOGY = f"""WITH RECURSIVE {P.ASSET}, {P.CONNECT}, {BETWEEN}, pp AS (SELECT DISTINCT l_partkey AS vuln_id, l_suppkey AS asset_id FROM lineitem),
+ st AS (SELECT DISTINCT p_partkey AS vuln_id, p_partkey * 3 % 100 AS node FROM part), w AS (SELECT DISTINCT node AS root, node, 0 AS h FROM st UNION SELECT w.root, c.dst, h + 1 FROM w JOIN connect c ON c.src = w.node WHERE h < (SELECT count(*) FROM supplier)),
+ far AS (SELECT root, node, min(h) AS h FROM w GROUP BY ALL), deg AS (SELECT src, count(*)::DOUBLE AS n FROM connect GROUP BY src), reach AS (SELECT vuln_id, count(*)::DOUBLE AS n FROM pp GROUP BY vuln_id),
+ crit AS (SELECT b.a, count(*)::DOUBLE AS n FROM (SELECT src AS a, dst AS o FROM connect UNION ALL SELECT dst, src FROM connect) b JOIN asset x ON x.asset_id = b.o WHERE x.criticality IN ('critical', 'high') GROUP BY b.a),
+ tri AS (SELECT p.vuln_id, count(*)::DOUBLE AS t FROM pp p JOIN pp q ON q.vuln_id = p.vuln_id AND q.asset_id > p.asset_id JOIN ub ON ub.a = p.asset_id AND ub.b = q.asset_id GROUP BY p.vuln_id)
+ SELECT p.vuln_id, p.asset_id, coalesce(deg.n, 0) AS asset_degree, reach.n AS vuln_reach, coalesce(far.h, -1)::DOUBLE AS attack_path_depth, {q6_sql('network_exposure_score')} AS network_exposure_score,
+ {q6_sql('CASE WHEN reach.n > 1 THEN coalesce(t, 0) * 2 / (reach.n * (reach.n - 1)) ELSE 0 END')} AS vuln_clustering, coalesce(crit.n, 0) AS connected_critical_assets
+ FROM pp p JOIN reach USING (vuln_id) LEFT JOIN deg ON deg.src = p.asset_id LEFT JOIN st USING (vuln_id) LEFT JOIN far ON far.root = st.node AND far.node = p.asset_id LEFT JOIN between_ ON between_.node = p.asset_id LEFT JOIN tri USING (vuln_id) LEFT JOIN crit ON crit.a = p.asset_id"""
+
+
+@query(f"WITH {P.CONNECT}, m AS (SELECT s_suppkey AS x, s_suppkey // 3 * 3 AS kept FROM supplier) SELECT DISTINCT a.kept AS src, b.kept AS dst FROM connect JOIN m a ON a.x = src JOIN m b ON b.x = dst WHERE a.kept <> b.kept")
+def repointed_edges(spark, sf):
+    """Edges after a merge of nodes: ends moved, without loops and repeats."""
+    k = F.col("s_suppkey")
+    return G.repoint(P.connects(spark, sf), P.table(spark, sf, "supplier").select(k.alias("cpe"), (k - k % 3).alias("kept")))
+
+
+@query("SELECT c_custkey AS node_id, c_custkey IN (SELECT s_suppkey FROM supplier) AS is_node FROM customer")
+def node_lookup(spark, sf):
+    nodes = P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"))
+    return G.present(nodes, P.table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id")))
 
 
 # ---------------------------------------------------------------- stores

@@ -41,14 +41,6 @@ def risk_bands(spark, sf):
     return S.banded(P.risks(spark, sf))
 
 
-@query()
-def prioritization_list(spark, sf):
-    """A top-k report: the first hundred of the final ranking."""
-    from riskloom.plans.q_rank import prioritization_pipeline
-
-    return S.prioritised(prioritization_pipeline(spark, sf), 100)
-
-
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, floor((sum(value) + 1e-9) * 1e4) / 1e4 AS total FROM events GROUP BY 1, 2")
 def alerts_windowed(spark, sf):
     from riskloom.streaming.alerts import hourly_alerts
@@ -57,17 +49,3 @@ def alerts_windowed(spark, sf):
     return out.select("window_start", "event_type", "n", (F.floor((F.col("total") + 1e-9) * 1e4) / 1e4).alias("total"))
 
 
-@query()
-def daily_batch(spark, sf):
-    from riskloom.plans.batch import daily_batch as run
-
-    r = run(P.risks(spark, sf).select("vuln_id", "asset_id", "exploit", "impact", "crit", "criticality"), P.connects(spark, sf), P.assets(spark, sf))
-    return r.select("vuln_id", "asset_id", *[q6(F.col(c)).alias(c) for c in ("composite_risk", "propagated_risk", "risk_7", "risk_30", "risk_90", "absorption_time")], "final_rank")
-
-
-@query()
-def feedback_convergence(spark, sf):
-    from riskloom.plans.batch import feedback_loop
-
-    _, log = feedback_loop(P.risks(spark, sf).select("vuln_id", "asset_id", "exploit", "impact", "crit"), P.connects(spark, sf))
-    return spark.createDataFrame(log, "iteration int, delta double, converged boolean")

@@ -10,7 +10,10 @@ from __future__ import annotations
 import json
 from functools import reduce
 from pathlib import PurePosixPath
+from posixpath import normpath
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +64,9 @@ def nvd(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S1, S1a-d: vulnerabilities with score, description, weaknesses and platforms."""
     d = documents(spark, path, "vulnerabilities").select(F.coalesce(F.try_variant_get("v", "$.cve", "variant"), F.col("v")).alias("v"))
     d = d.withColumn("id", F.coalesce(get("$.id"), get("$.cve_id"))).where("id is not null")
-    metric = lambda f, t: F.coalesce(*[get(f"$.metrics.cvssMetric{v}[0].cvssData.{f}", t) for v in ("V31", "V30", "V2")])
+    # score and vector come from one version: the first that is given
+    d = d.withColumn("cvss", F.coalesce(*[get(f"$.metrics.cvssMetric{v}[0].cvssData", "variant") for v in ("V31", "V30", "V2")]))
+    metric = lambda f, t: get(f"$.{f}", t, "cvss")
     texts = get("$.descriptions", "array<struct<lang:string,value:string>>")
     english = F.get(F.filter(texts, lambda x: F.coalesce(x["lang"], F.lit("en")) == "en"), F.lit(0))["value"]
     weak = F.flatten(F.transform(get("$.weaknesses", "array<struct<description:array<struct<value:string>>>>"), lambda w: F.transform(w["description"], lambda x: x["value"])))
@@ -73,16 +78,16 @@ def nvd(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     vuln = nodes_of(
         d, id_, "Vulnerability",
         description=F.substring(F.coalesce(english, F.lit("")), 1, 2000), cvss_base_score=F.coalesce(metric("baseScore", "double"), F.lit(0.0)), cvss_vector=metric("vectorString", "string"),
-        published_date=get("$.published"), last_modified=get("$.lastModified"), cwe_ids=F.array_join("cwes", ";"), source=F.lit("nvd"),
+        published_date=get("$.published"), modified_date=get("$.lastModified"), cwe_ids=F.array_join("cwes", ";"), source=F.lit("nvd"),
     )
     by_cwe, by_cpe = d.select("id", F.explode(F.array_distinct("cwes")).alias("x")), d.select("id", F.explode(F.array_distinct("cpes")).alias("x"))
-    nodes = union(vuln, _plain(by_cwe, "CWE"), _plain(by_cpe, "CPE"))
+    nodes = union(vuln, _plain(by_cwe, "CWE"), _plain(by_cpe, "CPE", attr="uri"))
     return nodes, union(edges_of(by_cwe, id_, F.col("x"), "HAS_CWE"), edges_of(by_cpe, id_, F.col("x"), "AFFECTS"))
 
 
-def _plain(df: DataFrame, kind: str, col: str = "x") -> DataFrame:
-    """Nodes that are only a name."""
-    return df.select(F.col(col).alias("node_id")).distinct().select("node_id", F.lit(kind).alias("node_type"), F.create_map(F.lit("name"), F.col("node_id")).alias("attrs"))
+def _plain(df: DataFrame, kind: str, col: str = "x", attr: str = "name") -> DataFrame:
+    """Nodes that are only a name, kept as one attribute too."""
+    return df.select(F.col(col).alias("node_id")).distinct().select("node_id", F.lit(kind).alias("node_type"), F.create_map(F.lit(attr), F.col("node_id")).alias("attrs"))
 
 
 def kev(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +152,7 @@ def cmdb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     cpes = d.select("asset_id", F.explode(split_list(F.coalesce("cpe_list", "software"), ",")).alias("x"))
     near = d.select("asset_id", F.explode(split_list(F.col("connects_to"), ",")).alias("x"))
     unit, zone = (d.select("asset_id", F.col(c).alias("x")).where("x <> ''") for c in ("business_unit", "network_zone"))
-    return union(nodes, _plain(unit, "BusinessUnit"), _plain(zone, "NetworkZone"), _plain(cpes, "CPE")), union(edges_of(unit, a, F.col("x"), "BELONGS_TO"), edges_of(zone, a, F.col("x"), "IN_ZONE"), edges_of(cpes, a, F.col("x"), "RUNS"), edges_of(near, a, F.col("x"), "CONNECTS_TO"))
+    return union(nodes, _plain(unit, "BusinessUnit"), _plain(zone, "NetworkZone"), _plain(cpes, "CPE", attr="uri")), union(edges_of(unit, a, F.col("x"), "BELONGS_TO"), edges_of(zone, a, F.col("x"), "IN_ZONE"), edges_of(cpes, a, F.col("x"), "RUNS"), edges_of(near, a, F.col("x"), "CONNECTS_TO"))
 
 
 def network_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +164,7 @@ def network_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     near = d.select("host", F.explode(get("$.connected_to", "array<string>")).alias("x"))
     cpes = s.where("cpe <> ''").select("host", F.col("cpe").alias("x"))
     services = nodes_of(s, F.col("svc"), "Service", port=F.col("port"), protocol=F.col("protocol"), name=F.col("name"), version=F.col("version"), cpe=F.col("cpe"))
-    return union(nodes, services, _plain(cpes, "CPE")), union(edges_of(s, F.col("host"), F.col("svc"), "HOSTS_SERVICE"), edges_of(cpes, F.col("host"), F.col("x"), "RUNS"), edges_of(near, F.col("host"), F.col("x"), "CONNECTS_TO"))
+    return union(nodes, services, _plain(cpes, "CPE", attr="uri")), union(edges_of(s, F.col("host"), F.col("svc"), "HOSTS_SERVICE"), edges_of(cpes, F.col("host"), F.col("x"), "RUNS"), edges_of(near, F.col("host"), F.col("x"), "CONNECTS_TO"))
 
 
 def vendor_advisories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -206,13 +211,90 @@ def resolve_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return union(edges.where(~F.col("relation").isin("REFERENCES", "INDICATES", "USES_TTP", "TARGETS", "ATTRIBUTED_TO")), strict.select("src", "dst", "relation"))
 
 
-def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A saved GraphML graph by the XML source."""
-    n = spark.read.format("xml").option("rowTag", "node").load(path)
-    e = spark.read.format("xml").option("rowTag", "edge").load(path)
-    return n.withColumnRenamed("_id", "node_id"), e.withColumnsRenamed({"_source": "src", "_target": "dst"})
+def import_report(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, report): the graph of all files, and for each file in order its source, the nodes and edges that it added to
+    those before it (before entity resolution), and whether it could be read; a file that cannot be counts as a failure and adds nothing."""
+    log, good = [], []
+    seen_nodes, seen_edges = spark.createDataFrame([], "node_id string"), spark.createDataFrame([], EDGE)
+    for path in sorted(paths):
+        source = route(path)
+        if source is None:
+            log.append((path, "unknown", 0, 0, False, f"No reader matched for file: {PurePosixPath(path).name}"))
+            continue
+        try:
+            n, e = READERS[source](spark, path)
+            n = cut(n.where(~F.coalesce(F.map_contains_key("attrs", F.lit("_only_if_known")), F.lit(False))).select("node_id").distinct().join(seen_nodes, "node_id", "left_anti"))
+            e = cut(e.distinct().join(seen_edges, ["src", "dst", "relation"], "left_anti"))
+            log.append((path, source, n.count(), e.count(), True, None))
+            seen_nodes, seen_edges = seen_nodes.unionByName(n), seen_edges.unionByName(e)
+            good.append(path)
+        except (PySparkException, Py4JJavaError) as x:
+            log.append((path, source, 0, 0, False, str(x).splitlines()[0]))
+    nodes, edges = import_files(spark, good)
+    return nodes, edges, spark.createDataFrame(log, "file string, source string, nodes_added long, edges_added long, success boolean, error string")
+
+
+def importable(spark: SparkSession, folder: str) -> list[str]:
+    """The files right in a folder for which there is a reader, sorted."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(str(x.getPath().toString()) for x in found if x.isFile() and route(x.getPath().getName()))
+
+
+def within(path: str, folder: str) -> bool:
+    """Does a path, its dots resolved, lie in a folder?"""
+    inside, outer = (PurePosixPath(normpath(x)) for x in (path, folder))
+    return inside.is_relative_to(outer)
 
 
-def tables(spark: SparkSession, config: dict, name: str) -> DataFrame:
-    """A section of a parsed configuration file as a lookup table."""
-    return spark.createDataFrame([(k, json.dumps(v)) for k, v in config.get(name, {}).items()], "key string, value string")
+def trigger_import(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """S12 behind P4: the report of one file, refused outside the folder for imports."""
+    if not within(path, folder):
+        return spark.createDataFrame([(path, "unknown", 0, 0, False, "Path must be within the configured imports directory")], "file string, source string, nodes_added long, edges_added long, success boolean, error string")
+    return import_report(spark, [path])[2]
+
+
+GRAPHML_KEY = {"node": ("node_type", "attrs"), "edge": ("relation",)}
+
+
+def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A saved GraphML graph by the XML source, its keys resolved: nodes (node_id, node_type, attrs), edges (src, dst, relation)."""
+    data = "struct<_key:string,_VALUE:string>"
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    keys = F.broadcast(read("key", "_id string, `_attr.name` string, _for string").select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name")).distinct())
+    n = read("node", f"_id string, data array<{data}>").select(F.col("_id").alias("node_id"), F.explode_outer("data").alias("d"))
+    n = n.select("node_id", F.col("d._key").alias("key"), F.col("d._VALUE").alias("value")).join(keys, "key", "left")
+    pairs = F.collect_list(F.when(F.col("name").isNotNull() & (F.col("name") != "node_type"), F.struct("name", "value")))
+    nodes = n.groupBy("node_id").agg(F.max(F.when(F.col("name") == "node_type", F.col("value"))).alias("node_type"), F.map_from_entries(pairs).alias("attrs"))
+    e = read("edge", f"_source string, _target string, data array<{data}>").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.explode_outer("data").alias("d"))
+    e = e.select("src", "dst", F.col("d._key").alias("key"), F.col("d._VALUE").alias("value")).join(keys, "key", "left")
+    edges = e.groupBy("src", "dst").agg(F.max(F.when(F.col("name") == "relation", F.col("value"))).alias("relation"))
+    return nodes, edges
+
+
+def config_table(spark: SparkSession, path: str, section: str) -> DataFrame:
+    """A section of a YAML configuration file as a lookup table (key, value as JSON); empty if file or section is missing."""
+    import yaml
+
+    try:
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # a configuration file is small
+        config = yaml.safe_load(text) or {}
+    except (PySparkException, Py4JJavaError):
+        config = {}
+    return spark.createDataFrame([(str(k), json.dumps(v)) for k, v in (config.get(section) or {}).items()], "key string, value string")
+
+
+def backtest_file(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Predictions or what happened, a JSON document that is a list of records."""
+    return spark.read.schema(fields).json(path, multiLine=True)
+
+
+def training_scan(spark: SparkSession, nvd_path: str, kev_path: str) -> DataFrame:
+    """Five features and two labels for each vulnerability of the feeds: is it in the catalogue of exploited ones, and its impact."""
+    d = documents(spark, nvd_path, "vulnerabilities").select(F.coalesce(F.try_variant_get("v", "$.cve", "variant"), F.col("v")).alias("v"))
+    d = d.withColumn("m", F.coalesce(get("$.metrics.cvssMetricV31[0]", "variant"), get("$.metrics.cvssMetricV30[0]", "variant")))
+    number = lambda f: F.coalesce(get(f"$.cvssData.{f}", "double", "m"), get(f"$.{f}", "double", "m"), F.lit(0.0))
+    size = lambda f: F.coalesce(F.size(get(f"$.{f}", "array<variant>")), F.lit(0)).cast("double")
+    known = documents(spark, kev_path, "vulnerabilities").select(get("$.cveID").alias("cve_id")).where("cve_id is not null").distinct().withColumn("_kev", F.lit(1.0))
+    x = d.select(get("$.id").alias("cve_id"), number("baseScore").alias("cvss_base_score"), number("exploitabilityScore").alias("exploitability"), number("impactScore").alias("impact"), size("references").alias("ref_count"), size("configurations").alias("config_count"))
+    return x.join(known, "cve_id", "left").withColumns({"y_elp": F.coalesce("_kev", F.lit(0.0)), "y_isa": F.col("impact")}).drop("_kev")
