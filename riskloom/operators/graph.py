@@ -57,9 +57,10 @@ def merge_cpes(cpes: DataFrame, seq: str) -> DataFrame:
 
 def repoint(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges with merged ends, without loops and repeats."""
+    cols = edges.columns
     for end in ("src", "dst"):
         edges = edges.join(mapping.select(F.col("cpe").alias(end), F.col("kept").alias("_k")), end, "left").withColumn(end, F.coalesce("_k", end)).drop("_k")
-    return edges.where("src <> dst").distinct()
+    return edges.where("src <> dst").select(*cols).distinct()
 
 
 def ontology_violations(edges: DataFrame, nodes: DataFrame, allowed: DataFrame) -> DataFrame:
