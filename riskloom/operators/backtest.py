@@ -59,3 +59,28 @@ def top_k(df: DataFrame, order: list[Column], label: str, k: int = 10) -> DataFr
 def overall(auc_: Column, mae: Column, accuracy: Column, precision_at_k: Column) -> Column:
     """A16."""
     return (auc_ + (d(1) - F.least(d(1), mae / 10)) + accuracy + precision_at_k) / 4
+
+
+def report(predictions: DataFrame, happened: DataFrame, k: int = 10) -> DataFrame:
+    """J5, A11-A16 in one row: pairs matched, precision, recall, f1, auc, mae, rmse, state accuracy, precision and recall of the first k, overall score.
+
+    predictions: vuln_id, asset_id, exploit_likelihood, adjusted_impact, final_rank, markov_distribution; happened: vuln_id, asset_id, was_exploited, actual_impact, actual_state.
+    """
+    from riskloom.functions.lineage import cut
+    from riskloom.functions.scalar import argmax
+
+    keys = ["vuln_id", "asset_id"]
+    m = cut(matched(predictions, happened.withColumn("_n", F.monotonically_increasing_id()), keys, "_n"))
+    m = m.withColumns({"_label": F.when(F.col("was_exploited"), 1).otherwise(0), "_score": F.coalesce("exploit_likelihood", d(0)), "_state": argmax(F.col("markov_distribution"))})
+    parts = [
+        m.agg(F.count(F.lit(1)).alias("pairs")),
+        confusion(m, "_score", "_label").select("precision", "recall", "f1"),
+        auc(m, "_score", "_label"),
+        errors(m, "adjusted_impact", "actual_impact").select(F.coalesce("mae", d(5)).alias("mae"), "rmse"),
+        state_accuracy(m, "_state", "actual_state").select("accuracy"),
+        top_k(m, [F.col("final_rank"), *[F.col(x) for x in keys]], "_label", k),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out.withColumn("overall_score", overall(F.col("auc"), F.col("mae"), F.col("accuracy"), F.col("precision_at_k")))

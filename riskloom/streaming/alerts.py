@@ -35,28 +35,33 @@ def _base(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Consume what there is and return the last state of what was emitted (``complete`` or ``append``), from the shared folder."""
+def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Consume what there is in ``update`` mode and return the last row of each key: a trigger writes only what it changed, to the shared folder."""
     spark = stream.sparkSession
     base = _base(spark)
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+        batch.withColumn("_trigger", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/run={n}")
 
-    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).start()
+    q = stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    if last < 0:
+    if q.lastProgress is None or q.lastProgress["batchId"] < 0:
         return spark.createDataFrame([], stream.schema)
-    out = spark.read.schema(stream.schema)
-    return out.parquet(f"{base}/out/batch={last}") if mode == "complete" else out.option("recursiveFileLookup", True).parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    out = spark.read.schema(stream.withColumn("_trigger", F.lit(0)).schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_trigger").alias("_x")).select(*keys, "_x.*")
 
 
 def hourly_alerts(spark: SparkSession, path: str) -> DataFrame:
-    out = run_to_end(windowed(source(spark, path)), "complete")
+    out = run_to_end(windowed(source(spark, path)), ["window", "event_type"])
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
+def latest_states(spark: SparkSession, path: str) -> DataFrame:
+    """Each key's dominant state and counter after all events."""
+    return run_to_end(state_counters(source(spark, path)), ["user_id"])
+
+
 def state_counters(events: DataFrame) -> DataFrame:
     """A key's dominant state and the updates since it last changed, as custom keyed state; updates arrive in order of (ts, event_id) within a batch."""
 
