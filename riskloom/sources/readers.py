@@ -8,6 +8,8 @@ documents may be the wrapped object or a bare list. Rows without an id are dropp
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import PurePosixPath
 from posixpath import normpath
@@ -32,11 +34,58 @@ def route(path: str) -> str | None:
 
 
 def documents(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
-    """One VARIANT column ``v`` a record: the elements of ``wrapper`` in the document, or of the document itself if that is a list."""
-    text = spark.read.text(path, wholetext=True)
-    v = F.parse_json(F.col("value"))
-    inner = F.coalesce(F.try_variant_get(v, f"$.{wrapper}", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-    return text.select(F.explode(inner).alias("v"))
+    """One VARIANT column ``v`` a record: the elements of ``wrapper`` in each document, or of the document itself if that is a list.
+
+    Files are cut into their records' texts, one after the other, so that no VARIANT ever holds a whole feed; a record is parsed where it is used.
+    """
+    import pyarrow as pa
+
+    def cut_up(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                held: list[str] = []
+                for text in record_texts(content.as_py().decode("utf-8-sig"), wrapper):
+                    held.append(text)
+                    if len(held) == 512:
+                        yield pa.RecordBatch.from_pydict({"value": held})
+                        held = []
+                yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.string())})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    return files.mapInArrow(cut_up, "value string").select(F.parse_json("value").alias("v"))
+
+
+def record_texts(text: str, wrapper: str) -> Iterator[str]:
+    """The JSON texts of a document's records: of its member ``wrapper``, or of the document if that is a list."""
+    decoder, space = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
+    skip = lambda i: space.match(text, i).end()
+
+    def elements(i: int) -> Iterator[str]:
+        i = skip(i + 1)
+        while text[i] != "]":
+            _, end = decoder.raw_decode(text, i)
+            yield text[i:end]
+            i = skip(end)
+            if text[i] == ",":
+                i = skip(i + 1)
+
+    i = skip(0)
+    if text[i : i + 1] == "[":
+        yield from elements(i)
+        return
+    if text[i : i + 1] != "{":
+        raise ValueError("a feed is a JSON object or list")
+    i = skip(i + 1)
+    while text[i] != "}":
+        key, end = decoder.raw_decode(text, i)
+        i = skip(skip(end) + 1)
+        if key == wrapper and text[i] == "[":
+            yield from elements(i)
+            return
+        _, end = decoder.raw_decode(text, i)
+        i = skip(end)
+        if text[i] == ",":
+            i = skip(i + 1)
 
 
 def get(path: str, kind: str = "string", col: str = "v") -> Column:

@@ -92,6 +92,14 @@ def test_nvd_score_and_vector_come_from_one_version(spark, tmp_path):
     assert float(n.attrs["cvss_base_score"]) == 5.0 and "cvss_vector" not in n.attrs
 
 
+def test_documents_are_cut_into_records():
+    doc = {"format": "x", "n": [1, {"vulnerabilities": [9]}], "vulnerabilities": [{"a": "]},"}, [1], "s", 2.5, None], "z": 1}
+    for indent in (None, 2):
+        assert [json.loads(t) for t in readers.record_texts(json.dumps(doc, indent=indent), "vulnerabilities")] == doc["vulnerabilities"]
+        assert [json.loads(t) for t in readers.record_texts(json.dumps([1, [2]], indent=indent), "vulnerabilities")] == [1, [2]]
+    assert list(readers.record_texts("{}", "x")) == [] and list(readers.record_texts('{"x": 3}', "x")) == [] and list(readers.record_texts(" [ ] ", "x")) == []
+
+
 def test_graphml_keeps_markup(spark):
     nodes = spark.createDataFrame([("a&b", "Asset", {"name": '<"x">'}), ("c", "CWE", {})], readers.NODE)
     edges = spark.createDataFrame([("a&b", "c", "HAS_CWE")], readers.EDGE)
