@@ -103,7 +103,7 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.ngram_join import join
 
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "label")
 
 
 # ---------------------------------------------------------------- op6
