@@ -184,9 +184,13 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     first block. Shards are partitions, shuffled by the key."""
     _, _, parts = mixed(docs, **how)
     copies = parts.groupBy(*ROW, "copy", "shuffle_key").agg(F.sum("words").alias("words"), F.min_by("shard", "place").alias("_shard")).where("2 * words >= size")
-    copies = copies.select(*[F.col(c).alias(f"_o_{c}") for c in ROW], "_shard", F.col("shuffle_key").alias("_shuffle"))
+    # a key without nulls, so that the join and the numbering inside it share one shuffle of the documents
+    key = ["_id", "_no_id", "_source", "_no_source", "_size"]
+    keys = lambda doc_id, source, size: [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_no_id"), F.coalesce(source, F.lit("")).alias("_source"), source.isNull().alias("_no_source"), size.alias("_size")]
+    copies = copies.select(*keys(F.col("doc_id"), F.col("source"), F.col("size")), F.struct("nth", "_shard", F.col("shuffle_key").alias("_shuffle")).alias("_c"))
+    copies = copies.groupBy(*key).agg(F.collect_list("_c").alias("_copies"))
     # the row's own columns travel as one struct, so that no name of theirs can clash
-    rows = docs.select(docs["doc_id"], docs["source"], words(docs["text"]).alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    rows = numbered(rows, [F.xxhash64("_row")])
-    out = rows.join(copies, [rows[c].eqNullSafe(copies[f"_o_{c}"]) for c in ROW])
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_shuffle").select("_row.*")
+    rows = docs.select(*keys(docs["doc_id"].cast("long"), docs["source"].cast("string"), words(docs["text"])), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    out = rows.join(copies, key).withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row"))))
+    out = out.select("_row", F.explode(F.filter("_copies", lambda c: c["nth"] == F.col("_nth"))).alias("_c"))
+    return out.repartition("_c._shard").sortWithinPartitions("_c._shard", "_c._shuffle").select("_row.*")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import is_file, remove, shared_dir, written
+from riskloom.llm.common import is_file, release, remove, shared_dir, written
 
 #: State on disk; each store's files grow with its state instead of being allocated ahead (4 MB for each partition), and a commit uploads changes only.
 STATE_CONF = {
@@ -125,13 +125,20 @@ def deduplicate(docs: DataFrame, carry: list[str] = (), path: str | None = None)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat doc_id and text, one."""
-    cols = docs.columns
+    """The documents that stay, with all their columns; of rows that repeat doc_id and text, one.
+
+    Verdicts are written without texts; what goes leaves the documents by an anti-join on doc_id and digest.
+    """
     spark = docs.sparkSession
     work, folder = shared_dir(spark), shared_dir(spark)
-    out = verdicts(docs, scan_state(stream_of(docs, work), work), work, cols)
-    out = written(out.where("kept").select("text_sha256", *[f"_in_{c}" for c in cols]), f"{folder}/stays")
+    told = verdicts(docs, scan_state(stream_of(docs, work), work), work)
+    told = written(told.select("doc_id", "text_sha256", "kept"), f"{folder}/verdicts")
     remove(spark, work)
-    if out.groupBy("_in_doc_id", "text_sha256").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["_in_doc_id", "text_sha256"])
-    return out.select(*[F.col(f"_in_{c}").alias(c) for c in cols])
+    release(spark)
+    gone = told.where("not kept").select(F.col("doc_id").alias("_gone"), "text_sha256").distinct()
+    text_digest = digest_of(docs["text"])
+    stays = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (text_digest == gone["text_sha256"]), "left_anti")
+    if told.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        rows = stays.select(F.struct(*[stays[c] for c in docs.columns]).alias("_row"), stays["doc_id"].alias("_id"), digest_of(stays["text"]).alias("_digest"))
+        stays = rows.groupBy("_id", "_digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    return stays
