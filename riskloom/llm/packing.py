@@ -11,7 +11,7 @@ All sequences but the last are full, so padding is less than one sequence in the
 
 Defined results: a null or empty text is its end id alone; null and repeated doc_ids are packed like
 others, a row for each; an empty table gives no pieces. A very long text becomes many pieces. Extra
-columns are not read. Memory: a slice of 4 MB of text, or one document, and the
+columns are not read. Memory: a slice of 1 MB of text, or one document, and the
 table of known pieces.
 """
 
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from riskloom.llm.common import column_bytes, narrow, shared_dir, written
-from riskloom.llm.encoder import encoded
+from riskloom.llm.common import SLICE_BYTES, column_bytes, lean, narrow, shared_dir, small_batches, written
+from riskloom.llm.encoder import encoded, forget
 
 TOKENS = "part int, doc_id long, before long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, starts_document boolean, ends_document boolean, ids binary"
@@ -46,8 +46,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     ["part", "doc_id", "before", "n_tokens", "ids"],
                 )
                 before += int(at[-1])
+        forget()
 
-    return narrow(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, TOKENS)
+    return narrow(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), TOKENS)
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -73,6 +74,7 @@ def cut(tokens: DataFrame, length: int, with_ids: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(10)]
+            size = 0
             part, doc, before, blobs = (batch.column(i) for i in (0, 1, 2, 4))
             begin = base[np.searchsorted(parts, part.to_numpy())] + before.to_numpy()
             for d, g, blob in zip(doc.to_pylist(), begin.tolist(), blobs):
@@ -85,13 +87,20 @@ def cut(tokens: DataFrame, length: int, with_ids: bool = True) -> DataFrame:
                     for c, v in zip(cols, (d, at, m, zlib.crc32(raw), n, seq, off, at == 0, at + m == n, raw if with_ids else None)):
                         c.append(v)
                     at += m
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.binary()])], names)
+                    size += 64 + 4 * m * with_ids
+                    if size > SLICE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                        cols, size = [[] for _ in range(10)], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
+    types = [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.binary()]
     names = [f.split()[0] for f in PIECES.split(", ")]
-    return tokens.mapInArrow(run, PIECES)
+    return tokens.mapInArrow(lean(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents: which ids of which document stand where in which sequence."""
     folder = shared_dir(docs.sparkSession)
-    return cut(written(tokenized(docs, tokenizer, end_id), f"{folder}/tokens"), length, with_ids)
+    with small_batches(docs.sparkSession):
+        tokens = written(tokenized(docs, tokenizer, end_id), f"{folder}/tokens")
+    return cut(tokens, length, with_ids)
