@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import partitions_for, remove, shared_dir, written
+from riskloom.llm.common import lean, partitions_for, remove, shared_dir, written
 
 SAMPLE = 16384
 SUB = 2
@@ -182,7 +182,7 @@ def _estimated(spark, index: DataFrame, queries: DataFrame, folder: str, keep: i
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([encode(_unit(part.column(1)), book, eta).tobytes()])], ["reps", "codes"])
 
     parts = partitions_for(index, 16 << 20)
-    codes = written(index.select("rep", "v").repartition(parts, "rep").mapInArrow(coded, "reps binary, codes binary"), f"{folder}/codes")
+    codes = written(index.select("rep", "v").repartition(parts, "rep").mapInArrow(lean(coded), "reps binary, codes binary"), f"{folder}/codes")
     total = index.count()
     # by the sample, four times ``keep`` of all vectors reach the floor
     nth = min(len(seen), max(keep if total <= len(seen) else 0, 32, -(-4 * keep * len(seen) // total)))
@@ -204,7 +204,7 @@ def _estimated(spark, index: DataFrame, queries: DataFrame, folder: str, keep: i
                     floor[a + j] = np.partition(s, len(s) - nth)[len(s) - nth]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(u), pa.list_(pa.float64())), pa.array(floor)], ["ask", "u", "floor"])
 
-    asks = written(queries.select("ask", "qv").repartition(parts, "ask").mapInArrow(floors, "ask long, u array<double>, floor double"), f"{folder}/asks")
+    asks = written(queries.select("ask", "qv").repartition(parts, "ask").mapInArrow(lean(floors), "ask long, u array<double>, floor double"), f"{folder}/asks")
     def scan(batch, shared):
         """For each block of codes and each 32 queries: (ask, rep, estimate) of the best."""
         ask, floor, u = shared
@@ -241,7 +241,7 @@ def _batches(spark, codes: DataFrame, asks: DataFrame, d: int, scan, keep: int,
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["ask", "rep", "estimate"])
 
         best = Window.partitionBy("ask").orderBy(F.desc("estimate"))
-        hits = codes.mapInArrow(run, "ask long, rep long, estimate double").withColumn("_n", F.rank().over(best)).where(F.col("_n") <= keep)
+        hits = codes.mapInArrow(lean(run), "ask long, rep long, estimate double").withColumn("_n", F.rank().over(best)).where(F.col("_n") <= keep)
         found = found.unionByName(written(hits.select("ask", "rep"), f"{folder}/hits-{job}"))
         shared.unpersist()
     return found
@@ -254,7 +254,7 @@ def _exact(spark, index: DataFrame, queries: DataFrame, folder: str, keep: int)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_unit(batch.column(1))), pa.list_(pa.float64())), pa.array(np.zeros(len(batch)))], ["ask", "u", "floor"])
 
-    asks = queries.select("ask", "qv").mapInArrow(unit, "ask long, u array<double>, floor double")
+    asks = queries.select("ask", "qv").mapInArrow(lean(unit), "ask long, u array<double>, floor double")
     d = index.select(F.size("v")).first()[0]
 
     def scan(batch, shared):

@@ -13,6 +13,7 @@ target partitions follows the input's size, so each is of bounded size.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
 import shutil
@@ -25,6 +26,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+def _give_back() -> None:
+    """Freed arrays go back to the system at once: workers are reused by later stages, and what an allocator keeps for itself adds up over them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, fixed instead of growing with what was freed
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_give_back()
+
+
+def lean(run):
+    """A function over Arrow batches that, when a task is done, returns to the system what the worker's allocator still holds."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return whole
+
+
 SLICE_BYTES = 1 << 20
 FLUSH_BYTES = 48 << 20  # of packed records that a writing task holds
 U64 = np.uint64
@@ -247,11 +280,16 @@ def run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.r_[first, len(x)])
 
 
-# ---------------------------------------------------------------- a bitmap of ids, of fixed size
+# ---------------------------------------------------------------- a bitmap of ids
 
 BITS = 23  # 1 MB
 
 
+def bitmap_bits(df: DataFrame) -> int:
+    """Bits for a bitmap of the rows' ids: about 8 a row of 1 kB, between 128 kB and 4 MB. A fuller map leaves fewer rows out and is as right."""
+    return min(25, max(20, ((plan_bytes(df) or 1 << 30) // 128).bit_length()))
+
+
 def id_bits(ids: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
 
@@ -284,7 +322,7 @@ def id_bitmap(ids: DataFrame, col: str, bits: int = BITS, extract=lambda batch:
 
     schema = "part int, bits binary"
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in ids.select(col).where(f"{col} is not null").mapInArrow(mark, schema).repartitionById(parts, "part").mapInArrow(merge, schema).toLocalIterator():
+    for r in ids.select(col).where(f"{col} is not null").mapInArrow(lean(mark), schema).repartitionById(parts, "part").mapInArrow(lean(merge), schema).toLocalIterator():
         out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 

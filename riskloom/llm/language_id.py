@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import column_bytes, narrow, slices
+from riskloom.llm.common import column_bytes, lean, narrow, slices
 
 DIM = 2048
 CLASSES = 128
@@ -86,8 +86,8 @@ class Space:
         count = np.bincount(code, minlength=1)
         types = np.flatnonzero(count)
         out = np.zeros(DIM)
-        for a in range(0, len(types), 4096):
-            out += count[types[a : a + 4096]].astype(np.float32) @ self.bound(types[a : a + 4096]).astype(np.float32)
+        for a in range(0, len(types), 1024):
+            out += count[types[a : a + 1024]].astype(np.float32) @ self.bound(types[a : a + 1024]).astype(np.float32)
         return out
 
 
@@ -123,7 +123,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                     total[lang] += space().bundle(mine)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
-    parts = known.select("text", "lang").mapInArrow(run, "lang string, bundle array<double>")
+    parts = known.select("text", "lang").mapInArrow(lean(run), "lang string, bundle array<double>")
     sums = parts.select("lang", F.posexplode("bundle").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
     got = sorted((r.lang, np.array(r.v)) for r in rows)
@@ -139,12 +139,14 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 class Scorer:
     """Cosines of texts' bundles with the prototypes."""
 
-    KEEP = 16384  # trigram vectors kept: 32 MB
+    KEEP = 8192  # trigram vectors kept: 16 MB
+    STEP = 512
 
     def __init__(self, prototypes: np.ndarray):
         self.prototypes = np.ascontiguousarray(prototypes.T, np.float32)
         self.row = np.full(SPAN, -1, np.int32)
         self.table = np.zeros((self.KEEP, DIM), np.int8)
+        self.taken, self.wide = np.empty((self.STEP, DIM), np.int8), np.empty((self.STEP, DIM), np.float32)
         self.n = 0
 
     def rows(self, types: np.ndarray) -> np.ndarray:
@@ -153,7 +155,8 @@ class Scorer:
         if self.n + len(fresh) > self.KEEP:
             self.row[:], self.n = -1, 0
             fresh = types
-        self.table[self.n : self.n + len(fresh)] = space().bound(fresh)
+        for a in range(0, len(fresh), 1024):
+            self.table[self.n + a : self.n + a + len(fresh[a : a + 1024])] = space().bound(fresh[a : a + 1024])
         self.row[fresh] = np.arange(self.n, self.n + len(fresh))
         self.n += len(fresh)
         return self.row[types]
@@ -169,9 +172,12 @@ class Scorer:
         at = np.searchsorted(of, np.arange(n + 1)).tolist()
         for d in range(n):
             bundle = np.zeros(DIM, np.float32)
-            for a in range(at[d], at[d + 1], 4096):
-                b = min(a + 4096, at[d + 1])
-                bundle += count[a:b] @ self.table[self.rows(types[a:b])].astype(np.float32)
+            for a in range(at[d], at[d + 1], self.STEP):
+                b = min(a + self.STEP, at[d + 1])
+                taken, wide = self.taken[: b - a], self.wide[: b - a]
+                np.take(self.table, self.rows(types[a:b]), 0, taken, "clip")
+                np.copyto(wide, taken)
+                bundle += count[a:b] @ wide
             size = float(np.linalg.norm(bundle))
             if size > 0:
                 out[d] = bundle @ self.prototypes / size
@@ -206,4 +212,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
                 cols += [batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(cols, out_names)
 
-    return plain.mapInArrow(run, out_schema)
+    return plain.mapInArrow(lean(run), out_schema)

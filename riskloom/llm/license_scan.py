@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskloom.llm.common import column_bytes, narrow, slices
+from riskloom.llm.common import column_bytes, lean, narrow, slices
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -166,4 +166,4 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c, t) for c, t in zip(cols, types)]], names)
 
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-    return narrow(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return narrow(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), schema)

@@ -1,12 +1,12 @@
 """Substring deduplication by recompression.
 
-A text is its words' 64-bit names. Recompression names globally, by fingerprints that depend on
-content alone: a run of one symbol becomes one symbol, then every pair (x, y) with a coin of x showing left
-and a coin of y showing right becomes one symbol; a second round of pairs follows. Symbols
+A text is its words' 64-bit names. Recompression names globally: a run of one symbol becomes one symbol, then every pair (x, y) with a coin of x
+showing left and a coin of y showing right becomes one symbol; a second round of pairs follows. A symbol's name is a hash of the names of its parts and
+a coin is a bit of the name's hash, so all tasks give a run or pair one name without an exchange, and symbols
 inside equal substrings are equal wherever these stand, but for a few at either end: where a second-level symbol
-begins depends on at most 4 words before that place and 4 from it on. An *anchor* is the name of the 10
-words around such a place (4 before, 6 from it on), taken only where the symbols on which the place depends lie among
-the 10 words; without longer runs, every window of 13 words holds one.
+begins depends on at most 4 words before that place and 4 from it on. An *anchor* is a second-level symbol with the words beside it, 4 before its
+begin and those after it up to 6 from its begin, taken only where the symbols on which the place depends lie among
+these 10 words; without longer runs, every window of 13 words holds one.
 
 1. *Reveal*: anchors of all documents are dealt out by name; those in two or more documents are shared.
 2. *Verify*: a window of 13 words is a candidate if each anchor inside it is shared (one with no anchor, inside a long
@@ -20,7 +20,8 @@ travel to meet them. Lists of all documents' names never reach the driver.
 
 Defined results: a null or empty text has no words, n_words 0 and the hash of the empty string; texts of under 13
 words lose none; repeated rows of one doc_id do not remove each other's words; rows with a null doc_id lose none and
-remove none; extra columns are not read. Window names are 112 bits beyond the partition's; word names have 64.
+remove none; an empty table gives no rows; a very long text is a slice of its own; extra columns are not read. Window names are 112 bits beyond the partition's, from two
+independent names of each word; one is 64 bits long.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import U64, bucket_of, by_bucket, column_bytes, from_six, id_bitmap, in_bitmap, lane, mix, narrow, partitions_for, run_lengths, shared_dir, six_bytes, slices, word_spans, written
+from riskloom.llm.common import U64, bitmap_bits, bucket_of, by_bucket, column_bytes, from_six, id_bitmap, in_bitmap, lane, lean, mix, narrow, partitions_for, remove, run_lengths, shared_dir, six_bytes, slices, small_batches, word_spans, written
 
 WINDOW = 13
 BEFORE, AFTER = 4, 6  # words of an anchor before and from a symbol's begin
@@ -44,8 +45,8 @@ def part_of(docs: np.ndarray, n: int) -> np.ndarray:
     return bucket_of(mix(docs.astype(np.int64).view(U64) + U64(0x51ED270B)), n)
 
 
-def begins(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places where second-level symbols begin, first and last word on which each place depends).
+def symbols(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Second-level symbols: (where each begins, its words, its name, first and last word on which its begin depends).
 
     first[i] is the first word of the document that holds word i.
     """
@@ -53,6 +54,7 @@ def begins(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # runs: [s, e)
     s = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (first[1:] != first[:-1])])
     e = np.r_[s[1:], n]
+    size = e - s
     name, doc = mix(words[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)), first[s]
     lo, hi = s - 1, e  # a run is known with the words beside it
     for salt in (1, 2):
@@ -66,10 +68,11 @@ def begins(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
         prev_lo = np.where((at > 0) & (doc[np.maximum(at - 1, 0)] == doc[at]), lo[np.maximum(at - 1, 0)], -(1 << 40))
         after = np.minimum(last + 1, len(name) - 1)
         next_hi = np.where((last + 1 < len(name)) & (doc[after] == doc[at]), hi[after], 1 << 40)
+        size = np.where(two, size[at] + size[last], size[at])
         new = np.where(two, mix(name[at] * U64(0xA24BAED4963EE407) + name[last] * U64(0x9FB21C651E98DF25) + U64(salt)), name[at])
         if salt == 2:  # where a symbol begins depends on its first part and the one before
             known_hi = hi[at]
-            return s[at], prev_lo, known_hi
+            return s[at], size, new, prev_lo, known_hi
         name, doc, s, lo, hi = new, doc[at], s[at], prev_lo, next_hi
     raise AssertionError
 
@@ -78,11 +81,15 @@ def anchors(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.n
     """(first word of each anchor, its name)."""
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    p, lo, hi = begins(words, first)
+    p, size, name, lo, hi = symbols(words, first)
     a = p - BEFORE
     ok = (a >= first[p]) & (p + AFTER <= end[p]) & (lo >= a) & (hi < p + AFTER)
-    a = a[ok]
-    return a, lane(21).runs(words, a, BEFORE + AFTER)
+    a, p, size, name = a[ok], p[ok], size[ok], name[ok]
+    h = mix(lane(21).runs(words, a, BEFORE) ^ name)
+    for i in range(AFTER):  # the words after the symbol
+        after = np.flatnonzero(size <= i)
+        h[after] = mix(h[after] * U64(0x9E3779B97F4A7C15) + words[p[after] + i])
+    return a, h
 
 
 def inside(p: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
@@ -217,7 +224,7 @@ def shared_anchors(texts: DataFrame, n: int) -> DataFrame:
         out = _answers(d[shared], h[shared], n)
         yield _blobs([(b, *x) for b, x in out.items()], ["part", "docs", "keys"])
 
-    return texts.mapInArrow(deal, DEALT_SCHEMA).repartitionById(n, "part").mapInArrow(find, "part int, docs binary, keys binary")
+    return texts.mapInArrow(lean(deal), DEALT_SCHEMA).repartitionById(n, "part").mapInArrow(lean(find), "part int, docs binary, keys binary")
 
 
 def _doc_ids(batch) -> np.ndarray:
@@ -225,19 +232,19 @@ def _doc_ids(batch) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, np.int64)
 
 
-def meet(texts: DataFrame, answers: DataFrame, bitmap: bytes, n: int) -> DataFrame:
+def meet(texts: DataFrame, answers: DataFrame, bitmap: bytes, n: int, bits: int) -> DataFrame:
     """(kind, doc_id, text, keys) with each partition's answers (kind 0) before its texts (kind 1)."""
 
     def choose(batches):
         for batch in batches:
             ids = _ids(batch.column(0))
-            keep = np.flatnonzero(in_bitmap(ids, bitmap) & (ids != NULL_ID))
+            keep = np.flatnonzero(in_bitmap(ids, bitmap, bits) & (ids != NULL_ID))
             part = part_of(ids[keep], n).astype(np.int32)
             m = len(keep)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.ones(m, np.int32)), batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.nulls(m, pa.binary())], ["part", "kind", "doc_id", "text", "keys"])
 
     schema = "part int, kind int, doc_id long, text string, keys binary"
-    both = texts.mapInArrow(choose, schema).unionByName(answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys"))
+    both = texts.mapInArrow(lean(choose), schema).unionByName(answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys"))
     return both.repartitionById(n, "part").sortWithinPartitions("kind").select("kind", "doc_id", "text", "keys")
 
 
@@ -317,7 +324,7 @@ def later_windows(met: DataFrame, n: int) -> DataFrame:
         out = _answers(d[later], window_key(f2[later], d[later]), n)
         yield _blobs([(b, *x) for b, x in out.items()], ["part", "docs", "keys"])
 
-    return met.mapInArrow(deal, DEALT_SCHEMA).repartitionById(n, "part").mapInArrow(find, "part int, docs binary, keys binary")
+    return met.mapInArrow(lean(deal), DEALT_SCHEMA).repartitionById(n, "part").mapInArrow(lean(find), "part int, docs binary, keys binary")
 
 
 # ---------------------------------------------------------------- step 3: what is left
@@ -346,15 +353,18 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     texts = narrow(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")
     n = partitions_for(texts, 8 << 20)
     known = texts.where("doc_id is not null")
-    shared = written(shared_anchors(known, n), f"{folder}/anchors")
-    near = meet(known, shared, id_bitmap(shared, "docs", extract=_doc_ids), n)
-    later = written(later_windows(near, n), f"{folder}/windows")
-    marked = id_bitmap(later, "docs", extract=_doc_ids)
+    bits = bitmap_bits(texts)
+    with small_batches(docs.sparkSession):
+        shared = written(shared_anchors(known, n), f"{folder}/anchors")
+        near = meet(known, shared, id_bitmap(shared, "docs", bits, _doc_ids), n, bits)
+        later = written(later_windows(near, n), f"{folder}/windows")
+        marked = id_bitmap(later, "docs", bits, _doc_ids)
+    remove(docs.sparkSession, f"{folder}/anchors")
 
     def untouched(batches):
         for batch in batches:
             ids = _ids(batch.column(0))
-            keep = pa.array(np.flatnonzero(~in_bitmap(ids, marked) | (ids == NULL_ID)))
+            keep = pa.array(np.flatnonzero(~in_bitmap(ids, marked, bits) | (ids == NULL_ID)))
             mine, col = batch.column(0).take(keep), batch.column(1).take(keep)
             data, offs = column_bytes(col)
             for a, b in slices(offs):
@@ -376,4 +386,4 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 kept = [[x for x, k in zip(v, stays[s.at[i] : s.at[i + 1]].tolist()) if k] for i, v in enumerate(words)]
                 yield _result(pa.array(ids[a:b]), words, kept, with_text)
 
-    return texts.mapInArrow(untouched, RESULT).unionByName(meet(known, later, marked, n).mapInArrow(touched, RESULT))
+    return texts.mapInArrow(lean(untouched), RESULT).unionByName(meet(known, later, marked, n, bits).mapInArrow(lean(touched), RESULT))

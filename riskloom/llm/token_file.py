@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import column_bytes, narrow, partitions_for, shared_dir
-from riskloom.llm.encoder import encoded
+from riskloom.llm.common import column_bytes, lean, narrow, partitions_for, shared_dir
+from riskloom.llm.encoder import encoded, forget
 from riskloom.llm.packing import pack_ids, totals, unpack
 
 BLOCK = 512
@@ -117,6 +117,9 @@ class Shard:
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def all(self) -> np.ndarray:
+        return self.span(0, self.n)
+
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = 1 << 20) -> None:
     """Write shards in ascending order of doc_id: rows (part, shard, local_start, n_tokens, payload) at ``path``."""
@@ -133,6 +136,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             for a, b, ids, at in encoded(column_bytes(batch.column(1)), tokenizer, end_id):
                 blobs = [pack_ids(ids[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), doc.slice(a, b - a), pa.array(blobs, pa.binary())], ["part", "doc_id", "ids"])
+        forget()
 
     def shards(batches):
         held, size, local, number, part = [], 0, 0, 0, None
@@ -158,8 +162,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         if held:
             yield flush()
 
-    dealt = docs.mapInArrow(tokens, "part int, doc_id long, ids binary").repartitionById(n, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
-    dealt.mapInArrow(shards, "part int, shard int, local_start long, n_tokens long, payload binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    dealt = docs.mapInArrow(lean(tokens), "part int, doc_id long, ids binary").repartitionById(n, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
+    dealt.mapInArrow(lean(shards), "part int, shard int, local_start long, n_tokens long, payload binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -177,4 +181,4 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 doc = pa.array(s.doc_ids, mask=s.doc_ids == -(1 << 63))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(np.diff(at)), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array(blobs if with_ids else [None] * len(blobs), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return table.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
