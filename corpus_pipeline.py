@@ -5,10 +5,16 @@
 3. ``near_dedup``: of documents linked by 5-word shingles at a similarity of 0.75 or more, directly or over
    others, the one with the smallest doc_id stays.
 4. ``mixture``: sources take their target shares of words; a document is left out, stays once or stands twice. Documents are not
-   cut: the one on a source's border is taken if at least half of it would be.
+   cut: a copy is in if at least half of its words are. Shards of the splitting tree are partitions, shuffled.
 5. ``packing``: sequences of 4096 tokens; one row a piece, with its ids.
 
-Stages 1 to 4 return the columns of documents. Empty input gives empty output at every stage.
+Stages 1 to 4 return the columns of documents, extra ones with any name included.
+
+Defined results, for every stage: empty input gives empty output. A null text counts as empty: it goes in stage 1, is one group of equal texts in stage 2,
+is linked with nothing in stage 3, has no words and is not drawn in stage 4, and is its end id alone in stage 5. A null doc_id ranks lowest in stage 2 and
+last in stage 3; rows without ids are rows of their own, told apart by their text. Rows that repeat a doc_id with other
+texts are documents of their own; rows that repeat both are one document in stage 2 and 3, and each drawn and packed in stage 4 and 5. A null source is a source of its
+own. Ties (equal ids) go by the text's digest in stage 3. Very long texts are read whole by every stage; one is cut into many pieces in stage 5.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixture", mixture), ("packing", pack)]
 
-#: The language model, hashing orders and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
+#: The language model, hashing orders and the tokenizer are beyond SQL; tests/llm/test_edges.py and test_mixture.py hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
