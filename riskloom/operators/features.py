@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import argmax, d, days_between, epss_estimate, maturity_score, padded, safe_float
 
+MOST_COLUMNS = 10_000
+
 
 def temporal(pairs: DataFrame, vulns: DataFrame, assets: DataFrame, exploits: DataFrame, ref: Column) -> DataFrame:
     """F-date3: six features a pair; -1 where unknown. exploits: (vuln_id, published_ts) of linked exploit indicators.
@@ -132,9 +134,11 @@ def aligned(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def pivoted(maps: DataFrame, key: list[str], features: str, names: list[str] | None = None) -> DataFrame:
-    """Ragged maps as columns: the sorted union of the keys, missing 0. Only the distinct key names come to the driver."""
+    """Ragged maps as columns: the sorted union of the keys, missing 0. Only the distinct key names come to the driver; more than ``MOST_COLUMNS`` are an error."""
     if names is None:
-        names = sorted(r[0] for r in maps.select(F.explode(F.map_keys(features))).distinct().collect())
+        names = sorted(r[0] for r in maps.select(F.explode(F.map_keys(features))).distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(names) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} feature names; name those to keep")
     return maps.select(*key, *[F.coalesce(F.try_element_at(F.col(features), F.lit(n)), d(0)).alias(n) for n in names])
 
 

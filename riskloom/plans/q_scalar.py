@@ -132,3 +132,42 @@ def overall_freshness(spark, sf):
 @query(f"WITH {P.IMPORTS} SELECT source, max(import_ts) AS last_import FROM imports GROUP BY source")
 def latest_import(spark, sf):
     return freshness.latest_imports(P.import_log(spark, sf))
+
+
+# ---------------------------------------------------------------- distributions, tolerant dates, cosines
+
+_RAW = "[value / 100 - 0.5, (event_id % 7) / 10.0, CASE WHEN event_id % 3 = 0 THEN 2.0 ELSE 0.0 END]::DOUBLE[]"
+
+
+@query(
+    f"""WITH r AS (SELECT event_id, list_transform({_RAW}, lambda x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, x))) AS c FROM events)
+ SELECT event_id, i AS state, {q6_sql('CASE WHEN list_sum(c) > 0 THEN c[i + 1] / list_sum(c) ELSE c[i + 1] END')} AS share FROM r, range(3) t(i)"""
+)
+def renormalised_distribution(spark, sf):
+    e = F.col("event_id")
+    raw = F.array(F.col("value") / 100 - 0.5, (e % 7) / 10.0, F.when(e % 3 == 0, 2.0).otherwise(0.0))
+    x = P.table(spark, sf, "events").select("event_id", F.posexplode(S.renormalised(raw)).alias("state", "share"))
+    return x.select("event_id", "state", q6(F.col("share")).alias("share"))
+
+
+@query(f"SELECT a.vec_id, {q6_sql('list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE)))')} AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def l1_distance(spark, sf):
+    """The convergence measure, between neighbouring vectors."""
+    e = P.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return e.join(o, "vec_id").select("vec_id", q6(S.l1(F.col("v"), F.col("w"))).alias("distance"))
+
+
+@query(f"SELECT a.vec_id, {q6_sql('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])')} AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def embedding_cosine(spark, sf):
+    from riskloom.operators.text import cosine
+
+    e = P.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(o, "vec_id").select("vec_id", q6(cosine("embedding", "other")).alias("cosine"))
+
+
+@query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T12:30:00' END AS TIMESTAMP) AS parsed FROM orders")
+def tolerant_timestamps(spark, sf):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.lit("soon")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T12:30:00")))
+    return P.table(spark, sf, "orders").select("o_orderkey", S.parse_ts(raw).cast("timestamp_ntz").alias("parsed"))
