@@ -44,10 +44,13 @@ def pareto_front(items: DataFrame, risk: str, cost: str) -> DataFrame:
     return out.withColumn("dominated", F.coalesce(F.col("_above") <= F.col(cost), F.lit(False)) | (F.col("_own") < F.col(cost))).drop("_own", "_above")
 
 
-def pareto_layers(items: DataFrame, risk: str, cost: str) -> DataFrame:
-    """R1 by definition: column ``front`` from 1, each layer's front peeled off the rest until nothing is left: a round of jobs for every layer."""
+def pareto_layers(items: DataFrame, risk: str, cost: str, max_layers: int | None = None) -> DataFrame:
+    """R1 by definition: column ``front`` from 1, each layer's front peeled off the rest until nothing is left: a round of jobs for every layer.
+
+    What is left after ``max_layers`` rounds, if given, gets its layers from ``pareto_chain``, numbered on from there.
+    """
     rest, out, layer = items, None, 1
-    while True:
+    while max_layers is None or layer <= max_layers:
         marked = cut(pareto_front(rest, risk, cost))
         front = marked.where("not dominated").drop("dominated").withColumn("front", F.lit(layer))
         out = front if out is None else out.unionByName(front)
@@ -57,6 +60,8 @@ def pareto_layers(items: DataFrame, risk: str, cost: str) -> DataFrame:
         layer += 1
         if layer % HOPS_A_CUT == 0:
             out = cut(out)
+    deeper = pareto_chain(rest, risk, cost).withColumn("front", F.col("front") + (layer - 1))
+    return deeper if out is None else out.unionByName(deeper)
 
 
 CHAIN_POINTS = 1_000_000  # distinct points that one task sorts
