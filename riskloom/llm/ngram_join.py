@@ -32,8 +32,7 @@ Components come from alternating large-star and small-star steps, each written t
 Defined results: a null or empty text has no words, an empty set and no links (component_id is its own id); fewer words
 than K are one shingle; rows that repeat an id are documents of their own; a null doc_id has a component_id of its
 class's or component's least known id, or null; an empty table gives no rows. Ties in the choice of a centre or partner go to the smaller digest. A very long text is
-one slice of its own. Extra columns are not read. Shingle names have 64 bits: two of a billion million different shingles
-of one pair of sets would have to be equal for a wrong count.
+one slice of its own. Extra columns are not read. Shingle names have 64 bits: links are exact unless two different shingles of one pair of sets share a name.
 """
 
 from __future__ import annotations
@@ -350,7 +349,7 @@ def short_of(node: str = "node"):
 
 
 def wanted_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, elements) for the classes in ``reps`` (node, rep), each from the row that stands for the class."""
+    """(node, elements) for the classes in ``reps`` (node, rep), from the rows that stand for a class; a few others and repeats may come along."""
     bits = bitmap_bits(texts)
     nodes = id_bitmap(reps, "node", bits, lambda batch: node_key(batch.column(0).to_pylist()))
     ids = id_bitmap(reps, "rep", bits)
@@ -365,7 +364,7 @@ def wanted_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
                 at = np.flatnonzero(in_bitmap(node_key(names), nodes, bits)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array([sets[i].astype("<u8").tobytes() for i in at], pa.binary())], ["node", "elements"])
 
-    return texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(lean(run), "node binary, elements binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(lean(run), "node binary, elements binary")
 
 
 def node_key(nodes: list[bytes]) -> np.ndarray:
@@ -419,7 +418,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 similar.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a binary, b binary, similar boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a binary, b binary, similar boolean").distinct()
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -564,7 +563,9 @@ def _join(docs: DataFrame, all_pairs: int, key: str | None, folder: str) -> Data
     labels = written(components(tested.where("similar"), f"{folder}/c-0"), f"{folder}/labels-0")
     release(spark)
     more = _labelled(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), labels).where("_a <> _b").select("a", "b")
-    second = written(verify(more, sets), f"{folder}/verified-1")
+    more = written(more, f"{folder}/more")
+    again = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    second = written(verify(more, sets.join(again, "node", "left_semi")), f"{folder}/verified-1")
     remove(spark, f"{folder}/sets-0")
     release(spark)
 
