@@ -280,6 +280,18 @@ def run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.r_[first, len(x)])
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**32 - 1, bytes of equal weight together: most are zeros, which the codec takes away."""
+    return pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 # ---------------------------------------------------------------- a bitmap of ids
 
 BITS = 23  # 1 MB

@@ -5,7 +5,11 @@ A byte-pair tokenizer first cuts a text by a pattern and then encodes each part
 before trailing punctuation that follows a letter or digit - and keeps the library's ids of every
 piece between cuts under two independent 64-bit names of the piece's bytes; a hit must agree on both
 (128 bits: for 10**13 look-ups against a table of 1.3 million pieces, the chance of one wrong hit is below 1e-19). A text with white space
-beyond ASCII's, where the byte-level pattern looks across pieces, goes to the library as a whole.
+beyond ASCII's, where the byte-level pattern looks across pieces, goes to the library as a whole, and so does one that holds the
+string of a special token: the ids are always those of a plain call of the library on the whole text. ``plain=True`` takes such
+strings as ordinary text (the library's ``encode_special_tokens``).
+
+``Subwords`` does the same for a sentencepiece model: no piece of its vocabulary has a space after another character, so cuts lie before each run of spaces.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ def _byte_chars() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = plain
+        self.specials = [] if plain else [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # pieces are kept here
@@ -145,7 +150,7 @@ class Encoder:
         """(all ids, ids of each document) for a slice of documents."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        whole = odd_space(data, offs) if self.keeps_space else np.zeros(0, np.int64)
+        whole = self.whole_texts(data, offs)
         shown = data if self.keeps_space else LOWER[data]
         ps, pe = self.pieces(data, offs)
         h, g = self.lane.words(shown, ps, pe), self.second.words(shown, ps, pe)
@@ -172,6 +177,49 @@ class Encoder:
             ids = np.concatenate(parts)
         return ids, each
 
+    def whole_texts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Documents that the library encodes as a whole."""
+        found = odd_space(data, offs) if self.keeps_space else np.zeros(0, np.int64)
+        if self.specials:
+            text, at = LOWER[data].tobytes(), []
+            for s in self.specials:
+                i = text.find(s)
+                while i >= 0:
+                    at.append(i)
+                    i = text.find(s, i + 1)
+            if at:  # a string that lies across two documents only costs time
+                found = np.union1d(found, np.searchsorted(offs, at, "right") - 1)
+        return found
+
+
+class Subwords(Encoder):
+    """A sentencepiece model over texts that begin with the space the model would add."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.library = SentencePieceProcessor(model_file=path)
+        if any("\u2581" in self.library.id_to_piece(i).lstrip("\u2581") for i in range(self.library.get_piece_size())):
+            raise ValueError("the model has pieces with a space after another character")
+        self.keeps_space = True
+        self.lane, self.second = lane(11), lane(12)
+        self.clear()
+
+    def pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        space = data == 0x20
+        mark = space.copy()
+        mark[1:] &= ~space[:-1]
+        mark[offs[:-1][offs[:-1] < offs[1:]]] = True
+        ps = np.flatnonzero(mark)
+        return ps, np.r_[ps[1:], len(data)]
+
+    def encode_pieces(self, texts: list[str]) -> list[list[int]]:
+        alone = [self.library.piece_to_id("\u2581")]  # a last space; to the library it would be an empty text
+        return [alone if t == " " else ids for t, ids in zip(texts, self.library.encode([t[1:] for t in texts], num_threads=1))]
+
+    def whole_texts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        return np.zeros(0, np.int64)
+
 
 def mark_of(offs: np.ndarray, n: int) -> np.ndarray:
     m = np.zeros(n + 1, bool)
@@ -191,14 +239,14 @@ def odd_space(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offs, lead[odd], "right") - 1)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process, until ``forget``."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One for each worker process, until ``forget``; files that end in .model are sentencepiece's."""
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Subwords(path) if path.endswith(".model") else Encoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 def forget() -> None:

@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline, with SQL where SQL can say the same."""
+"""The queries op1_ to op13_ and pipeline, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -205,9 +205,69 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
+# ---------------------------------------------------------------- op11
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.token_align import alignments
+
+    return alignments(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+# ---------------------------------------------------------------- op12
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.sharding import shard_table
+
+    return shard_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1.0] * 24, more=[1.0])
+
+
+def _smallest_draw(shards: int) -> str:
+    return f"list_min(list_transform(range({shards}), lambda i: {{'cost': -ln((CAST('0x' || substr(md5('#' || doc_id || '/' || i), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE), 'shard': i}})).shard"
+
+
+#: The checksum's table is eight steps of its shift register from each byte; the checksum then takes the text's bytes in turn.
+OP12_SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS steps),
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, size, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, t.steps[1 + (xor(c, x) & 255)]), 4294967295)) AS text_crc32,
+             CAST({_smallest_draw(24)} AS INTEGER) AS shard, CAST({_smallest_draw(25)} AS INTEGER) AS grown_shard
+      FROM b, t)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+FROM d
+"""
+
+# ---------------------------------------------------------------- op13
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.common import shared_dir
+    from riskloom.llm.lexical import index, search
+
+    blocks = index(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/blocks")
+    return search(blocks, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+post AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM post WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+part AS (SELECT doc_id, term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part
+         FROM tf JOIN df USING (term), totals),
+found AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN part USING (term) GROUP BY ALL HAVING score > 0),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM found)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op2_ann": op2_ann, "op3_packing": op3_packing, "op4_token_file": op4_token_file, "op5_ngram_join": op5_ngram_join, "op6_stream_dedup": op6_stream_dedup, "op7_mixture": op7_mixture, "op8_language_id": op8_language_id, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
+    made = (op1_url_filter, op2_ann, op3_packing, op4_token_file, op5_ngram_join, op6_stream_dedup, op7_mixture, op8_language_id, op9_substring_dedup, op10_license_scan, op11_token_alignment, op12_sharding, op13_lexical_search)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op6_stream_dedup": OP6_SQL, "op7_mixture": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_stream_dedup": OP6_SQL, "op7_mixture": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op12_sharding": OP12_SQL, "op13_lexical_search": OP13_SQL}
