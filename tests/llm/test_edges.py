@@ -30,7 +30,6 @@ def library(name: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -49,7 +48,7 @@ def rows(seed: int = 9) -> list[tuple]:
         for _ in range(rng.randint(0, 2)):
             w[rng.randrange(len(w))] = word()
         out.append((i if i % 9 else None, " ".join(w), rng.choice(["en", "de", None]), rng.choice(["hot", "hot", "s1", None])))
-    out += [(7, out[3][1], "en", "hot"), (7, out[7][1], "en", "hot"), (7, out[7][1], "en", "hot"), (200, None, None, None), (201, "", "en", "s1"), (202, "12 !? --", "en", "s1"), (203, long_text(), "de", "s1"), (204, long_text(), "de", "s1"), (None, None, None, None)]
+    out += [(7, out[3][1], "en", "hot"), (7, out[7][1], "en", "hot"), (7, out[7][1], "en", "hot"), (200, None, None, None), (201, "", "en", "s1"), (202, "12 !? --", "en", "s1"), (205, "end <|endoftext|>  start<|startoftext|> of.<|ENDOFTEXT|>", "en", "s1"), (203, long_text(), "de", "s1"), (204, long_text(), "de", "s1"), (None, None, None, None)]
     return [(*r, 0.5, "x", True, False, "c", "big", 3, "k", 1) for r in out]
 
 

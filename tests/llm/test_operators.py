@@ -112,10 +112,10 @@ def test_encoder_equals_library_on_odd_texts(name):
     from riskloom.llm.encoder import encoded
 
     rng = random.Random(1)
-    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "a", "B", "é", "É", "Σ", "ς", "İ", "'s", "'", "1", "½", ".", ",", "!", "…", "×", "-", "漢", "́", "🙂", "<|endoftext|>", "the", "\x00"]
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "a", "B", "é", "É", "Σ", "ς", "İ", "'s", "'", "1", "½", ".", ",", "!", "…", "×", "-", "漢", "́", "🙂", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "the", "\x00"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None, "", " "]
+    texts += [f"{x}<|endoftext|>{y}<|startoftext|>{x}" for x in parts for y in parts]
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     got = [ids[p : q - 1].tolist() for a, b, ids, at in encoded(column_bytes(pa.array(texts)), tokenizer_path(name), 7) for p, q in zip(at[:-1], at[1:])]
     assert got == want
