@@ -7,12 +7,14 @@ eta * |parallel residual|^2 + |orthogonal residual|^2, with eta = (d - 1) T^2 /
 subspace solve small linear systems, assignment goes over the subspaces in turn with the other
 subspaces' residual held. Every vector is then encoded the same way.
 
-Search: codes stay where they are, packed in blocks; queries come to them in batches of at most ``BATCH_BYTES``, one
-job a batch. A task adds up table entries, two subspaces (one byte) at a time, and keeps each query's ``keep`` best by estimated score
-that reach the query's floor: an estimate so low that, going by the coded sample, at least four times ``keep`` vectors of all reach it.
-Where estimates tie at the cut, all that tie stay. The lists are merged by query, the best ``keep`` (with ties) are scored exactly,
-in double precision, on the original vectors, and the nearest are returned, ties to the smaller id. ``keep=None`` is the exact way:
-every vector is scored.
+Search: codes stay where they are, packed in blocks beside their vectors; queries come to them in batches of at most ``BATCH_BYTES``, two
+jobs a batch. A task adds up table entries, two subspaces (one byte) at a time, to estimates. (1) The best ``keep`` of a block that reach the query's floor (an estimate so low that, going by the
+coded sample, at least four times ``keep`` vectors of all reach it) are scored exactly; the best k + 1 of all give the query's threshold t.
+(2) Every estimate is held against what a vector of score t or more must have. With s the score, p the parallel and o the length of the orthogonal
+residual of a unit vector x, the estimate is at least s (1 - p) - sqrt(1 - s^2) o, which grows with s from 0 on: the small parallel residuals, for which the
+codebook is fitted, are what makes this tight. Whatever is not below it is scored exactly, in place, and t rises with what a task finds. No neighbour is lost, whatever the density:
+estimates only decide how much is scored. A task hands on its k + 1 best of each query. Scores are the same sums, in the same order, as in the result.
+``keep=None`` leaves out the estimates: every vector is scored.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids: any of them that could be among a query's k
 nearest is there, and thousands of copies neither fill the lists nor one task.
@@ -38,7 +40,7 @@ from riskloom.llm.common import lean, partitions_for, remove, shared_dir, writte
 SAMPLE = 16384
 SUB = 2
 T = 0.2
-CODE_BLOCK = 16384
+CODE_BLOCK = 8192
 BATCH_BYTES = 8 << 20
 
 
@@ -139,7 +141,7 @@ def _nearest(rows: DataFrame, folder: str, id_col: str, is_query: Column, k: int
     ranked = ids.withColumn("_r", F.row_number().over(Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))).where(F.col("_r") <= k + 1)
     index = written(ranked.groupBy("v").agg(least(F.collect_list("id")).alias("ids")).withColumn("rep", F.monotonically_increasing_id()), f"{folder}/index")
     queries = written(rows.where(is_query & F.col("id").isNotNull()).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), "n", F.monotonically_increasing_id().alias("ask")), f"{folder}/queries")
-    hits = _exact(spark, index, queries, folder, 2 * k + 2) if keep is None else _estimated(spark, index, queries, folder, keep, sample)
+    hits = _found(spark, index, queries, folder, k + 1, keep, sample)  # one more than k: the query's own vector may be among them
 
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda a, b: a + b))
@@ -155,116 +157,186 @@ def _nearest(rows: DataFrame, folder: str, id_col: str, is_query: Column, k: int
     return best.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id.y").alias(id_col), "score")
 
 
-def _unit(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy().reshape(len(col), -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _top(s: np.ndarray, keep: int, floor: float) -> np.ndarray:
-    """Places of the ``keep`` best and of all that tie with the last of them, from the floor on."""
-    edge = np.partition(s, len(s) - keep)[len(s) - keep] if len(s) > keep else -np.inf
-    return np.flatnonzero(s >= max(edge, floor))
+def _rows(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(len(col), -1)
 
 
-def _estimated(spark, index: DataFrame, queries: DataFrame, folder: str, keep: int, sample: int) -> DataFrame:
-    """(ask, rep): the vectors whose estimated scores are among each query's best."""
+def _in_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products, component after component, as the result's expression adds them."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[..., j]
+    return out
+
+
+class Block:
+    """Up to CODE_BLOCK vectors, of 4 MB or so at most: numbers, smallest ids, vectors, codes a byte column each, and residuals of the unit vectors."""
+
+    def __init__(self, reps, leads, null, vectors, codes, along, across, d: int):
+        read = lambda x, t: np.frombuffer(x.as_buffer(), t)
+        self.reps, self.leads, self.null, self.along, self.across = read(reps, "<i8"), read(leads, "<i8"), read(null, "?"), read(along, "<f4"), read(across, "<f4")
+        self.v = read(vectors, "<f8").reshape(-1, d)
+        self.unit = _unit(self.v)
+        self.norm = np.sqrt(_in_turn(self.v, self.v))
+        self.by_byte = np.ascontiguousarray(read(codes, np.uint8).reshape(len(self.reps), -1).T)
+
+    def estimates(self, t: np.ndarray) -> np.ndarray:
+        s = np.zeros(len(self.reps), np.float32)
+        for m, c in enumerate(self.by_byte):
+            s += t[m][c]
+        return s
+
+    def scores(self, at: np.ndarray, qv: np.ndarray, qn: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of those of ``at`` that score ``least`` or more."""
+        at = at[self.unit[at] @ (qv / np.linalg.norm(qv)) >= least - 1e-9]
+        s = _in_turn(self.v[at], qv) / (qn * self.norm[at])
+        return at[s >= least], s[s >= least]
+
+
+class Nearest:
+    """The ``k`` best of one query in a task: highest score, then smallest id, null last."""
+
+    def __init__(self, k: int, least: float):
+        self.k, self.least, self.found = k, least, []
+
+    def add(self, block: Block, at: np.ndarray, s: np.ndarray) -> None:
+        if len(at) > self.k:  # cut down before anything is done a row at a time
+            best = np.lexsort((block.leads[at], block.null[at], -s))[: self.k]
+            at, s = at[best], s[best]
+        if len(at):
+            self.found = sorted(self.found + list(zip((-s).tolist(), block.null[at].tolist(), block.leads[at].tolist(), block.reps[at].tolist())))[: self.k]
+            if len(self.found) == self.k:
+                self.least = max(self.least, -self.found[-1][0])
+
+
+CODES = "reps binary, leads binary, nulls binary, vectors binary, codes binary, along binary, across binary"
+SLACK = 1e-4  # above the rounding of estimates, which are single-precision sums of at most some hundred terms of size 1
+
+
+def _found(spark, index: DataFrame, queries: DataFrame, folder: str, k: int, keep: int | None, sample: int) -> DataFrame:
+    """(ask, rep): among them each query's ``k`` best."""
     picked = index.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toPandas()
-    unit = np.stack(picked["v"].to_numpy())
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    if not len(picked):
+        return spark.createDataFrame([], "ask long, rep long")
+    unit = _unit(np.stack(picked["v"].to_numpy()))
     book, eta = fit(unit)
     d, seen = unit.shape[1], encode(unit, book, eta)
 
     def coded(batches):
-        """Rows (reps, codes) of up to CODE_BLOCK vectors."""
         for batch in batches:
-            for a in range(0, len(batch), CODE_BLOCK):
-                part = batch.slice(a, CODE_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([encode(_unit(part.column(1)), book, eta).tobytes()])], ["reps", "codes"])
+            each = max(64, min(CODE_BLOCK, (4 << 20) // (8 * d)))
+            for a in range(0, len(batch), each):
+                part = batch.slice(a, each)
+                v = _rows(part.column(1))
+                u = _unit(v)
+                codes = encode(u, book, eta)
+                nibbles = np.stack([codes >> 4, codes & 15], 2).reshape(len(v), -1)[:, : book.shape[0]]
+                blocks = _blocks(u)
+                residual = blocks - book[np.arange(book.shape[0]), nibbles]
+                along = (blocks * residual).sum((1, 2))
+                across = np.sqrt(np.maximum((residual**2).sum((1, 2)) - along**2, 0))
+                leads = part.column(3).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+                out = (part.column(0).to_numpy().astype("<i8"), leads[0].astype("<i8"), leads[1].astype("?"), v.astype("<f8"), codes, along.astype("<f4"), across.astype("<f4"))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], [c.split()[0] for c in CODES.split(", ")])
 
     parts = partitions_for(index, 16 << 20)
-    codes = written(index.select("rep", "v").repartition(parts, "rep").mapInArrow(lean(coded), "reps binary, codes binary"), f"{folder}/codes")
+    first = index.select("rep", "v", F.col("ids")[0]["x"].alias("null"), F.coalesce(F.col("ids")[0]["y"], F.lit(0)).alias("lead"))
+    codes = written(first.repartition(parts, "rep").mapInArrow(lean(coded), CODES), f"{folder}/codes")
     total = index.count()
     # by the sample, four times ``keep`` of all vectors reach the floor
-    nth = min(len(seen), max(keep if total <= len(seen) else 0, 32, -(-4 * keep * len(seen) // total)))
-
-    def estimates(t: np.ndarray, by_byte: np.ndarray) -> np.ndarray:
-        s = np.zeros(by_byte.shape[1], np.float32)
-        for m, c in enumerate(by_byte):
-            s += t[m][c]
-        return s
-
-    def floors(batches):
-        by_byte = np.ascontiguousarray(seen.T)
-        for batch in batches:
-            u = _unit(batch.column(1))
-            floor = np.zeros(len(u), np.float64)
-            for a in range(0, len(u), 32):
-                for j, t in enumerate(tables(u[a : a + 32], book)):
-                    s = estimates(t, by_byte)
-                    floor[a + j] = np.partition(s, len(s) - nth)[len(s) - nth]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(u), pa.list_(pa.float64())), pa.array(floor)], ["ask", "u", "floor"])
-
-    asks = written(queries.select("ask", "qv").repartition(parts, "ask").mapInArrow(lean(floors), "ask long, u array<double>, floor double"), f"{folder}/asks")
-    def scan(batch, shared):
-        """For each block of codes and each 32 queries: (ask, rep, estimate) of the best."""
-        ask, floor, u = shared
-        for reps, code in zip(batch.column(0), batch.column(1)):
-            reps = np.frombuffer(reps.as_buffer(), "<i8")
-            by_byte = np.ascontiguousarray(np.frombuffer(code.as_buffer(), np.uint8).reshape(len(reps), -1).T)
-            for a in range(0, len(ask), 32):
-                out = [[], [], []]
-                for j, t in enumerate(tables(u[a : a + 32], book)):
-                    s = estimates(t, by_byte)
-                    top = _top(s, keep, floor[a + j])
-                    for o, x in zip(out, (np.full(len(top), ask[a + j]), reps[top], s[top])):
-                        o.append(x)
-                yield out
-
-    found = _batches(spark, codes, asks, d, scan, keep, folder)
-    remove(spark, f"{folder}/codes")
-    return found
-
-
-def _batches(spark, codes: DataFrame, asks: DataFrame, d: int, scan, keep: int, folder: str) -> DataFrame:
-    """(ask, rep): of what ``scan`` finds in the codes for each batch of queries, the ``keep`` best of each query, with ties."""
-    jobs = -(-asks.count() * 8 * d // BATCH_BYTES)
-    found = spark.createDataFrame([], "ask long, rep long")
+    nth = min(len(seen), max(keep if total <= len(seen) else 0, 32, -(-4 * keep * len(seen) // total))) if keep else 0
+    by_byte = np.ascontiguousarray(seen.T)
+
+    def probe(shared):
+        """Each query's best by exact score among the best by estimate."""
+
+        def run(batches):
+            ask, qv, qn, _ = shared.value
+            u = _unit(qv)
+            blocks = (Block(*row, d) for b in batches for row in zip(*b.columns))
+            best = [Nearest(k, -2.0) for _ in ask]
+            floor: np.ndarray | None = None
+            for block in blocks:
+                floors = [] if floor is None else floor
+                for a in range(0, len(ask), 32):
+                    for j, t in enumerate(tables(u[a : a + 32], book), a):
+                        if floor is None:
+                            s = np.zeros(by_byte.shape[1], np.float32)
+                            for m, c in enumerate(by_byte):
+                                s += t[m][c]
+                            floors.append(np.partition(s, len(s) - nth)[len(s) - nth])
+                        s = block.estimates(t)
+                        edge = np.partition(s, len(s) - keep)[len(s) - keep] if len(s) > keep else -np.inf
+                        best[j].add(block, *block.scores(np.flatnonzero(s >= max(edge, floors[j])), qv[j], qn[j], best[j].least))
+                floor = floors
+            yield _best_rows(ask, best)
+
+        return run
+
+    def search(shared, measured):
+        """Each query's best of all vectors whose estimate allows them its threshold."""
+
+        def run(batches):
+            ask, qv, qn, least = shared.value
+            u = _unit(qv)
+            best = [Nearest(k, x) for x in least.tolist()]
+            scored = 0
+            for block in (Block(*row, d) for b in batches for row in zip(*b.columns)):
+                radius = np.sqrt(block.along**2 + block.across**2)
+                everything = np.arange(len(block.reps))
+                for a in range(0, len(ask), 32):
+                    for j, t in enumerate(tables(u[a : a + 32], book) if keep else u[a : a + 32], a):
+                        x = best[j].least
+                        if not keep or x <= -1:
+                            at = everything
+                        elif x < 0:
+                            at = np.flatnonzero(block.estimates(t) + radius >= x - SLACK)
+                        else:
+                            at = np.flatnonzero(block.estimates(t) + np.float32(x) * block.along + np.float32(np.sqrt(max(0.0, 1 - x * x))) * block.across >= x - SLACK)
+                        scored += len(at)
+                        best[j].add(block, *block.scores(at, qv[j], qn[j], x))
+            measured.add(scored)
+            yield _best_rows(ask, best)
+
+        return run
+
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "null", "lead")
+    jobs = max(1, -(-queries.count() * 8 * d // BATCH_BYTES))
+    paths = []
     for job in range(jobs):
-        mine = asks.where(F.pmod(F.xxhash64("ask"), F.lit(jobs)) == job).toPandas()
+        mine = queries.where(F.pmod(F.xxhash64("ask"), F.lit(jobs)) == job).select("ask", "qv").toPandas()
         if not len(mine):
             continue
-        shared = spark.sparkContext.broadcast((mine["ask"].to_numpy(), mine["floor"].to_numpy(), np.stack(mine["u"].to_numpy())))
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for out in scan(batch, shared.value):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["ask", "rep", "estimate"])
-
-        best = Window.partitionBy("ask").orderBy(F.desc("estimate"))
-        hits = codes.mapInArrow(lean(run), "ask long, rep long, estimate double").withColumn("_n", F.rank().over(best)).where(F.col("_n") <= keep)
-        found = found.unionByName(written(hits.select("ask", "rep"), f"{folder}/hits-{job}"))
+        ask, qv, least = mine["ask"].to_numpy(), np.stack(mine["qv"].to_numpy()), np.full(len(mine), -2.0)
+        qn = np.sqrt(_in_turn(qv, qv))
+        if keep:
+            shared = spark.sparkContext.broadcast((ask, qv, qn, least))
+            found = codes.mapInArrow(lean(probe(shared)), BEST).withColumn("n", F.row_number().over(order)).where(F.col("n") == k)
+            known = {r[0]: r[1] for r in found.select("ask", "score").collect()}  # a number a query of the batch
+            least = np.array([known.get(x, -2.0) for x in ask.tolist()])
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast((ask, qv, qn, least))
+        SCORED.clear()
+        measured = spark.sparkContext.accumulator(0)
+        hits = codes.mapInArrow(lean(search(shared, measured)), BEST).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+        paths.append(f"{folder}/hits/{job}")
+        hits.select("ask", "rep").write.parquet(paths[-1])
+        SCORED.append((measured.value, len(mine) * total))
         shared.unpersist()
-    return found
+    remove(spark, f"{folder}/codes")
+    return spark.read.schema("ask long, rep long").parquet(*paths) if paths else spark.createDataFrame([], "ask long, rep long")
 
 
-def _exact(spark, index: DataFrame, queries: DataFrame, folder: str, keep: int) -> DataFrame:
-    """(ask, rep): each query's ``keep`` best of all vectors by cosine."""
+#: (vectors scored exactly, vectors times queries) of each batch of the last search, for tests and reports.
+SCORED: list[tuple[int, int]] = []
+BEST = "ask long, score double, null boolean, lead long, rep long"
 
-    def unit(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_unit(batch.column(1))), pa.list_(pa.float64())), pa.array(np.zeros(len(batch)))], ["ask", "u", "floor"])
-
-    asks = queries.select("ask", "qv").mapInArrow(lean(unit), "ask long, u array<double>, floor double")
-    d = index.select(F.size("v")).first()[0]
-
-    def scan(batch, shared):
-        ask, _, u = shared
-        reps = batch.column(0).to_numpy()
-        for a in range(0, len(batch), 2048):
-            s = u @ _unit(batch.column(1).slice(a, 2048)).T
-            edge = np.partition(s, max(0, s.shape[1] - keep), axis=1)[:, max(0, s.shape[1] - keep)] - 1e-9
-            i, j = np.nonzero(s >= edge[:, None])
-            # what lies within rounding of the cut ties with it
-            yield [[ask[i]], [reps[a + j]], [np.maximum(np.round(s[i, j], 9), -2.0)]]
-
-    return _batches(spark, index.select("rep", "v"), asks, d, scan, keep, folder)
+
+def _best_rows(ask: np.ndarray, best: list[Nearest]) -> pa.RecordBatch:
+    flat = [(a, -f[0], *f[1:]) for a, b in zip(ask.tolist(), best) for f in b.found]
+    types = (pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([f[c] for f in flat], t) for c, t in enumerate(types)], [c.split()[0] for c in BEST.split(", ")])
