@@ -1,6 +1,6 @@
 """Commands over a store folder: import, batch, assess, backtest, freshness. ``python -m riskloom.cli --store FOLDER COMMAND ..``
 
-The store has graph/ (nodes, edges), import_log/ and what a batch saves; reports/ has predictions.json and ground_truth.json for the back-test.
+The store has commits (graph, import log, and each cycle's states, risks and roll-up; see ``operators/commits.py``) and features/; reports/ has predictions.json and ground_truth.json for the back-test.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import constants as C
 from riskloom.functions.scalar import d
-from riskloom.operators import backtest, freshness, store
+from riskloom.operators import backtest, freshness, importing, store
 from riskloom.plans import batch
 from riskloom.plans.from_graph import estate_of
-from riskloom.sources import readers, sinks
+from riskloom.sources import readers
 
 PREDICTED = "vuln_id string, asset_id string, exploit_likelihood double, adjusted_impact double, composite_risk double, final_rank long, markov_distribution array<double>"
 HAPPENED = "vuln_id string, asset_id string, was_exploited boolean, actual_impact double, actual_state int"
@@ -29,24 +29,22 @@ def show(df: DataFrame, out, rows: int = 100) -> None:
 
 
 def freshness_of(spark: SparkSession, folder: str, ref) -> tuple[DataFrame, DataFrame]:
-    log = store.table(spark, f"{folder}/import_log")
+    log = importing.stored(spark, folder, "import_log")
     thresholds = spark.createDataFrame(list(C.FRESHNESS_DAYS.items()), "source string, threshold_days int")
     report = freshness.report(log.withColumn("import_ts", F.col("import_ts").cast("timestamp_ntz")), thresholds, ref)
     return report, freshness.overall(report, spark.createDataFrame(list(C.FRESHNESS_WEIGHT.items()), "source string, weight double"))
 
 
 def run_import(spark: SparkSession, folder: str, path: str, now: str, out) -> None:
+    """The files that are new add to the stored graph; graph and log change together."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    is_folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-    nodes, edges, report = readers.import_report(spark, readers.importable(spark, path) if is_folder and not readers.route(path) else [path])
-    sinks.save_graph(nodes, edges, f"{folder}/graph")
-    done = report.where("success").select(F.uuid().alias("batch_id"), "source", "file", F.lit(now).cast("timestamp").alias("import_ts"), F.col("nodes_added").alias("records"), F.lit(None).cast("string").alias("sha256"))
-    done.write.mode("append").parquet(f"{folder}/import_log")
-    show(report, out)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    is_folder = fs.exists(p) and fs.getFileStatus(p).isDirectory()
+    show(importing.import_new(spark, folder, readers.importable(spark, path) if is_folder and not readers.route(path) else [path], now), out)
 
 
 def _estate(spark: SparkSession, folder: str, ref):
-    return estate_of(*sinks.load_graph(spark, f"{folder}/graph"), ref)
+    return estate_of(importing.stored(spark, folder, "nodes"), importing.stored(spark, folder, "edges"), ref)
 
 
 def run_batch(spark: SparkSession, folder: str, now: str, out) -> None:

@@ -10,8 +10,8 @@ from riskloom.functions.scalar import d, joined_text, split_list
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of two or more letters or digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]{2,})"), F.lit(1))
+    """Lower-cased runs of two or more letters or digits of any script, or underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, max_terms: int = 5000, stop: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.lineage import new_folder
 from riskloom.functions.scalar import d, q6
 from riskloom.operators import freshness as Fr
-from riskloom.operators import ml, rank
+from riskloom.operators import commits, ml, rank
 from riskloom.operators import service as S
 from riskloom.plans import batch as B
 from riskloom.plans import projection as P
@@ -119,7 +119,7 @@ def batch_rollup(spark, sf):
     """The batch's roll-up, read back from where the batch saved it."""
     folder = new_folder(spark, "batch")
     B.daily_batch(estate(spark, sf), d(FRESH), d(AGE), folder=folder)
-    u = spark.read.parquet(f"{folder}/rollup")
+    u = commits.read(spark, folder, "rollup")
     return u.select("bu", q6(F.col("total_risk")).alias("total_risk"), q6(F.col("weighted_risk")).alias("weighted_risk"), "asset_count", q6(F.col("max_risk")).alias("max_risk"))
 
 

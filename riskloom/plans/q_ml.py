@@ -10,25 +10,37 @@ from riskloom.plans import projection as P
 from riskloom.plans.projection import q6_sql
 from riskloom.plans.registry import query
 
-_TOK = r"regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]{2,}')"
-
-
 def _texts(spark, sf):
     return P.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
 
 
-@query(
-    f"""WITH t AS (SELECT p_partkey, unnest({_TOK}) AS term FROM part), tf AS (SELECT p_partkey, term, count(*) AS tf FROM t GROUP BY ALL),
- v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000), w AS (SELECT p_partkey, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term))
- SELECT p_partkey, term, {q6_sql('w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey))')} AS weight FROM w"""
-)
+#: Spark's list of English stop words, as the queries pass it and the SQL texts list it.
+STOP = ("i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been "
+    "being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here "
+    "there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now would could ought cannot").split()
+
+
+def _tfidf_sql(table: str, key: str, body: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    return f"""WITH t AS (SELECT {key}, unnest(regexp_extract_all(lower({body}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {table}), tf AS (SELECT {key}, term, count(*) AS tf FROM t WHERE term NOT IN ({stop}) GROUP BY ALL),
+ v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000), w AS (SELECT {key}, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM {table})) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term))
+ SELECT {key}, term, {q6_sql(f'w / sqrt(sum(w * w) OVER (PARTITION BY {key}))')} AS weight FROM w"""
+
+
+@query(_tfidf_sql("part", "p_partkey", "p_name || ' ' || p_type || ' ' || p_brand"))
 def tfidf(spark, sf):
-    return text.tfidf(_texts(spark, sf), "p_partkey", "text").select("p_partkey", "term", q6(F.col("weight")).alias("weight"))
+    return text.tfidf(_texts(spark, sf), "p_partkey", "text", stop=text.stop_words()).select("p_partkey", "term", q6(F.col("weight")).alias("weight"))
+
+
+@query(_tfidf_sql("documents", "doc_id", "text"))
+def tfidf_documents(spark, sf):
+    """E1 on prose in four languages, with letters beyond ASCII."""
+    return text.tfidf(P.table(spark, sf, "documents"), "doc_id", "text", stop=text.stop_words()).select("doc_id", "term", q6(F.col("weight")).alias("weight"))
 
 
 @query()
 def svd_embed(spark, sf):
-    return text.svd_embedding(text.tfidf(_texts(spark, sf), "p_partkey", "text"), "p_partkey")
+    return text.svd_embedding(text.tfidf(_texts(spark, sf), "p_partkey", "text", stop=text.stop_words()), "p_partkey")
 
 
 NAMES = ["cvss", "cvss_exploitability", "cvss_impact", "patch_lag_days", "missing_feature"]

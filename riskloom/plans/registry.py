@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from riskloom.plans import q_batch, q_features, q_graph, q_markov, q_ml, q_rank, q_risk, q_scalar, q_service, q_sources  # noqa: F401
+    from riskloom.plans import q_batch, q_features, q_graph, q_markov, q_ml, q_rank, q_risk, q_scalar, q_service, q_sources, q_store  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import constants as C
 from riskloom.functions.lineage import cut
 from riskloom.functions.scalar import split_list
+from riskloom.sources import json_ranges
 
 NODE = "node_id string, node_type string, attrs map<string,string>"
 EDGE = "src string, dst string, relation string"
@@ -33,13 +34,30 @@ def route(path: str) -> str | None:
     return next((source for part, source in C.ROUTES if part in name), None)
 
 
+RANGE_BYTES = 64 << 20  # a document of more is cut by more than one task
+
+
+def _has_large(fs, folder) -> bool:
+    found = fs.listFiles(folder, True)
+    while found.hasNext():
+        if found.next().getLen() > RANGE_BYTES:
+            return True
+    return False
+
+
 def documents(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
     """One VARIANT column ``v`` a record: the elements of ``wrapper`` in each document, or of the document itself if that is a list.
 
-    Files are cut into their records' texts, one after the other, so that no VARIANT ever holds a whole feed; a record is parsed where it is used.
+    Files are cut into their records' texts, so that no VARIANT ever holds a whole feed; a record is parsed where it is used. Small files are cut each in one
+    task, larger ones in byte ranges by all tasks (``json_ranges``).
     """
     import pyarrow as pa
 
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if any(f.getLen() > RANGE_BYTES if f.isFile() else _has_large(fs, f.getPath()) for f in fs.globStatus(p) or []):
+        return json_ranges.records(spark, path, wrapper).select(F.parse_json("value").alias("v"))
+
     def cut_up(batches):
         for batch in batches:
             for content in batch.column(0):
@@ -236,51 +254,90 @@ def siem_alerts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 READERS = {"nvd": nvd, "cisa_kev": kev, "exploitdb": exploitdb, "otx": stix, "cmdb": cmdb, "network_scan": network_scan, "vendor_advisories": vendor_advisories, "siem_alerts": siem_alerts}
 
 
-def import_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The graph of all files, whatever their order: attributes merged per node, links kept whose vulnerability is known."""
-    parts = [(i, *READERS[r](spark, p)) for i, p in enumerate(sorted(paths)) if (r := route(p))]
-    if not parts:
-        return spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE)
-    nodes = cut(union(*[n.withColumn("_seq", F.lit(i)) for i, n, _ in parts]))  # every file is parsed once
-    edges = cut(union(*[e for _, _, e in parts]).distinct())
-    each = nodes.select("node_id", "node_type", "_seq", F.explode_outer("attrs").alias("k", "v"))
-    known = nodes.where(~F.coalesce(F.map_contains_key("attrs", F.lit("_only_if_known")), F.lit(False))).select("node_id").distinct()
-    each = each.join(known, "node_id", "left_semi")
+FILES_A_PLAN = 32
+STRICT = ("REFERENCES", "INDICATES", "USES_TTP", "TARGETS", "ATTRIBUTED_TO")
+
+
+def loaded(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(nodes, edges, errors): the rows of all files with the file's place in the list as ``_seq``, and why files could not be read.
+
+    Many files are one plan and one job each for nodes and edges; where that fails, its halves are read, down to the file at fault.
+    """
+    failed: dict[str, str] = {}
+    nodes, edges = [], []
+
+    def read(part: list[tuple[int, str]]) -> None:
+        try:
+            frames = [(i, *READERS[route(p)](spark, p)) for i, p in part]
+            done = cut(union(*[n.withColumn("_seq", F.lit(i)) for i, n, _ in frames])), cut(union(*[e.withColumn("_seq", F.lit(i)) for i, _, e in frames]))
+        except (PySparkException, Py4JJavaError, ValueError) as x:
+            if len(part) == 1:
+                failed[part[0][1]] = str(x).splitlines()[0]
+                return
+            read(part[: len(part) // 2])
+            read(part[len(part) // 2 :])
+            return
+        nodes.append(done[0])
+        edges.append(done[1])
+
+    numbered = list(enumerate(paths))
+    for a in range(0, len(numbered), FILES_A_PLAN):
+        read(numbered[a : a + FILES_A_PLAN])
+    none = spark.createDataFrame([], f"{NODE}, _seq int"), spark.createDataFrame([], f"{EDGE}, _seq int")
+    return union(none[0], *nodes), union(none[1], *edges), failed
+
+
+def _waits() -> Column:
+    """Rows that only add to a node which something else brings."""
+    return F.coalesce(F.map_contains_key("attrs", F.lit("_only_if_known")), F.lit(False))
+
+
+def added(nodes: DataFrame, edges: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """For each file, the nodes and the edges that it brings first (before entity resolution); rows of the stored graph have a ``_seq`` below 0."""
+    first = nodes.where(~_waits()).groupBy("node_id").agg(F.min("_seq").alias("_seq"))
+    links = edges.groupBy("src", "dst", "relation").agg(F.min("_seq").alias("_seq"))
+    return tuple({r[0]: r[1] for r in x.where("_seq >= 0").groupBy("_seq").count().collect()} for x in (first, links))
+
+
+def graph_of(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, waiting nodes, waiting edges) of rows with ``_seq``: attributes merged by node, the last file's value kept; what waits for a node is handed back as it is."""
+    known = nodes.where(~_waits()).select("node_id").distinct()
+    each = nodes.select("node_id", "node_type", "_seq", F.explode_outer("attrs").alias("k", "v")).join(known, "node_id", "left_semi")
     attrs = each.where("k is not null and k <> '_only_if_known'").groupBy("node_id", "k").agg(F.max_by("v", "_seq").alias("v")).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attrs"))
     merged = cut(each.groupBy("node_id").agg(F.max_by("node_type", "_seq").alias("node_type")).join(attrs, "node_id", "left"))
-    return merged, resolve_links(edges, merged)
+    waiting = nodes.where(_waits()).join(merged.select("node_id"), "node_id", "left_anti").select("node_id", "node_type", "attrs")
+    links = cut(edges.select("src", "dst", "relation").distinct())
+    kept = resolve_links(links, merged)
+    return merged, kept, waiting, links.where(F.col("relation").isin(*STRICT)).join(kept, ["src", "dst", "relation"], "left_anti")
+
+
+def import_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The graph of all files, whatever their order: attributes merged per node, links kept whose vulnerability is known."""
+    nodes, edges, failed = loaded(spark, [p for p in sorted(paths) if route(p)])
+    if failed:
+        raise ValueError("; ".join(f"{p}: {x}" for p, x in failed.items()))
+    return graph_of(nodes, edges)[:2]
 
 
 def resolve_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """References keep only ends that exist; other edges may dangle."""
     ids = nodes.select("node_id")
-    strict = edges.where(F.col("relation").isin("REFERENCES", "INDICATES", "USES_TTP", "TARGETS", "ATTRIBUTED_TO"))
+    strict = edges.where(F.col("relation").isin(*STRICT))
     for end in ("src", "dst"):
         strict = strict.join(ids.withColumnRenamed("node_id", end), end, "left_semi")
-    return union(edges.where(~F.col("relation").isin("REFERENCES", "INDICATES", "USES_TTP", "TARGETS", "ATTRIBUTED_TO")), strict.select("src", "dst", "relation"))
+    return union(edges.where(~F.col("relation").isin(*STRICT)), strict.select("src", "dst", "relation"))
 
 
 def import_report(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, report): the graph of all files, and for each file in order its source, the nodes and edges that it added to
     those before it (before entity resolution), and whether it could be read; a file that cannot be counts as a failure and adds nothing."""
-    log, good = [], []
-    seen_nodes, seen_edges = spark.createDataFrame([], "node_id string"), spark.createDataFrame([], EDGE)
-    for path in sorted(paths):
-        source = route(path)
-        if source is None:
-            log.append((path, "unknown", 0, 0, False, f"No reader matched for file: {PurePosixPath(path).name}"))
-            continue
-        try:
-            n, e = READERS[source](spark, path)
-            n = cut(n.where(~F.coalesce(F.map_contains_key("attrs", F.lit("_only_if_known")), F.lit(False))).select("node_id").distinct().join(seen_nodes, "node_id", "left_anti"))
-            e = cut(e.distinct().join(seen_edges, ["src", "dst", "relation"], "left_anti"))
-            log.append((path, source, n.count(), e.count(), True, None))
-            seen_nodes, seen_edges = seen_nodes.unionByName(n), seen_edges.unionByName(e)
-            good.append(path)
-        except (PySparkException, Py4JJavaError) as x:
-            log.append((path, source, 0, 0, False, str(x).splitlines()[0]))
-    nodes, edges = import_files(spark, good)
-    return nodes, edges, spark.createDataFrame(log, "file string, source string, nodes_added long, edges_added long, success boolean, error string")
+    known = [p for p in sorted(paths) if route(p)]
+    rows, links, failed = loaded(spark, known)
+    nodes, edges = added(rows, links)
+    log = [(p, "unknown", 0, 0, False, f"No reader matched for file: {PurePosixPath(p).name}") for p in paths if not route(p)]
+    log += [(p, route(p), 0, 0, False, failed[p]) if p in failed else (p, route(p), nodes.get(i, 0), edges.get(i, 0), True, None) for i, p in enumerate(known)]
+    graph = graph_of(rows, links)
+    return graph[0], graph[1], spark.createDataFrame(sorted(log), "file string, source string, nodes_added long, edges_added long, success boolean, error string")
 
 
 def importable(spark: SparkSession, folder: str) -> list[str]:

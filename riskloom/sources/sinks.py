@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +54,21 @@ def save_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def json_documents(rows: DataFrame, wrapper: str, path: str, documents: int = 8) -> None:
-    """Records as JSON documents {wrapper: [..]}, one a file."""
-    columns = F.struct(*rows.columns)
-    docs = rows.select(F.pmod(F.xxhash64(F.to_json(columns)), F.lit(documents)).cast("int").alias("document"), columns.alias("r"))
-    docs = docs.groupBy("document").agg(F.collect_list("r").alias(wrapper)).select("document", F.to_json(F.struct(wrapper)).alias("value"))
-    docs.write.mode("overwrite").partitionBy("document").text(path)
+    """Records as JSON documents {wrapper: [..]}, one a file, written a record at a time."""
+
+    def document(batches):
+        import pyarrow as pa
+
+        last = None
+        yield pa.RecordBatch.from_pydict({"value": [json.dumps({wrapper: []})[:-2]]})
+        for b in batches:
+            lines = ([last] if last is not None else []) + b.column(0).to_pylist()
+            if lines:
+                last = lines.pop()
+                yield pa.RecordBatch.from_pydict({"value": pa.array([f"{x}," for x in lines], pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": [*([last] if last is not None else []), "]}"]})
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).repartition(documents).mapInArrow(document, "value string").write.mode("overwrite").text(path)
 
 
 def transfer_package(spark: SparkSession, sources: dict[str, str], path: str, created_at: str) -> DataFrame:

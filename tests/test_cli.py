@@ -4,6 +4,7 @@ import io
 import json
 
 from riskloom import cli
+from riskloom.operators import commits
 
 
 def run(spark, store, *args):
@@ -24,10 +25,10 @@ def test_commands(spark, tmp_path):
     report = {r["source"]: r for r in run(spark, store, "import", str(feeds))}
     assert all(r["success"] for r in report.values()) and report["nvd"]["nodes_added"] == 7 and report["exploitdb"]["edges_added"] == 1
     assert run(spark, store, "batch") == [{"pairs": 4, "freshness": run(spark, store, "freshness")[-1]["overall_freshness"], "status": "complete"}]
-    risks = {(r.vuln_id, r.asset_id): r for r in spark.read.parquet(f"{store}/risks").collect()}
+    risks = {(r.vuln_id, r.asset_id): r for r in commits.read(spark, store, "risks").collect()}
     assert set(risks) == {("CVE-0", "h1"), ("CVE-3", "h1"), ("CVE-2", "h2"), ("CVE-3", "h2")}
     assert sorted(r.final_rank for r in risks.values()) == [1, 2, 3, 4] and risks["CVE-3", "h1"].composite_risk > risks["CVE-0", "h1"].composite_risk
-    assert {r.bu for r in spark.read.parquet(f"{store}/rollup").collect()} == {"Eng", "Ops"}
+    assert {r.bu for r in commits.read(spark, store, "rollup").collect()} == {"Eng", "Ops"}
     assert spark.read.parquet(f"{store}/features").select("cycle_id").distinct().count() == 2
     one = run(spark, store, "assess", "CVE-3", "h1")
     assert len(one) == 1 and 0 < one[0]["composite_risk"] <= 1 and run(spark, store, "assess", "CVE-9", "h1") == []
