@@ -63,3 +63,30 @@ def feed_in_ranges(spark, sf):
     path = _feed(spark, rows, "orders", "orders.json")
     out = json_ranges.records(spark, path, "orders").select(F.from_json("value", "o_orderkey long, note string, numbers array<long>").alias("r"))
     return out.select("r.o_orderkey", "r.note", F.col("r.numbers")[0].alias("o_custkey"), F.col("r.numbers")[1].alias("next"))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, ts FROM events), m AS (SELECT CAST(floor(epoch_us(max(ts)) / 1000) AS BIGINT) * 1000 - 7200000000 AS mark FROM events),
+ c AS (SELECT key, ts, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS after FROM e WHERE epoch_us(ts) <= (SELECT mark FROM m))
+ SELECT key, ts AS last_seen, ts + INTERVAL 2 DAY AS alarm_at, after AS cancelled_at FROM c WHERE CASE WHEN after IS NULL THEN epoch_us(ts + INTERVAL 2 DAY) <= (SELECT mark FROM m) ELSE after > ts + INTERVAL 2 DAY END"""
+)
+def silence_alarms(spark, sf):
+    """Users without an event for two days, by event-time timers."""
+    from riskloom.streaming import alerts, keyed
+
+    return keyed.silence_alarms(spark, alerts.source(spark, f"{sf}/events.parquet"), "user_id", "ts", 2 * 86400)
+
+
+@query(
+    """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS n FROM events),
+ b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM a),
+ c AS (SELECT user_id, island, count(*) - 1 AS updates FROM b GROUP BY ALL) SELECT b.user_id, b.event_type AS dominant_state, updates AS updates_in_state FROM b JOIN c USING (user_id, island) WHERE back = 1"""
+)
+def batch_then_stream(spark, sf):
+    """The snapshot of the first half of the month is stored and starts the state of a stream over the rest."""
+    from riskloom.streaming import alerts, keyed
+
+    folder, half = new_folder(spark, "states"), F.lit("2024-01-16").cast("timestamp_ntz")
+    commits.commit(spark, folder, "half", replace={"states": keyed.snapshot_of(P.table(spark, sf, "events").where(F.col("ts") < half))})
+    rest = alerts.source(spark, f"{sf}/events.parquet").where(F.col("ts") >= half)
+    return keyed.states_after(spark, rest, commits.read(spark, folder, "states"))

@@ -38,14 +38,15 @@ def _base(spark: SparkSession) -> str:
 def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Consume what there is in ``update`` mode and return the last row of each key: a trigger writes only what it changed, to the shared folder."""
     spark = stream.sparkSession
-    base = _base(spark)
+    base, triggers = _base(spark), []
 
     def keep(batch: DataFrame, n: int) -> None:
+        triggers.append(n)
         batch.withColumn("_trigger", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/run={n}")
 
     q = stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).start()
     q.awaitTermination()
-    if q.lastProgress is None or q.lastProgress["batchId"] < 0:
+    if not triggers:
         return spark.createDataFrame([], stream.schema)
     rest = [c for c in stream.columns if c not in keys]
     out = spark.read.schema(stream.withColumn("_trigger", F.lit(0)).schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
