@@ -16,7 +16,7 @@ Shingles that are frequent in the whole corpus (by a hashed count of all shingle
 lowers a difference) and stand last in the global order, so common passages do not gather unrelated documents. No choice here
 can lose a pair.
 
-*Candidates.* Equal sets are one class from the start, known by a 128-bit digest. Signatures are dealt out by hash as packed blobs.
+*Candidates.* Equal sets are one class from the start, known by a 128-bit digest, of which eight bytes that are seen to tell all classes apart travel. Signatures are dealt out by hash as packed blobs.
 Where few classes share one, all pairs are candidates; where more do, each with the centre, the member with the fewest infrequent shingles
 (of near copies, the one nearest to their original). Candidates whose sizes, or the parities of whose hash cells (a lower bound
 on the difference; 4 to 8 cells an element), rule them out are dropped; the others are verified exactly on the whole sets, best
@@ -249,7 +249,7 @@ def frequent(profiles: DataFrame, bits: int) -> np.ndarray:
 # ---------------------------------------------------------------- candidates
 
 
-def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int, all_pairs: int = ALL_PAIRS) -> DataFrame:
+def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int, all_pairs: int = ALL_PAIRS, names_at: int = 0) -> DataFrame:
     """Rows (a, b, shared, star) of short class names: pairs of classes with the signatures shared in one partition; star: a is a centre."""
 
     def deal(batches):
@@ -274,7 +274,7 @@ def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int, all_p
                 for s in shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]):
                     if not len(s):
                         continue
-                    node = short(digest(s))
+                    node = short(digest(s), names_at)
                     if node in seen:
                         continue
                     seen.add(node)
@@ -336,20 +336,31 @@ def candidates(texts: DataFrame, hot_cells: np.ndarray, bits: int, n: int, all_p
     return dealt.mapInArrow(lean(find), "a long, b long, shared long, star boolean")
 
 
-def short(node: bytes) -> int:
-    """The first eight bytes of a class's digest, as ``hex_short`` gives them in Spark."""
-    return int.from_bytes(node[:8], "big", signed=True)
+def short(node: bytes, at: int = 0) -> int:
+    """Eight bytes of a class's digest, as ``short_of`` gives them in Spark."""
+    return int.from_bytes(node[at : at + 8], "big", signed=True)
 
 
-def short_of(node: str = "node"):
-    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
+def short_of(at: int = 0, node: str = "node"):
+    return F.conv(F.hex(F.substring(node, at + 1, 8)), 16, -10).cast("long")
+
+
+def short_names(classes: DataFrame) -> int:
+    """From which byte of the digests eight bytes tell all classes apart."""
+    for at in range(9):
+        if not classes.groupBy(short_of(at)).count().where("count > 1").limit(1).count():
+            return at
+    raise RuntimeError("no eight bytes of the digests tell the classes apart")
 
 
 # ---------------------------------------------------------------- verification
 
 
-def wanted_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, elements) for the classes in ``reps`` (node, rep), from the rows that stand for a class; a few others and repeats may come along."""
+def wanted_texts(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, body) for the classes in ``reps`` (node, rep), from the rows that stand for a class; a few others and repeats may come along.
+
+    Texts travel, not their sets: eight bytes a shingle are twice a word, and do not compress.
+    """
     bits = bitmap_bits(texts)
     nodes = id_bitmap(reps, "node", bits, lambda batch: node_key(batch.column(0).to_pylist()))
     ids = id_bitmap(reps, "rep", bits)
@@ -357,14 +368,14 @@ def wanted_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = pa.array(np.flatnonzero(in_bitmap(batch.column(0).fill_null(-(1 << 63)).to_numpy(), ids, bits)))
-            data, offs = column_bytes(batch.column(1).take(keep))
+            text = batch.column(1).take(keep)
+            data, offs = column_bytes(text)
             for a, b in slices(offs):
-                sets = list(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
-                names = [digest(s) for s in sets]
+                names = [digest(s) for s in shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]
                 at = np.flatnonzero(in_bitmap(node_key(names), nodes, bits)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array([sets[i].astype("<u8").tobytes() for i in at], pa.binary())], ["node", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), text.slice(a, b - a).take(pa.array(at, pa.int64())).cast(pa.string())], ["node", "body"])
 
-    return texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(lean(run), "node binary, elements binary")
+    return texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(lean(run), "node binary, body string")
 
 
 def node_key(nodes: list[bytes]) -> np.ndarray:
@@ -404,15 +415,23 @@ def _possible(pairs: DataFrame, c: DataFrame, schema: str) -> DataFrame:
     return both.select("a", "b", "shared", "star", "m", "n", "x", "y").mapInArrow(lean(run), schema)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similar): exactly, on the whole sets."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "y"}), "b")
+def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(a, b, similar): exactly, on the whole sets of the texts ``bodies`` (node, body)."""
+    both = pairs.join(bodies.withColumnsRenamed({"node": "a", "body": "x"}), "a").join(bodies.withColumnsRenamed({"node": "b", "body": "y"}), "b")
 
     def run(batches):
         for batch in batches:
+            held: dict[bytes, np.ndarray] = {}  # each text of the batch is cut into its set once
+            for name, body in ((0, 2), (1, 3)):
+                nodes = batch.column(name).to_pylist()
+                new = list({x: i for i, x in enumerate(nodes) if x not in held}.values())
+                data, offs = column_bytes(batch.column(body).take(pa.array(new, pa.int64())))
+                for a, b in slices(offs):
+                    for i, s in zip(new[a:b], shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])):
+                        held[nodes[i]] = s
             similar = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = held[x], held[y]
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 similar.append(100 * both >= 75 * (len(x) + len(y) - both))
@@ -538,9 +557,11 @@ def _join(docs: DataFrame, all_pairs: int, key: str | None, folder: str) -> Data
     bits = min(20, max(14, int(plan_bytes(texts) or 1 << 29).bit_length() - 11))
     profiles = written(profile(texts, bits), f"{folder}/profiles")
     each = profiles.where("slice is null").select("doc_id", "key", "n", "node", "cells", "coarse")
-    classes = written(each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("coarse").alias("coarse")).withColumn("short", short_of()), f"{folder}/classes")
+    classes = written(each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("coarse").alias("coarse")), f"{folder}/classes")
+    at = short_names(classes)
+    classes = classes.withColumn("short", short_of(at))
     each = each.drop("cells", "coarse")
-    found = written(candidates(texts, frequent(profiles, bits), bits, n, all_pairs), f"{folder}/candidates")
+    found = written(candidates(texts, frequent(profiles, bits), bits, n, all_pairs, at), f"{folder}/candidates")
     release(spark)
     pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("star").alias("star"))
     pairs = written(plausible(pairs, classes), f"{folder}/pairs")
@@ -553,7 +574,7 @@ def _join(docs: DataFrame, all_pairs: int, key: str | None, folder: str) -> Data
     def sets_for(pairs: DataFrame, name: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         reps = written(nodes.join(classes, "node").select("node", F.coalesce("rep", F.lit(-(1 << 63))).alias("rep")), f"{folder}/reps-{name}")
-        return written(wanted_sets(texts.drop("key"), reps), f"{folder}/sets-{name}")
+        return written(wanted_texts(texts.drop("key"), reps), f"{folder}/sets-{name}")
 
     sets = sets_for(pairs, "0")
     release(spark)

@@ -65,3 +65,13 @@ def test_repeated_rows_and_null_ids(spark):
     text = " ".join(map(str, range(50)))
     got = ngram_join.join(spark.createDataFrame([(3, text), (3, text), (None, text), (None, None)], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("3", 46, "3"), ("3", 46, "3"), ("None", 0, "None"), ("None", 46, "3")]
+
+
+def test_class_names_of_eight_bytes_are_told_apart(spark):
+    """Digests that agree in their first bytes are named by later ones."""
+    same = [bytes(8) + bytes([i]) * 8 for i in range(3)]
+    frame = lambda nodes: spark.createDataFrame([(bytearray(n),) for n in nodes], "node binary")
+    at = ngram_join.short_names(frame(same))
+    assert at == 1 and ngram_join.short_names(frame([bytes([i]) * 16 for i in range(3)])) == 0
+    got = frame(same).select("node", ngram_join.short_of(at).alias("s")).collect()
+    assert all(r.s == ngram_join.short(bytes(r.node), at) for r in got) and len({r.s for r in got}) == 3
