@@ -382,7 +382,19 @@ def node_key(nodes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(nodes), "<i8")[::2] if nodes else np.zeros(0, np.int64)
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def classes_of(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, cells) of the classes in ``nodes`` (node), before they move; a few others may come along."""
+    bits = bitmap_bits(classes)
+    marked = id_bitmap(nodes, "node", bits, lambda batch: node_key(batch.column(0).to_pylist()))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(in_bitmap(node_key(batch.column(0).to_pylist()), marked, bits))))
+
+    return classes.select("node", "n", "cells").mapInArrow(lean(run), "node binary, n long, cells binary")
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """(a, b, shared, star, ok) by digests: ok is false where sizes or parities rule a pair out; such pairs stay only if they come from a centre.
 
     The sketches folded to a quarter, which travel for all pairs, rule out nearly all of those; whole ones travel for the rest.
@@ -391,8 +403,9 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     coarse = _possible(pairs.select("a", "b", "shared", "star"), c, "a long, b long, shared long, star boolean, ok boolean").drop("ok")
     c = classes.select("short", "node")
     named = coarse.join(c.withColumnsRenamed({"short": "a", "node": "x"}), "a").join(c.withColumnsRenamed({"short": "b", "node": "y"}), "b")
-    named = named.select(F.col("x").alias("a"), F.col("y").alias("b"), "shared", "star")
-    return _possible(named, classes.select(F.col("node").alias("short"), "n", "cells"), "a binary, b binary, shared long, star boolean, ok boolean")
+    named = written(named.select(F.col("x").alias("a"), F.col("y").alias("b"), "shared", "star"), f"{folder}/named")
+    whole = classes_of(classes, named.select(F.explode(F.array("a", "b")).alias("node"))).withColumnRenamed("node", "short")
+    return _possible(named, whole, "a binary, b binary, shared long, star boolean, ok boolean")
 
 
 def _possible(pairs: DataFrame, c: DataFrame, schema: str) -> DataFrame:
@@ -564,7 +577,7 @@ def _join(docs: DataFrame, all_pairs: int, key: str | None, folder: str) -> Data
     found = written(candidates(texts, frequent(profiles, bits), bits, n, all_pairs, at), f"{folder}/candidates")
     release(spark)
     pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("star").alias("star"))
-    pairs = written(plausible(pairs, classes), f"{folder}/pairs")
+    pairs = written(plausible(pairs, classes, folder), f"{folder}/pairs")
     remove(spark, f"{folder}/candidates")
     release(spark)
     spokes = pairs.where("star").select("a", "b")
@@ -601,7 +614,7 @@ def _join(docs: DataFrame, all_pairs: int, key: str | None, folder: str) -> Data
     labels = grown(labels, second.where("similar"), "1")
     swap = ruled_out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similar")
     tested = tested.unionByName(second).unionByName(swap)
-    most, step = 1, 2
+    most, step, near = 1, 2, None
     while True:
         s = _labelled(spokes, labels)
         open_ = s.where("_a <> _b").select("a").distinct()
@@ -610,7 +623,9 @@ def _join(docs: DataFrame, all_pairs: int, key: str | None, folder: str) -> Data
         members = written(members, f"{folder}/members-{step}")
         if not members.limit(1).count():
             break
-        got = written(around(members, classes, most), f"{folder}/pairs-{step}")
+        if near is None:  # later rounds have no members that the first has not
+            near = written(classes_of(classes, members.select("node")), f"{folder}/near")
+        got = written(around(members, near, most), f"{folder}/pairs-{step}")
         todo = written(got.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{folder}/todo-{step}")
         if todo.limit(1).count():
             third = written(verify(todo, sets_for(todo, str(step))), f"{folder}/verified-{step}")
