@@ -123,14 +123,25 @@ def critical_paths(assets: DataFrame, connects: DataFrame, asset_risk: DataFrame
 
 
 def simple_paths(edges: DataFrame, source, target, max_length: int = 5) -> DataFrame:
-    """All simple directed paths of at most ``max_length`` edges between two nodes."""
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    """All simple directed paths of at most ``max_length`` edges between two nodes.
+
+    A path grows only along edges from whose end the target is still within the hops that are left, by its distance against the edges.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    near = e.where(F.col("dst") == target).select(F.col("dst").alias("node"), F.lit(0).alias("left")).distinct()
+    last = near
+    for n in range(1, max_length):
+        last = e.join(last.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        last = cut(last.join(near.select("node"), "node", "left_anti").withColumn("left", F.lit(n)))
+        near = near.unionByName(last)
+    e = cut(e.join(near.withColumnRenamed("node", "dst"), "dst").select("src", "dst", "left"))
     found = None
-    frontier = e.where(F.col("src") == source).select("dst", F.array("src", "dst").alias("path"))
+    frontier = e.where((F.col("src") == source) & (F.col("left") < max_length)).select("dst", F.array("src", "dst").alias("path"))
     for n in range(1, max_length + 1):
         done = frontier.where(F.col("dst") == target).select(F.lit(n).alias("hops"), "path")
         found = done if found is None else found.unionByName(done)
-        frontier = frontier.where(F.col("dst") != target).withColumnRenamed("dst", "src").join(e, "src").where(~F.array_contains("path", F.col("dst"))).select("dst", F.concat("path", F.array("dst")).alias("path"))
+        step = frontier.where(F.col("dst") != target).withColumnRenamed("dst", "src").join(e.where(F.col("left") < max_length - n), "src")
+        frontier = step.where(~F.array_contains("path", F.col("dst"))).select("dst", F.concat("path", F.array("dst")).alias("path"))
     return found
 
 

@@ -168,7 +168,8 @@ def forecast_lookup(spark, sf):
 
     df = M.modulated(P.with_state(P.with_criticality(P.pairs(spark, sf), spark, sf)), "exploit", "impact", "crit")
     key = df.agg(F.min(F.concat_ws("::", "vuln_id", "asset_id"))).first()[0]
-    return S.forecast_of(M.forecast(df, (1, 7, 14, 30)), key, (1, 7, 14, 30)).select("horizon_days", q6(F.col("risk_score")).alias("risk_score"))
+    one = df.where(F.concat_ws("::", "vuln_id", "asset_id") == key)  # only this pair is forecast
+    return S.forecast_of(M.forecast(one, (1, 7, 14, 30)), key, (1, 7, 14, 30)).select("horizon_days", q6(F.col("risk_score")).alias("risk_score"))
 
 
 @query("SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS vuln_id, 'h' || o_orderkey % 9 AS asset_id FROM orders WHERE o_orderkey % 3 > 0")

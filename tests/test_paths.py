@@ -1,5 +1,7 @@
 """Walks without a hop limit, against brute force on graphs longer than the limits they had before."""
 
+import random
+
 from collections import deque
 
 from riskloom.operators import graph, risk
@@ -53,3 +55,22 @@ def test_critical_paths_has_no_hop_limit(spark):
     assets = spark.createDataFrame([(i, zone.get(i, "internal"), tier.get(i, "medium")) for i in value], "asset_id int, zone string, criticality string")
     df = risk.critical_paths(assets, spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(list(value.items()), "asset_id int, direct_risk double"))
     assert [(r.entry, r.target, r.hops, r.path_risk) for r in df.collect()] == want
+
+
+def test_simple_paths_equal_a_walk_over_all(spark):
+    rng = random.Random(11)
+    edges = {(rng.randrange(12), rng.randrange(12)) for _ in range(40)}
+    df = spark.createDataFrame(sorted(edges), "src int, dst int")
+
+    def walk(path, most):
+        if path[-1] == 5 and len(path) > 1:
+            yield path
+        elif len(path) <= most:
+            for a, b in edges:
+                if a == path[-1] and b not in path:
+                    yield from walk([*path, b], most)
+
+    for most in (1, 3, 4):
+        got = sorted((r.hops, r.path) for r in risk.simple_paths(df, 0, 5, most).collect())
+        assert got == sorted((len(p) - 1, p) for p in walk([0], most))
+    assert risk.simple_paths(df, 0, 99, 3).count() == 0
