@@ -234,16 +234,26 @@ def list_versions(spark, sf):
     return store.version_list(r, "1").select("version")
 
 
-@query("SELECT 'elp' AS model, '1' AS version_a, '2' AS version_b, TIMESTAMP '2024-01-01' AS started_at, TIMESTAMP '2024-02-01' AS ended_at UNION ALL SELECT 'elp', '2', '3', TIMESTAMP '2024-02-01', TIMESTAMP '2024-03-01' UNION ALL SELECT 'isa', '1', '4', TIMESTAMP '2024-01-05', NULL")
+_BUCKET = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(CAST(k AS VARCHAR)), ''), lambda x: CAST(instr('0123456789abcdef', x) - 1 AS BIGINT))), lambda a, x: (a * 16 + x) % 10000)"
+
+
+@query(
+    f"""WITH t(model, version_a, version_b, share_a, started_at, ended_at) AS (VALUES ('elp', '1', '2', 0.5, TIMESTAMP '1996-01-01', TIMESTAMP '1998-01-01'), ('elp', '2', '3', 0.1, TIMESTAMP '1998-01-01', TIMESTAMP '2000-01-01'), ('isa', '1', '4', 0.5, TIMESTAMP '1997-01-05', NULL)),
+ b AS (SELECT k, {_BUCKET} AS bucket FROM (SELECT DISTINCT o_custkey AS k FROM orders)), u AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'elp' ELSE 'isa' END AS model, o_custkey AS k, CAST(o_orderdate AS TIMESTAMP) AS used FROM orders)
+ SELECT model, CASE WHEN bucket / 10000.0 < share_a THEN version_a ELSE version_b END AS version, started_at, ended_at, count(*) AS uses, count(DISTINCT k) AS customers FROM u JOIN t USING (model) JOIN b USING (k) WHERE used >= started_at AND (ended_at IS NULL OR used < ended_at) GROUP BY ALL"""
+)
 def ab_tests(spark, sf):
+    """Tests that follow each other, and the orders that fall into them as uses of a model's versions."""
     from riskloom.operators import store
 
     t = spark.createDataFrame([], store.TABLES["ab_tests"])
-    t = store.start_ab_test(t, "elp", "1", "2", 0.5, "2024-01-01 00:00:00")
-    t = store.start_ab_test(t, "isa", "1", "4", 0.5, "2024-01-05 00:00:00")
-    t = store.start_ab_test(t, "elp", "2", "3", 0.1, "2024-02-01 00:00:00")
-    t = store.end_ab_test(t, "elp", "2024-03-01 00:00:00")
-    return t.select("model", "version_a", "version_b", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")])
+    t = store.start_ab_test(t, "elp", "1", "2", 0.5, "1996-01-01 00:00:00")
+    t = store.start_ab_test(t, "isa", "1", "4", 0.5, "1997-01-05 00:00:00")
+    t = store.start_ab_test(t, "elp", "2", "3", 0.1, "1998-01-01 00:00:00")
+    t = store.end_ab_test(t, "elp", "2000-01-01 00:00:00").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
+    uses = P.table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "elp").otherwise("isa").alias("model"), "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    seen = store.exposures(t, uses, "o_custkey", "at")
+    return seen.groupBy("model", "version", "started_at", "ended_at").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("o_custkey").alias("customers"))
 
 
 @query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS customer, o_orderstatus AS status FROM orders")
