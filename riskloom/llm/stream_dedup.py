@@ -19,7 +19,8 @@ the skewed side, as the state and the rows that stay have a key once.
 
 Defined results: a null text counts as empty. Null doc_ids rank lowest; a group with
 no other has keep_id null and its rows stay. Rows that repeat both doc_id and text
-are one document: they get the same verdict. Extra columns are not read.
+are one document: they get the same verdict. An empty table gives no rows. A very long text
+is read whole, hashed and compared like others. Extra columns are not read.
 """
 
 from __future__ import annotations

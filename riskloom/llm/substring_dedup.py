@@ -20,7 +20,7 @@ travel to meet them. Lists of all documents' names never reach the driver.
 
 Defined results: a null or empty text has no words, n_words 0 and the hash of the empty string; texts of under 13
 words lose none; repeated rows of one doc_id do not remove each other's words; rows with a null doc_id lose none and
-remove none; an empty table gives no rows; a very long text is a slice of its own; extra columns are not read. Window names are 112 bits beyond the partition's, from two
+remove none, and so do rows with the doc_ids -2**63 and -2**63 + 1, which serve as marks; an empty table gives no rows; a very long text is a slice of its own; extra columns are not read. Window names are 112 bits beyond the partition's, from two
 independent names of each word; one is 64 bits long.
 """
 

@@ -16,7 +16,7 @@ global offsets.
 
 Defined results: a null or empty text is its end id alone; rows with null doc_ids stand first; repeated
 doc_ids stand together, ordered by length and ids; an empty table writes no shard and reads as no rows. Extra
-columns are not read.
+columns are not read. The file marks a null doc_id by -2**63, so a row with that id is read back as one with none.
 """
 
 from __future__ import annotations
