@@ -144,44 +144,41 @@ def path_depth(edges: DataFrame, starts: DataFrame, pairs: DataFrame, max_hops:
 def betweenness(edges: DataFrame, nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Normalised betweenness of each node in its undirected ego graph of that radius; 0 under three nodes.
 
-    Ego graphs come from ``radius`` frontier joins; Brandes' algorithm runs on each in an Arrow batch.
+    Shortest paths are counted level by level, by joins on (ego, node) for all sources of all ego graphs at once; a level needs only the two before
+    it. Of the paths between two nodes, those through the centre are the product of the counts to it and from it, where the lengths add up.
+    Nodes with one neighbour are weights of that neighbour, on the centre they are counted in closed form, and as centres they have 0:
+    a star of any size is one row.
     """
-    import pandas as pd
-
-    u = edges.where("src <> dst").select("src", "dst").unionAll(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    member = nodes.select(F.col("node").alias("ego"), F.col("node").alias("m"))
-    frontier = member
-    for _ in range(radius):
-        frontier = cut(frontier.withColumnRenamed("m", "src").join(u, "src").select("ego", F.col("dst").alias("m")).distinct().join(member, ["ego", "m"], "left_anti"))
-        member = member.unionByName(frontier)
-    ego = member.withColumnRenamed("m", "src").join(u, "src").join(member.withColumnRenamed("m", "dst"), ["ego", "dst"]).select("ego", "src", "dst")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        centre = pdf["ego"].iloc[0]
-        adj: dict = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            adj.setdefault(a, []).append(b)
-        n, total = len(adj), 0.0
-        for s in adj if n >= 3 else ():
-            dist, sigma, order, preds = {s: 0}, {s: 1.0}, [s], {s: []}
-            for v in order:
-                for w in adj[v]:
-                    if w not in dist:
-                        dist[w], sigma[w], preds[w] = dist[v] + 1, 0.0, []
-                        order.append(w)
-                    if dist[w] == dist[v] + 1:
-                        sigma[w] += sigma[v]
-                        preds[w].append(v)
-            delta = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in preds[w]:
-                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-            if s != centre:
-                total += delta.get(centre, 0.0)
-        return pd.DataFrame({"node": [centre], "network_exposure_score": [total / ((n - 1) * (n - 2)) if n > 2 else 0.0]})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    scored = ego.groupBy("ego").applyInPandas(run, f"node {kind}, network_exposure_score double")
+    flat = edges.where("src <> dst").select("src", "dst")
+    u = cut(flat.unionAll(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    degree = cut(u.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_n")))
+    inner, leaf = degree.where("_n > 1").select("node"), degree.where("_n = 1").select(F.col("node").alias("src"))
+    leaves = u.join(leaf, "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_leaves"))
+    e = cut(u.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    last = cut(nodes.select("node").distinct().join(inner, "node", "left_semi").select(F.col("node").alias("ego"), "node"))
+    member, near = last.withColumn("h", F.lit(0)), last
+    for h in range(1, radius + 1):
+        step = last.withColumnRenamed("node", "src").join(e, "src").select("ego", F.col("dst").alias("node")).distinct()
+        last, near = cut(step.join(near, ["ego", "node"], "left_anti")), last
+        member, near = member.unionByName(last.withColumn("h", F.lit(h))), near.unionByName(last)
+    weight = F.when(F.col("h") < radius, F.coalesce("_leaves", F.lit(0))).otherwise(F.lit(0)) + 1  # leaves of the rim lie outside
+    member = cut(member.join(leaves, "node", "left").select("ego", "node", weight.cast("double").alias("w")))
+    inside = member.select("ego", "node")
+    ways_on = cut(inside.withColumnRenamed("node", "src").join(e, "src").join(inside.withColumnRenamed("node", "dst"), ["ego", "dst"]).select("ego", F.col("src").alias("node"), "dst"))
+    last = inside.select("ego", F.col("node").alias("s"), "node", d(1).alias("ways"))
+    counted, near = last.withColumn("h", F.lit(0)), last.limit(0)
+    for h in range(1, 2 * radius + 1):
+        step = last.join(ways_on, ["ego", "node"]).groupBy("ego", "s", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        before = near.unionByName(last).select("ego", "s", "node")
+        last, near = cut(step.join(before, ["ego", "s", "node"], "left_anti")), last
+        counted = counted.unionByName(last.withColumn("h", F.lit(h)))
+    to_centre = cut(counted.where("node = ego and s <> ego").select("ego", "s", "ways", "h").join(member.withColumnRenamed("node", "s"), ["ego", "s"]))
+    pairs = counted.where("s < node and s <> ego and node <> ego")
+    pairs = pairs.join(to_centre.select("ego", "s", F.col("ways").alias("_a"), F.col("h").alias("_ha"), F.col("w").alias("_wa")), ["ego", "s"])
+    pairs = pairs.join(to_centre.select("ego", F.col("s").alias("node"), F.col("ways").alias("_b"), F.col("h").alias("_hb"), F.col("w").alias("_wb")), ["ego", "node"])
+    through = pairs.where("h = _ha + _hb").groupBy("ego").agg(F.sum(F.expr("2 * _wa * _wb * _a * _b / ways")).alias("x"))
+    size = member.groupBy("ego").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("ego") == F.col("node"), F.col("w") - 1)).alias("own"))
+    scored = size.join(through, "ego", "left").select(F.col("ego").alias("node"), F.expr("CASE WHEN n > 2 THEN (coalesce(x, 0) + own * (2 * n - 3 - own)) / ((n - 1) * (n - 2)) END").alias("network_exposure_score"))
     return nodes.select("node").join(scored, "node", "left").select("node", F.coalesce("network_exposure_score", d(0)).alias("network_exposure_score"))
 
 

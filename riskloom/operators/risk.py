@@ -81,45 +81,120 @@ def hierarchy_closure(tree: DataFrame) -> DataFrame:
             return closure
 
 
+def _fold(rows: DataFrame, unit: str = "unit") -> DataFrame:
+    """The sums of a unit's rows; null where a sum has no value."""
+    return rows.groupBy(F.col(unit).alias("unit")).agg(*[F.sum(c).alias(c) for c in ("total_risk", "weighted_risk", "asset_count")], F.max("max_risk").alias("max_risk"))
+
+
+def _doubled(links: DataFrame, values: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Pointer doubling: after round k a unit's value covers all less than 2^k levels below, and its link leads 2^k levels up. (values, links left over)."""
+    for _ in range(rounds):
+        if links.isEmpty():
+            break
+        both = values.join(links, "unit", "left").withColumn("unit", F.explode(F.array_compact(F.array("unit", "up"))))
+        values = cut(_fold(both))
+        above = links.select(F.col("unit").alias("up"), F.col("up").alias("_next"))
+        links = cut(links.join(above, "up").select("unit", F.col("_next").alias("up")))
+    return values, links
+
+
+def _circles(links: DataFrame, on_circle: DataFrame, rounds: int) -> DataFrame:
+    """(unit, circle): the least unit of the circle that each of these units lies on."""
+    hop = links.join(on_circle, "unit", "left_semi")
+    label = hop.select("unit", F.least("unit", "up").alias("circle"))
+    for _ in range(rounds):
+        ahead = hop.join(label.withColumnsRenamed({"unit": "up", "circle": "_c"}), "up").select("unit", "_c")
+        label = cut(label.join(ahead, "unit").select("unit", F.least("circle", "_c").alias("circle")))
+        hop = cut(hop.join(hop.select(F.col("unit").alias("up"), F.col("up").alias("_next")), "up").select("unit", F.col("_next").alias("up")))
+    return label
+
+
 def hierarchy_rollup(units: DataFrame, tree: DataFrame) -> DataFrame:
-    """Every unit with all below it; the mean is total over count; units without assets have zeros."""
-    rows = hierarchy_closure(tree).join(units.withColumnRenamed("bu", "unit"), "unit", "left")
-    return rows.groupBy(F.col("ancestor").alias("bu")).agg(
-        F.coalesce(F.sum("total_risk"), d(0)).alias("total_risk"),
-        F.coalesce(F.sum("weighted_risk"), d(0)).alias("weighted_risk"),
-        F.coalesce(F.sum("asset_count"), F.lit(0)).cast("long").alias("asset_count"),
-        F.coalesce(F.sum("total_risk") / F.nullif(F.sum("asset_count"), F.lit(0)), d(0)).alias("mean_risk"),
-        F.coalesce(F.max("max_risk"), d(0)).alias("max_risk"),
+    """Every unit with all below it; the mean is total over count; units without assets have zeros.
+
+    Rounds of pointer doubling: as many as the logarithm of the depth, each over one row a unit. A unit on a circle has the whole circle and all
+    that hangs on it, each once. A unit that is its own parent is a top. Where units have several parents, the closure of all ancestors is built,
+    so that what is reached on two ways counts once.
+    """
+    links = cut(tree.where("parent is not null and parent <> unit").select("unit", F.col("parent").alias("up")).distinct())
+    own = tree.select("unit").where("unit is not null").distinct().join(units.withColumnRenamed("bu", "unit"), "unit", "left")
+    n, most = links.groupBy("unit").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    if (most or 0) > 1:
+        parts = hierarchy_closure(links.withColumnRenamed("up", "parent").unionByName(tree.select("unit").distinct().withColumn("parent", F.lit(None).cast(tree.schema["parent"].dataType))))
+        values = _fold(parts.distinct().join(units.withColumnRenamed("bu", "unit"), "unit", "left"), "ancestor")
+    else:
+        own = cut(_fold(own))
+        rounds = (n + 1).bit_length()
+        values, left = _doubled(links, own, rounds)
+        if not left.isEmpty():
+            # only circles are left: cut at their units, roll up what hangs on them, then give each unit its circle's sum
+            on_circle = cut(left.select(F.col("up").alias("unit")).distinct())
+            circles = _circles(links, on_circle, rounds)
+            values, _ = _doubled(links.join(on_circle, "unit", "left_anti"), own, rounds)
+            sums = [c for c in values.columns if c != "unit"]
+            whole = _fold(circles.join(values, "unit").drop("unit"), "circle").select(F.col("unit").alias("circle"), *[F.col(c).alias(f"_{c}") for c in sums])
+            values = values.join(circles, "unit", "left").join(whole, "circle", "left").select("unit", *[F.when(F.col("circle").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in sums])
+    return values.select(
+        F.col("unit").alias("bu"),
+        F.coalesce("total_risk", d(0)).alias("total_risk"),
+        F.coalesce("weighted_risk", d(0)).alias("weighted_risk"),
+        F.coalesce("asset_count", F.lit(0)).cast("long").alias("asset_count"),
+        F.coalesce(F.col("total_risk") / F.nullif(F.col("asset_count"), F.lit(0)), d(0)).alias("mean_risk"),
+        F.coalesce("max_risk", d(0)).alias("max_risk"),
     )
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(entry, node, hops, path): one shortest directed path from each entry; of several, the one of least node ids.
+def _levels_to(e: DataFrame, targets: DataFrame, max_hops: int | None) -> DataFrame:
+    """(node, left): each node from which a target can be reached, with its least hops to one."""
+    last = targets.select("node").distinct().withColumn("left", F.lit(0))
+    near = last
+    for n in count(1) if max_hops is None else range(1, max_hops + 1):
+        step = e.join(last.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        last = cut(step.join(near.select("node"), "node", "left_anti").withColumn("left", F.lit(n)))
+        if last.isEmpty():
+            break
+        near = near.unionByName(last)
+        if n % HOPS_A_CUT == 0:
+            near = cut(near)
+    return cut(near)
+
+
+def shortest_path_risks(edges: DataFrame, entries: DataFrame, targets: DataFrame, node_risk: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(entry, target, hops, path_risk): the risk along one shortest directed path from each entry to each other target; of several, the one of least node ids.
 
-    The walk ends when a hop reaches nothing new, or after ``max_hops`` if given.
+    A frontier row holds its path's sum and its place in the order of the entry's paths of that length, not the path: a path's order is that of its
+    beginning, then that of its last node. Edges from whose end no target can be reached (in the hops that are left) are not walked. The walk ends
+    when a hop reaches nothing new, or after ``max_hops`` if given. node_risk: (node, risk), one row a node; none counts 0.
     """
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    frontier = sources.select(F.col("node").alias("entry"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"))
-    seen = frontier
+    near = _levels_to(e, targets, max_hops)
+    e = cut(e.join(near.withColumnRenamed("node", "dst"), "dst"))
+    value = node_risk.select("node", F.col("risk").alias("_v"))
+    start = entries.select("node").distinct().join(near.select("node"), "node", "left_semi").join(value, "node", "left")
+    frontier = cut(start.select(F.col("node").alias("entry"), "node", F.lit(0).alias("hops"), F.lit(0).cast("long").alias("place"), F.coalesce("_v", d(0)).alias("path_risk")))
+    seen = frontier.select("entry", "node", "hops", "path_risk")
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
-        step = frontier.withColumnRenamed("node", "src").join(e, "src").groupBy("entry", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        frontier = cut(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(hop).alias("hops"), F.concat("path", F.array("node")).alias("path")))
+        ways = e if max_hops is None else e.where(F.col("left") <= max_hops - hop)
+        step = frontier.withColumnRenamed("node", "src").join(ways, "src").groupBy("entry", F.col("dst").alias("node")).agg(F.min("place").alias("_place"), F.min_by("path_risk", "place").alias("_sum"))
+        step = step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").join(value, "node", "left")
+        # numbers rise along the sorted partitions: places compare like the paths
+        step = step.orderBy("_place", "node").withColumn("place", F.monotonically_increasing_id())
+        frontier = cut(step.select("entry", "node", F.lit(hop).alias("hops"), "place", (F.col("_sum") + F.coalesce("_v", d(0))).alias("path_risk")))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(frontier.drop("place"))
         if hop % HOPS_A_CUT == 0:
             seen = cut(seen)
-    return seen
+    return seen.where("hops > 0").join(targets.select("node").distinct(), "node", "left_semi").select("entry", F.col("node").alias("target"), "hops", "path_risk")
 
 
 def critical_paths(assets: DataFrame, connects: DataFrame, asset_risk: DataFrame, top_n: int = 10, max_hops: int | None = None) -> DataFrame:
     """The riskiest shortest paths from externally facing assets to critical or high ones."""
     entries = assets.where(F.lower("zone").isin(*C.ENTRY_ZONES)).select(F.col("asset_id").alias("node"))
     targets = assets.where(F.lower("criticality").isin("critical", "high")).select(F.col("asset_id").alias("node"))
-    paths = shortest_paths(connects, entries, max_hops).where("hops > 0").join(targets, "node", "left_semi")
-    on_path = paths.select("entry", F.col("node").alias("target"), "hops", F.explode("path").alias("asset_id"))
-    risk = on_path.join(asset_risk.select("asset_id", "direct_risk"), "asset_id", "left").groupBy("entry", "target", "hops").agg(F.coalesce(F.sum("direct_risk"), d(0)).alias("path_risk"))
-    return risk.orderBy(F.desc(F.floor(F.col("path_risk") * 1e6 + 0.5)), "entry", "target").limit(top_n)
+    node_risk = cut(asset_risk.select(F.col("asset_id").alias("node"), F.col("direct_risk").alias("risk")))
+    paths = shortest_path_risks(connects, entries, targets, node_risk, max_hops)
+    return paths.orderBy(F.desc(F.floor(F.col("path_risk") * 1e6 + 0.5)), "entry", "target").limit(top_n)
 
 
 def simple_paths(edges: DataFrame, source, target, max_length: int = 5) -> DataFrame:
