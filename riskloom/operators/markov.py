@@ -277,9 +277,12 @@ def most_similar(vulns: DataFrame, k: int = 5, band: float = 2.0) -> DataFrame:
     other_sets = sets.join(sets.withColumnRenamed("cwe_ids", "_cwe_ids"), "cwe").where("cwe_ids <> _cwe_ids").select("cwe_ids", "_cwe_ids").distinct()
     share = F.size(F.array_intersect("cwe_ids", "_cwe_ids")) / F.size(F.array_union("cwe_ids", "_cwe_ids"))
     other_sets = other_sets.withColumn("_share", share)
-    asks = v.join(bound, "vuln_id", "left").groupBy("cwe_ids").agg(F.collect_list(F.struct("vuln_id", "cvss", "_v", F.coalesce("_bound", d(0)).alias("bound"))).alias("_asks"), F.min(F.coalesce("_bound", d(0))).alias("_least"))
-    asks = other_sets.join(asks, "cwe_ids").where(F.col("_share") * 0.5 + 0.5 >= F.col("_least") - 1e-9)
-    asks = asks.select("_cwe_ids", "_share", F.explode("_asks").alias("a")).where(F.col("_share") * 0.5 + 0.5 >= F.col("a.bound") - 1e-9).select("_cwe_ids", "_share", "a.*")
+    # a set's rows stay rows: one without weaknesses may hold a third of all; sets that no row of the other can gain from go first
+    asks = cut(v.join(bound, "vuln_id", "left").select("cwe_ids", "vuln_id", "cvss", "_v", F.coalesce("_bound", d(0)).alias("bound")))
+    best_share = F.col("_share") * 0.5 + 0.5 + 1e-9
+    least = asks.groupBy("cwe_ids").agg(F.min("bound").alias("_least"))
+    other_sets = other_sets.join(least, "cwe_ids").where(best_share >= F.col("_least")).drop("_least")
+    asks = asks.join(other_sets, "cwe_ids").where(best_share >= F.col("bound")).drop("cwe_ids")
     # in each such set, k + 1 ids for every score and vendor are enough
     members = v.withColumn("_n", F.row_number().over(Window.partitionBy("cwe_ids", "cvss", "_v").orderBy("vuln_id"))).where(F.col("_n") <= k + 1)
     members = members.select(F.col("cwe_ids").alias("_cwe_ids"), F.col("vuln_id").alias("other"), F.col("cvss").alias("_cvss"), F.col("_v").alias("_o_v"))
