@@ -184,3 +184,11 @@ def test_stores_create_save_and_prune(spark):
 def test_repointed_edges_lose_loops(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
     assert {tuple(r) for r in graph.repoint(e, spark.createDataFrame([("b", "a")], "cpe string, kept string")).collect()} == {("a", "c")}
+
+
+def test_training_dataset_has_no_limit_of_its_own(spark):
+    keys = spark.range(100_010).select(F.col("id").alias("vuln_id"), F.lit(3).alias("asset_id"))
+    features = keys.select("*", F.timestamp_seconds("vuln_id").alias("computed_at"), F.lit("c").alias("cycle_id"))
+    labels = keys.select("*", F.lit("x").alias("label_name"), F.lit(1).alias("label_value"))
+    assert store.training_dataset(features, labels, "x").count() == 100_010
+    assert [r.vuln_id for r in store.training_dataset(features, labels, "x", 2).collect()] == [100_009, 100_008]
