@@ -63,18 +63,38 @@ def latest_states(spark: SparkSession, path: str) -> DataFrame:
     return run_to_end(state_counters(source(spark, path)), ["user_id"])
 
 
+def trailing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A key's events in order of (ts, event_id), from the last one on that differs from the newest: what lies before cannot change the counter, whatever is still to come."""
+    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+    kind = pdf["event_type"]
+    same = kind.isna() if pd.isna(kind.iloc[-1]) else kind == kind.iloc[-1]
+    differs = (~same).to_numpy().nonzero()[0]
+    return pdf.iloc[differs[-1] :] if len(differs) else pdf
+
+
+def counted(batches, was, n: int, known: bool):
+    """(dominant state, updates in it) after a key's events, from the state before, if it is known. A key's rows come in several Arrow batches,
+    each in an order of its own, so the order is that of all of them; of those seen only the run that is still open is held."""
+    held = None
+    for pdf in batches:
+        held = trailing(pdf if held is None else pd.concat([held, pdf]))
+    now = None if pd.isna(held["event_type"].iloc[-1]) else held["event_type"].iloc[-1]
+    first = held["event_type"].iloc[0]
+    if (None if pd.isna(first) else first) != now:
+        return now, len(held) - 2
+    return now, (n if known and was == now else -1) + len(held)
+
+
 def state_counters(events: DataFrame) -> DataFrame:
-    """A key's dominant state and the updates since it last changed, as custom keyed state; updates arrive in order of (ts, event_id) within a batch."""
+    """A key's dominant state and the updates since it last changed, as custom keyed state; updates count in order of (ts, event_id) within a trigger."""
 
     def update(key, batches, state):
         was, n = state.get if state.exists else (None, 0)
-        for pdf in batches:
-            for s in pdf.sort_values(["ts", "event_id"])["event_type"]:
-                n = n + 1 if s == was else 0
-                was = s
+        was, n = counted((pdf[["ts", "event_id", "event_type"]] for pdf in batches), was, n, state.exists)
         state.update((was, n))
         yield pd.DataFrame({"user_id": [key[0]], "dominant_state": [was], "updates_in_state": [n]})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, dominant_state string, updates_in_state long", "was string, n long", "update", GroupStateTimeout.NoTimeout)
+    needed = events.select("user_id", "ts", "event_id", "event_type")
+    return needed.groupBy("user_id").applyInPandasWithState(update, "user_id long, dominant_state string, updates_in_state long", "was string, n long", "update", GroupStateTimeout.NoTimeout)
