@@ -192,3 +192,20 @@ def test_training_dataset_has_no_limit_of_its_own(spark):
     labels = keys.select("*", F.lit("x").alias("label_name"), F.lit(1).alias("label_value"))
     assert store.training_dataset(features, labels, "x").count() == 100_010
     assert [r.vuln_id for r in store.training_dataset(features, labels, "x", 2).collect()] == [100_009, 100_008]
+
+
+def test_links_by_cpe_shuffle_no_link(spark, monkeypatch):
+    """Several platforms on both sides, lists of few assets, existing links; the plan's last exchange lies below the links."""
+    monkeypatch.setattr(graph, "LINK_BLOCK", 4)
+    rng = random.Random(3)
+    affects = [(v, rng.choice("abcde") if v % 9 else None) for v in range(60) for _ in range(rng.randint(1, 3))]
+    runs = [(a, rng.choice("abcdf") if a % 7 else None) for a in range(40) for _ in range(rng.randint(1, 3))]
+    known = [(rng.randrange(70), rng.randrange(50)) for _ in range(600)]
+    want = {(v, a) for v, c in affects for a, x in runs if c and c == x}
+    frames = [spark.createDataFrame(affects, "vuln_id int, cpe string"), spark.createDataFrame(runs, "asset_id int, cpe string")]
+    got = [tuple(r) for r in graph.link_by_cpe(*frames, spark.createDataFrame(known, "vuln_id int, asset_id int")).collect()]
+    assert sorted(got) == sorted(want - set(known)) and len(want & set(known)) > 20
+    links = graph.link_by_cpe(*frames)
+    assert sorted(map(tuple, links.collect())) == sorted(want)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join") and "Aggregate" not in plan[: plan.index("Generate explode")]
