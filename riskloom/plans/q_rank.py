@@ -107,7 +107,7 @@ _ensemble("weighted", q6_sql("a * 0.5::DOUBLE + b * 0.25::DOUBLE + c * 0.25::DOU
 @query()
 def prioritization_pipeline(spark, sf):
     cols = ["pair_key", "pareto_rank", "cost_benefit_rank", "time_rank", "topsis_rank", "final_rank"]
-    return K.pipeline(_items(spark, sf)).select(*cols)
+    return K.pipeline(_items(spark, sf), keep=["pair_key"]).select(*cols)
 
 
 # ---------------------------------------------------------------- back-test

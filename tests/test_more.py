@@ -209,3 +209,20 @@ def test_links_by_cpe_shuffle_no_link(spark, monkeypatch):
     assert sorted(map(tuple, links.collect())) == sorted(want)
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join") and "Aggregate" not in plan[: plan.index("Generate explode")]
+
+
+def test_ranks_move_only_what_is_kept(spark, monkeypatch):
+    """The same ranks with and without ``keep``; a rank's rows hold no criterion that an earlier rank was the last to need."""
+    rng = random.Random(8)
+    rows = [(f"k{i}", i, rng.randint(0, 40) / 40, rng.randint(1, 5) / 2, rng.random(), rng.random() * 10, i % 3 == 0, i % 5 == 0, i % 50 - 5, "a long text") for i in range(300)]
+    df = spark.createDataFrame(rows, "pair_key string, n long, composite_risk double, remediation_cost double, exploit_likelihood double, adjusted_impact double, is_in_kev boolean, has_public_exploit boolean, exploit_velocity_days int, note string")
+    monkeypatch.setattr(rank, "EXACT_WINDOW_ROWS", 10)
+    moved = []
+    save = rank.saved
+    monkeypatch.setattr(rank, "saved", lambda x: moved.append(set(x.columns)) or save(x))
+    ranks = [f"{x}_rank" for x in ("pareto", "cost_benefit", "time", "topsis", "final")]
+    want = {r.n: [r[x] for x in ranks] for r in rank.pipeline(df).collect()}
+    moved.clear()
+    got = rank.pipeline(df, keep=["n"])
+    assert got.columns == ["n", *ranks[:-1], "ensemble_score", "final_rank"] and {r.n: [r[x] for x in ranks] for r in got.collect()} == want
+    assert not any("note" in c for c in moved) and moved[-1] == {"n", *ranks[:-1], "ensemble_score", "_part", "_in"} and sorted(r[-1] for r in want.values()) == list(range(1, 301))
