@@ -226,3 +226,14 @@ def test_ranks_move_only_what_is_kept(spark, monkeypatch):
     got = rank.pipeline(df, keep=["n"])
     assert got.columns == ["n", *ranks[:-1], "ensemble_score", "final_rank"] and {r.n: [r[x] for x in ranks] for r in got.collect()} == want
     assert not any("note" in c for c in moved) and moved[-1] == {"n", *ranks[:-1], "ensemble_score", "_part", "_in"} and sorted(r[-1] for r in want.values()) == list(range(1, 301))
+
+
+def test_a_cycle_carries_how_far_states_moved(spark):
+    from riskloom.plans import batch
+
+    p = spark.createDataFrame([(1, 1, 0.9, 8.0, 1.0), (2, 1, 0.2, 3.0, 0.5)], "vuln_id long, asset_id long, exploit double, impact double, crit double")
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    was = markov.start(spark.createDataFrame([(1, 1)], "vuln_id long, asset_id long"))
+    out = {r.vuln_id: r for r in batch.markov_cycle(p, was, edges).collect()}
+    assert out[2].moved is None and out[1].moved == pytest.approx(abs(out[1].s0 - 1) + sum(out[1][f"s{i}"] for i in range(1, 6))) and out[1].moved > 0
+    assert batch.largest_move(batch.markov_cycle(p, was, edges)) == out[1].moved and batch.largest_move(batch.markov_cycle(p, None, edges)) == 0.0
