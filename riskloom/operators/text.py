@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.lineage import cut
+from riskloom.functions.lineage import cut, spread_by
 from riskloom.functions.scalar import d, joined_text, split_list
 
 
@@ -16,7 +16,8 @@ def tokens(text: Column) -> Column:
 
 def tfidf(docs: DataFrame, key: str, text: str, max_terms: int = 5000, stop: tuple[str, ...] = ()) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document to length 1; the ``max_terms`` most frequent terms, ties by term."""
-    tf = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    # texts move once, by key: counts and norms are worked out where they lie, and no (key, term) row is shuffled
+    tf = spread_by(docs.select(key, text), key).select(key, F.explode(tokens(F.col(text))).alias("term"))
     if stop:
         tf = tf.where(~F.col("term").isin(*stop))
     tf = tf.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
