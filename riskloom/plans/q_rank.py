@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.lineage import cut
+from riskloom.functions.lineage import cut, saved
 from riskloom.functions.scalar import q6
 from riskloom.operators import backtest as B
 from riskloom.operators import rank as K
@@ -81,7 +81,7 @@ RANKS = f"""{TOPSIS}, ranks AS (SELECT i.pair_key, row_number() OVER (ORDER BY {
 
 
 def _ranks(spark, sf):
-    i = _items(spark, sf)
+    i = saved(_items(spark, sf))  # read for the norms, the extremes, the ranges and the rows
     i = K.urgency(K.cost_benefit(i, "composite_risk", "remediation_cost"), "composite_risk", "is_in_kev", "has_public_exploit", "exploit_velocity_days")
     i = K.topsis(i, K.topsis_criteria(None)).select("pair_key", *[q6(F.col(c)).alias(c) for c in ("benefit_ratio", "urgency", "closeness")])
     for order, name in (("benefit_ratio", "a"), ("urgency", "b"), ("closeness", "c")):
