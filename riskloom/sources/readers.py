@@ -34,7 +34,7 @@ def route(path: str) -> str | None:
     return next((source for part, source in C.ROUTES if part in name), None)
 
 
-RANGE_BYTES = 64 << 20  # a document of more is cut by more than one task
+RANGE_BYTES = 2 << 20  # a document of more is cut in byte ranges, whose batches do not grow with it; smaller ones are held whole, as many as the files of one split
 
 
 def _has_large(fs, folder) -> bool:
@@ -49,7 +49,8 @@ def documents(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
     """One VARIANT column ``v`` a record: the elements of ``wrapper`` in each document, or of the document itself if that is a list.
 
     Files are cut into their records' texts, so that no VARIANT ever holds a whole feed; a record is parsed where it is used. Small files are cut each in one
-    task, larger ones in byte ranges by all tasks (``json_ranges``).
+    task, larger ones in byte ranges by all tasks (``json_ranges``), which never hold a file: its bytes, its text and the other files of its Arrow batch in
+    Python are several times its size, in every task at once.
     """
     import pyarrow as pa
 

@@ -58,3 +58,14 @@ def test_what_is_no_whole_document_is_an_error(spark, tmp_path, doc):
     (tmp_path / "x.json").write_text(doc)
     with pytest.raises(Exception, match="not a whole JSON"):
         json_ranges.records(spark, str(tmp_path / "x.json"), "wrap").collect()
+
+
+def test_no_task_holds_a_feed_of_megabytes(spark, tmp_path):
+    """A file's bytes and text in Python grow with the file, in every task at once; ranges do not."""
+    for i in range(2):
+        rows = [{"alert_id": f"al{i}-{j}", "rule_name": "é" * 40} for j in range(40_000)]
+        (tmp_path / f"{i}.json").write_text(json.dumps({"alerts": rows}, ensure_ascii=False), encoding="utf-8")
+    out = readers.documents(spark, str(tmp_path), "alerts")
+    assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
+    ids = out.select(readers.get("$.alert_id").alias("id"), readers.get("$.rule_name").alias("name")).where(f"name = '{'é' * 40}'")
+    assert ids.distinct().count() == 80_000
