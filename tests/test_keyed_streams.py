@@ -83,3 +83,29 @@ def test_state_counters_order_all_batches_of_a_key(spark, tmp_path):
     finally:
         spark.conf.set(size, before)
     assert sorted(map(tuple, got)) == sorted((u, *x) for u, x in by_hand.items())
+
+
+def test_calls_to_the_state_store_do_not_grow_with_the_keys(spark, tmp_path, monkeypatch):
+    """Keys of a group share state and timers: 400 keys in 8 groups, in triggers that bring late events, new keys and cancelled alarms."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Kept(StreamingQueryListener):
+        timers: list[int] = []
+
+        def onQueryStarted(self, event): ...
+        def onQueryTerminated(self, event): ...
+        def onQueryProgress(self, event):
+            self.timers += [s.customMetrics.get("numRegisteredTimers", 0) for s in event.progress.stateOperators]
+
+    monkeypatch.setattr(keyed, "KEY_GROUPS", 8, raising=False)
+    rng = random.Random(3)
+    rows = [(i, START + timedelta(minutes=rng.uniform(0, 600) * (1 if i % 3 else 0.2)), rng.randrange(400), "a") for i in range(2000)]
+    kept = Kept()
+    spark.streams.addListener(kept)
+    try:
+        out = keyed.silence_alarms(spark, stream(spark, tmp_path, rows, 4, 10), "user_id", "ts", 3600, "45 minutes").collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(kept)
+    assert sorted(map(tuple, out), key=str) == sorted(expected(rows, timedelta(hours=1), timedelta(minutes=45)), key=str)
+    assert 0 < sum(kept.timers) <= 8 * 2 * len(kept.timers)
