@@ -68,7 +68,8 @@ TOPSIS = f"""{ITEMS}, nm AS (SELECT {", ".join(f"sqrt(sum({k} * {k})) AS n_{k}"
 
 
 def _topsis(spark, sf):
-    return K.topsis(_items(spark, sf), K.topsis_criteria(None)).select("pair_key", q6(F.col("closeness")).alias("closeness"))
+    i = saved(_items(spark, sf).select("pair_key", *_T))  # read for the extremes, the norms and the rows
+    return K.topsis(i, K.topsis_criteria(None)).select("pair_key", q6(F.col("closeness")).alias("closeness"))
 
 
 @query(f"{TOPSIS} SELECT pair_key, closeness, row_number() OVER (ORDER BY closeness DESC, pair_key) AS topsis_rank FROM topsis")
