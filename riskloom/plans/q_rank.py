@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.lineage import cut, saved
+from riskloom.functions.lineage import cut, many, saved
 from riskloom.functions.scalar import q6
 from riskloom.operators import backtest as B
 from riskloom.operators import rank as K
@@ -15,7 +15,7 @@ from riskloom.plans.registry import query
 
 def _items(spark, sf):
     v = P.vulns(spark, sf).select("vuln_id", "is_in_kev", "has_public_exploit", "exploit_velocity_days")
-    r = P.risks(spark, sf).join(v, "vuln_id")
+    r = P.risks(spark, sf).join(many(v), "vuln_id")
     return r.select(
         F.concat_ws("::", "vuln_id", "asset_id").alias("pair_key"),
         F.col("risk").alias("composite_risk"),
